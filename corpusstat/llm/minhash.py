@@ -100,6 +100,22 @@ def similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def rare_pairs(nodes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of nodes with different roots that can reach the threshold. Of two bags this similar, each shares an
+    element among its size - ceil(threshold * size) + 1 rarest ones with the other's, in one order of all elements; and what
+    they share is no more than what stands from the first shared element on in either. Only pairs that pass both are made."""
+    bags = sketches.select("node", "bag").join(nodes, "node").groupBy("node").agg(F.first("root").alias("root"), F.first("bag").alias("bag"))
+    elements = written(bags.select("node", "root", F.explode(F.array_distinct("bag")).alias("e")), "elements")
+    counts = elements.groupBy("e").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
+    ranked = elements.join(written(counts, "element-counts"), "e").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("n", "e", "mixed"))).alias("es"))
+    ranked = ranked.withColumn("size", F.size("es"))
+    rare = ranked.select("node", "root", "size", F.posexplode(F.slice("es", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold).cast("int") + 1)).alias("at", "x"))
+    rare = written(rare.where("x.mixed").select("node", "root", "size", (F.col("size") - F.col("at")).alias("rest"), "x.e"), "rare-elements")
+    other = rare.select("e", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("rest").alias("x_rest"))
+    fits = F.least("rest", "x_rest") * (1 + threshold) >= threshold * (F.col("size") + F.col("x_size"))
+    return rare.join(other, "e").where("node < x and root <> x_root").where(fits).select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each linked component. Every round gives each node the least root next to it and
     then that root's own root; rounds end when no root changes, and each is a written table."""
@@ -120,10 +136,10 @@ def classes(docs: DataFrame, *, threshold: float = SIMILARITY, id_col: str = "do
     text_id (least id with exactly this text).
 
     Two texts are linked if the weighted Jaccard similarity of their bags of 5-word shingles is at
-    least the threshold. Equal texts are one node. Nodes that share a band meet in two rounds, without pairs of a whole
-    group: first each with the band's least node; then, where a band still holds several
-    components, each node outside the band's largest component with those of other components. So after both rounds no
-    candidate pair is left untested between two components.
+    least the threshold. Equal texts are one node. Nodes that share a band meet without all pairs of a group: first
+    each with the band's most famous node (the one with the most company in all its bands, so the source of a group of
+    copies). Then the nodes of bands that still hold several components meet where they share one of their
+    rarest shingles (rare_pairs), which every similar pair does; so no candidate pair between two components is untested.
 
     Nulls: a null text is empty; an empty text is linked to nothing, not even to its copies (class_id and text_id are
     its own id); a null id stands last, and its class has the least id that is not null. Repeated rows have one class. Empty tables give no
@@ -131,22 +147,21 @@ def classes(docs: DataFrame, *, threshold: float = SIMILARITY, id_col: str = "do
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.xxhash64("text"))
     sketches = written(mapped(rows, sketched, "ord long, node long, bands array<long>, bag array<int>"), "sketches")
-    nodes = written(sketches.where(F.size("bands") > 0).groupBy("node").agg(F.min("ord").alias("text_id"), F.first("bands").alias("bands")), "nodes")
-    banded = written(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    heads = written(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"), "heads")
-    pairs = written(banded.join(heads, "band").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = written(similar(pairs, sketches, threshold), "links")
+    nodes = written(sketches.where(F.size("bands") > 0).groupBy("node").agg(F.min("ord").alias("text_id"), F.first("bands").alias("bands"), F.first(F.size("bag")).alias("size")), "nodes")
+    banded = nodes.select("node", "size", F.explode("bands").alias("band"))
+    sizes = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = written(banded.join(sizes, "band"), "bands")
+    fame = written(shared.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    shared = written(shared.select("band", "node", "size").join(fame, "node"), "bands")
+    fits = F.least("size", "x_size") >= threshold * F.greatest("size", "x_size")  # else the bags can't be that similar
+    asked = shared.groupBy("band").agg(F.max_by(F.struct(F.col("node").alias("x"), F.col("size").alias("x_size")), F.struct("fame", "node")).alias("x")).select("band", "x.*")
+    pairs = shared.join(written(asked, "famous"), "band").where("node <> x").where(fits).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    links = written(similar(written(pairs, "pairs"), sketches, threshold), "links")
     roots = components(links)
-    # the second round
-    open_bands = banded.join(heads, "band").select("band", "node")
-    placed = written(open_bands.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "placed")
-    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts"))
-    mixed = written(parts.where("parts > 1").select("band", "largest"), "mixed-bands")
-    left = written(placed.join(mixed, "band"), "mixed")
-    few = left.where("root <> largest").select("band", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    more = few.join(left, "band").where(F.col("root") != F.col("x_root")).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    late = written(similar(more, sketches, threshold), "more-links")
+    placed = written(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    mixed = written(placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band"), "mixed-bands")
+    open_nodes = written(placed.join(mixed, "band").select("node", "root", "size").distinct(), "open-nodes")
+    late = written(similar(written(rare_pairs(open_nodes, sketches, threshold), "rare-pairs"), sketches, threshold), "late-links")
     if late.limit(1).count():
         roots = components(links.union(late))
     named = nodes.select("node", "text_id").join(roots, "node", "left").select("node", "text_id", F.coalesce("root", "node").alias("root"))
