@@ -137,7 +137,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
         def f(batches):
             for batch in batches:
                 for block in cut(batch, "_text"):
-                    yield judged(block, m.value, last)
+                    yield judged(block, m.value, last, clean)
 
         return f
 
@@ -151,7 +151,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     return df.select(*named, *(F.col(f"_keep_{i}").alias(k) for i, k in enumerate(keep)), *([F.col("_text").alias("cleaned")] if clean else []))
 
 
-def judged(block: pa.RecordBatch, m: dict, last: bool) -> pa.RecordBatch:
+def judged(block: pa.RecordBatch, m: dict, last: bool, clean: bool) -> pa.RecordBatch:
     """The block with this matcher's hits added to those of the matchers before it."""
     data, offsets, starts, ends, doc, hashes = tokens(block, "_text")
     n = block.num_rows
@@ -169,9 +169,10 @@ def judged(block: pa.RecordBatch, m: dict, last: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict(cols)
     cols["_hits"] = pa.array(per_doc)
     del cols["_hit"]
-    texts = cols.pop("_text")
-    if "_text" in block.schema.names and hit.any():
-        texts = texts.to_pylist()
+    if not clean:
+        del cols["_text"]
+    elif hit.any():
+        texts = cols["_text"].to_pylist()
         for i in np.flatnonzero(per_doc).tolist():
             a, b = first[i], first[i + 1]
             h = np.concatenate([[False], hit[a:b], [False]])
@@ -181,8 +182,7 @@ def judged(block: pa.RecordBatch, m: dict, last: bool) -> pa.RecordBatch:
                 out.append(data[at : starts[a + s]].tobytes())
                 at = int(ends[a + e - 1])
             texts[i] = b"".join([*out, data[at : offsets[i + 1]].tobytes()]).decode()
-        texts = pa.array(texts, pa.string())
-    cols["_text"] = texts
+        cols["_text"] = pa.array(texts, pa.string())
     return pa.RecordBatch.from_pydict(cols)
 
 
@@ -194,5 +194,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_coverage: float
     names = {c: f"rest_{i}" for i, c in enumerate(rest)}
     out = find(docs.withColumnsRenamed(names), benchmark, keep=list(names.values()), clean=True, **options)
     out = out.where((F.col("n_words") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words")))
-    back = {v: k for k, v in names.items()}
-    return out.select(*(F.col("cleaned").alias(c) if c == text_col else F.col(c) if c == id_col else F.col(names[c]).alias(c) for c in docs.columns)) if back is not None else out
+    return out.select(*(F.col("cleaned").alias(c) if c == text_col else F.col(c) if c == id_col else F.col(names[c]).alias(c) for c in docs.columns))

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from corpusstat.llm import decontaminate, minhash, quality, substring
+from corpusstat.llm import bpe, chat, decontaminate, lm, minhash, quality, secret_scan, substring, url_filter, warc
+from corpusstat.llm.blocks import shared_dir
+
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -24,6 +38,36 @@ def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/corpusstat/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -7L conv_id, id turn, if(id = 0, 'user', 'assistant') role, :text text FROM range(2)", args={"text": text})
+    out = chat.format_chats(rows.unionByName(extra)).withColumn("read", chat.read_turns(F.col("formatted")))
+    said = F.concat_ws("", F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    learnt = F.concat_ws("", F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescaped(s["text"])))
+    return out.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"),
+                      F.sha2(learnt, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
+def op8_secret_scan(spark, sf_dir):
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "place", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "secret")
+
+
+def op9_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path(RANKS)
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    out = bpe.decode(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), path)
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_decontaminate(spark, sf_dir):
     out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.concat_ws(",", F.sort_array("items")), 256)
@@ -35,4 +79,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": url_filter.oracle(), "op6_warc": WARC_SQL}
+
+
+WARC_SQL = """
+WITH a AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+b AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY sha1(payload)) AS last FROM a)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM b"""
