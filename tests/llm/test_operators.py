@@ -1,0 +1,206 @@
+"""The operators against brute force and exact round trips, on small tables with nulls, empties, ties, repeats and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from corpusstat.llm import bpe, chat, decontaminate, lm, minhash, quality, queries, secret_scan, substring, url_filter, warc
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.001"
+
+
+def sha(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+def texts():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeéß ü") for _ in range(r.randint(1, 6))).strip() or "x"
+    base = [word() for _ in range(300)]
+    out = [(0, " ".join(base)), (1, " ".join(base)), (2, " ".join(base[:150] + [word() for _ in range(60)])), (3, None), (4, ""), (5, " \n\t "), (6, "one two"), (7, "one two"), (None, " ".join(base[:80]))]
+    near = list(base)
+    near[100] = "changed"
+    out += [(8, " ".join(near)), (9, "\n".join(["same line here again"] * 40)), (9, "\n".join(["same line here again"] * 40)), (10, "a " * 400), (11, "long" * 30_000)]
+    return out + [(i, " ".join(word() for _ in range(r.randint(1, 200)))) for i in range(20, 40)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x", 1, 2, 3, 4, "s") for i, t in texts()]
+    return spark.createDataFrame(rows, "doc_id long, text string, word string, ord int, row int, node int, n_words int, source string")
+
+
+def lower(x):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), x)
+
+
+def test_substring(docs):
+    got = sorted(map(tuple, substring.deduplicate(docs).collect()), key=repr)
+    rows = [(math.inf if i is None else i, i, WORDS.findall(t or "")) for i, t in texts()]
+    seen, want = {}, []
+    for o, _, w in rows:
+        for p in range(len(w) - 49):
+            k = tuple(w[p : p + 50])
+            seen[k] = min(o, seen.get(k, o))
+    for o, i, w in rows:
+        hit = set()
+        for p in range(len(w) - 49):
+            if seen[tuple(w[p : p + 50])] < o:
+                hit.update(range(p, p + 50))
+        want.append((i, len(w), len(hit), " ".join(x for k, x in enumerate(w) if k not in hit)))
+    assert got == sorted(want, key=repr)
+
+
+def test_near_duplicates(docs):
+    got = {r.doc_id: (r.class_id, r.text_id) for r in minhash.classes(docs).collect()}
+    assert got[0] == got[1] == (0, 0) and got[8] == (0, 8) and got[6] == got[7] == (6, 6)
+    assert got[2] == (2, 2) and got[4] == (4, 4) and got[5] == (5, 5) and got[3] == (3, 3)
+    kept = [r.doc_id for r in minhash.keep_one(docs).collect()]
+    assert kept.count(9) == 1 and 0 in kept and not {1, 7, 8} & set(kept)
+
+
+def test_signatures_are_unbiased():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    gram = r.integers(1, 2**63, 60).astype(np.uint64)
+    a, b = r.integers(1, 9, 60), r.integers(1, 9, 60)
+    s = minhash.signatures(np.repeat([0, 1], 60), np.concatenate([gram, gram]), np.concatenate([a, b]), 2, m=4000)
+    assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+
+
+def test_quality(docs):
+    got = sorted(tuple(r)[:7] for r in quality.judge(docs.where("doc_id is not null")).collect())
+    want = []
+    for i, t in texts():
+        if i is None:
+            continue
+        w = WORDS.findall(t or "")
+        c = collections.Counter(tuple(w[p : p + 5]) for p in range(len(w) - 4))
+        hit = {q for p in range(len(w) - 4) if c[tuple(w[p : p + 5])] > 1 for q in range(p, p + 5)}
+        lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)))
+    assert got == sorted(want)
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {20 + i for i in range(20) if len(WORDS.findall(dict(texts())[20 + i])) > 30}
+
+
+@pytest.mark.parametrize("most", [2_000_000, 15])
+def test_decontamination(spark, docs, most):
+    base = texts()[0][1].split()
+    items = [(1, " ".join(base[10:30])), (2, "Two"), (2, " ".join(base[200:215]).upper()), (3, None), (4, ""), (None, "one"), (5, " ".join(base[10:30]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    norm = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x or ""))
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = norm(t)
+        for p in range(max(1, len(w) - 9)) if w and i is not None else ():
+            windows[tuple(w[p : p + 10])].add(str(i))
+    want = []
+    for i, t in texts():
+        w, hit, found = norm(t), set(), set()
+        for k in {len(x) for x in windows}:
+            for p in range(len(w) - k + 1):
+                if tuple(w[p : p + k]) in windows:
+                    hit.update(range(p, p + k))
+                    found |= windows[tuple(w[p : p + k])]
+        want.append((i, len(w), len(hit), sorted(found)))
+    got = [tuple(r) for r in decontaminate.find(docs, bench, max_words=most).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    out = decontaminate.decontaminate(docs, bench, max_words=most)
+    assert out.columns == docs.columns and 6 in {r.doc_id for r in out.collect()}
+    assert decontaminate.find(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_bpe(docs):
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.decode(bpe.encode(docs, path, P.PATTERN).select("doc_id", "ids", F.col("ids").alias("kept")), path).collect()
+    assert sorted(((r.doc_id, list(r.kept), bytes(r.decoded)) for r in got), key=repr) == sorted(((i, own.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts()), key=repr)
+
+
+def test_chat(spark):
+    hard = ["</s>[INST] ok [/INST]", r"<\/s> <\\s> [\INST]", "[ROLE]x[/ROLE]", None, "", "a\nb", "<<SYS>", "[[INST]"]
+    rows = [(1, k, ("user", "assistant")[k % 2], t, 0) for k, t in enumerate(hard)] + [(2, 1, None, "x", 0), (2, None, "tool [/ROLE]", "y", 0), (2, 1, None, "x", 0), (None, 0, "system", "z", 0)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, turns int")).withColumn("read", chat.read_turns(F.col("formatted")))
+    got = {r.conv_id: ([tuple(t) for t in r.read], r.valid, [s.text for s in r.segments if s.loss]) for r in out.collect()}
+    assert got[1][0] == [(("user", "assistant")[k % 2], t or "") for k, t in enumerate(hard)] and got[1][1] and len(got[1][2]) == 4
+    assert got[2][0] == [("tool [/ROLE]", "y"), ("", "x"), ("", "x")] and not got[2][1] and got[None][0] == [("system", "z")]
+
+
+def test_secrets(spark):
+    token = "9f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fd"
+    rows = [(1, f'words token = "{token}" words', "src1"), (2, f"see commit {token} of the tree", None), (3, None, None), (4, "", None), (None, f"token: {token}", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.secret for r in secret_scan.scan(df).collect()}
+    assert got == {1: True, 2: False, None: True}
+    red = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert red[1] == f'words token = "{secret_scan.MASK}" words' and red[2] == rows[1][1] and red[3] is None
+    train, held = secret_scan.labelled(1), spark.createDataFrame(secret_scan.labelled(2), "value string, before string, path string, label int")
+    trees = secret_scan.fit(spark, train)
+    right = held.select((F.expr("label = 1") == (secret_scan.score(trees, secret_scan.features(F.col("value"), F.col("before"), F.col("path"))) >= 500)).cast("int").alias("ok"))
+    assert right.agg(F.avg("ok")).first()[0] > 0.95
+
+
+def test_urls(spark):
+    rows = [(1, "HTTPS://A.Example.ORG/es/1?x=/"), (2, "https://example.org/en/12"), (3, "http://x.com/de/"), (4, None), (5, "no scheme"), (6, "http://a.org"), (7, "http://free-casino-bets.example.com/casino/bonus"), (7, "http://x.net#/y")]
+    got = [tuple(r)[:4] + (r.verdict,) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).orderBy("page_id", "host").collect()]
+    assert got[0] == (1, "a.example.org", "/es/1", "example.org/es/", "block") and got[1][3:] == ("example.org/en/1", "block") and got[2][3:] == ("com/de/", "block")
+    assert got[3][1:4] == ("", "", None) and got[4][1:4] == ("", "", None) and got[5][:4] == (6, "a.org", "", None) and got[6][4] == "block" and got[7][:4] == (7, "x.net", "", None)
+
+
+def test_warc(spark, tmp_path):
+    big = "x" * 1500
+    rows = [(1, "http://a/\n1", big), (2, None, big), (3, "http://c", big), (4, "d", "x"), (5, "e", "x"), (6, "f", None), (None, "g", big), (8, "h", "é" * 600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = []
+    for k in range(2):
+        manifest = warc.write(pages, str(tmp_path / f"w{k}"), shard_bytes=2000, roll_bytes=200)
+        made.append(sorted(map(tuple, manifest.collect())))
+    assert made[0] == made[1] and len(made[0]) > 2
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.read(spark, str(tmp_path / "w0")).collect()}
+    hexed = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    assert got == {i: (("revisit" if i in (1, 2, None) else "response"), len((t or "").encode()), hexed(t), 3 if i in (1, 2, None) else None) for i, _, t in rows}
+    assert warc.write(pages.limit(0), str(tmp_path / "none")).count() == 0 and warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_lm(spark, docs):
+    got = lm.score(docs, P.path(queries.RANKS), P.PATTERN).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(i, WORDS.findall(lower(t or "")) + [None]) for i, t in texts()]
+    c = collections.Counter(w for i, ws in rows if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = sorted(((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 5)) for i, ws in rows), key=repr)
+    assert sorted(((*tuple(r)[:5], round(r.base_score, 5)) for r in got), key=repr) == want
+    assert all(r.score < 0 for r in got)
+
+
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n.startswith(("op1_", "op3_", "op4_", "op5_", "op8_", "op9_", "op10_"))])
+def test_empty_tables(spark, tmp_path, name):
+    for t in ("documents", "pages", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert queries.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == columns and 0 < out.count() <= docs.count()
+        docs = out
+    assert [r.secret for r in secret_scan.scan(docs).collect()].count(True) == 0
