@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusstat.llm.blocks import cut
 
 #: Entries of a worker's memo of pre-tokens, and the longest pre-token that it keeps.
-MEMO, MEMO_BYTES = 150_000, 40
+MEMO, MEMO_BYTES = 400_000, 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     def run(batches):
         import regex
 
-        ranks, memo, find = shared.value, {}, regex.compile(pattern).findall
+        ranks, find = shared.value, regex.compile(pattern).findall
         queue = RankQueue(max(ranks.values()) + 1)
 
         class Memo(dict):
