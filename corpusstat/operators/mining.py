@@ -64,3 +64,71 @@ def language(df: DataFrame, key: str, text: Column, words: dict[str, list[str]],
     df = df.select(key, counts.alias("c"))
     first, second = F.get("c", 0), F.get("c", 1)
     return df.select(key, F.when((first["n"] >= least) & (first["n"] > 2 * second["n"]), first["lang"]).otherwise("unclear").alias("language"), first["n"].alias("hits"))
+
+
+def ngrams(segments: Column, n: int) -> Column:
+    """The distinct n-grams of arrays of words; none crosses a segment."""
+    grams = lambda words: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+    return F.array_distinct(F.flatten(F.filter(F.transform(segments, grams), lambda g: g.isNotNull())))
+
+
+def frequent_ngrams(df: DataFrame, segments: Column, longest: int, least: int, stop: list[str] = ()) -> DataFrame:
+    """N-grams of 1 to `longest` words found in at least `least` documents, with that count. Only n-grams whose first and last n - 1
+    words are frequent are counted. Those with a stop word at an edge are left out of the result, not of the search."""
+    docs, out, before = df.select(segments.alias("_segments")), None, None
+    for n in range(1, longest + 1):
+        rows = docs.select(F.explode(ngrams(F.col("_segments"), n)).alias("gram"))
+        if before is not None:
+            known = before.select(F.col("gram").alias("_known"))
+            rows = rows.withColumns({"_head": F.regexp_replace("gram", r" [^ ]*$", ""), "_tail": F.regexp_replace("gram", r"^[^ ]* ", "")})
+            rows = rows.join(known, F.col("_head") == F.col("_known"), "left_semi").join(known, F.col("_tail") == F.col("_known"), "left_semi")
+        before = rows.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+        level = before.withColumn("n", F.lit(n))
+        out = level if out is None else out.unionByName(level)
+    words = F.split("gram", " ")
+    return out.where(~F.get(words, F.lit(0)).isin(list(stop)) & ~F.element_at(words, -1).isin(list(stop))) if stop else out
+
+
+def npmi(df: DataFrame, terms: Column, tops: DataFrame, group: str, term: str) -> DataFrame:
+    """Normalised pointwise mutual information of each pair of a group's top words, by documents; -1 for a pair never seen, 1 where
+    it is in all. tops has a bounded number of words (k a group) and is broadcast; a document's pairs are of those words alone."""
+    words = df.sparkSession.createDataFrame([(sorted({r[0] for r in tops.select(term).distinct().collect()}),)], "top array<string>")  # k words a group
+    seen = df.select(terms.alias("_t")).join(F.broadcast(words)).select(F.array_sort(F.array_intersect("_t", "top")).alias("s"))
+    total = seen.agg(F.count("*").alias("docs"))
+    pairs = seen.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    single = pairs.where("a = b")
+    left, right = tops.select(group, F.col(term).alias("a")), tops.select(F.col(group).alias("_g"), F.col(term).alias("b"))
+    wanted = left.join(right, (F.col(group) == F.col("_g")) & (F.col("a") < F.col("b"))).select(group, "a", "b")
+    out = wanted.join(pairs, ["a", "b"], "left").join(single.select("a", F.col("n").alias("na")), "a").join(single.select(F.col("b"), F.col("n").alias("nb")), "b").join(F.broadcast(total))
+    p = F.col("n") / F.col("docs")
+    value = F.when(F.col("n").isNull(), -1.0).when(p >= 1, 1.0).otherwise(F.log(p / (F.col("na") / F.col("docs") * F.col("nb") / F.col("docs"))) / -F.log(p))
+    return out.select(group, "a", "b", value.alias("npmi"))
+
+
+def df_distribution(df: DataFrame, unit: str, terms: Column, cuts: list[float]) -> DataFrame:
+    """For each cut the items in more than that share of documents, their part of items and mentions, and the part of documents that
+    hold one of them or would be left empty without them. A document needs only its rarest and most frequent item."""
+    rows = df.select(unit, F.explode(F.array_distinct(terms)).alias("item"))
+    counts = rows.groupBy("item").agg(F.count("*").alias("c"))
+    total = df.agg(F.count("*").alias("docs"))
+    cut = F.explode(F.array(*(F.lit(float(c)) for c in cuts))).alias("cut")
+    items = counts.join(F.broadcast(total)).select("c", "docs", cut).groupBy("cut").agg(F.count_if(F.col("c") / F.col("docs") > F.col("cut")).alias("items"), F.count("*").alias("_all"), F.sum(F.when(F.col("c") / F.col("docs") > F.col("cut"), F.col("c")).otherwise(0)).alias("_m"), F.sum("c").alias("_mentions"))
+    docs = rows.join(counts, "item").groupBy(unit).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).join(F.broadcast(total)).select("lo", "hi", "docs", cut)
+    hit = docs.groupBy("cut").agg((F.count_if(F.col("hi") / F.col("docs") > F.col("cut")) / F.first("docs")).alias("hit"), (F.count_if(F.col("lo") / F.col("docs") > F.col("cut")) / F.first("docs")).alias("emptied"))
+    return items.join(hit, "cut").select("cut", "items", (F.col("items") / F.col("_all")).alias("item_share"), (F.col("_m") / F.col("_mentions")).alias("mention_share"), "hit", "emptied")
+
+
+def coherence(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """Length of the mean of a group's vectors, each first brought to length 1; its rows are summed by position before the shuffle. Zero vectors stay zero."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = df.select(group, F.posexplode(F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))).alias("at", "x"))
+    means = rows.groupBy(group, "at").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    return means.groupBy(group).agg(F.max("n").alias("n"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("coherence"))
+
+
+def knn_vote(near: DataFrame, labels: DataFrame, key: str, label: str, least: float) -> DataFrame:
+    """The most frequent label among each query's neighbours (ties by label), where its part of them reaches `least`; else null."""
+    votes = near.join(labels.select(F.col(key).alias("neighbour"), label), "neighbour").groupBy("query", label).agg(F.count("*").alias("n"))
+    best = votes.groupBy("query").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    won = votes.join(best, "query").where("n = most").groupBy("query").agg(F.min(label).alias(label), (F.first("most") / F.first("all")).alias("agreement"))
+    return won.select("query", F.when(F.col("agreement") >= least, F.col(label)).alias(label), "agreement")
