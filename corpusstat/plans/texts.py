@@ -99,7 +99,7 @@ def j7_match_labels(spark, d):
 
 @query("""
 WITH r AS (SELECT l_suppkey AS occupation, l_partkey AS skill, l_returnflag = 'R' AS o, l_orderkey * 10 + l_linenumber AS p FROM lineitem),
-f AS (SELECT occupation, skill, min({'o': o, 'p': p}) AS spot FROM r GROUP BY 1, 2) SELECT occupation, string_agg(CAST(skill AS VARCHAR), ',' ORDER BY spot) AS skills FROM f GROUP BY 1""")
+f AS (SELECT occupation, skill, min({'o': o, 'p': p}) AS spot FROM r GROUP BY 1, 2) SELECT occupation, string_agg(CAST(skill AS VARCHAR), ',' ORDER BY spot, skill) AS skills FROM f GROUP BY 1""")
 def j6_occupation_skills(spark, d):
     rel = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("occupation"), F.col("l_partkey").alias("skill"), F.when(F.col("l_returnflag") == "R", "optional").otherwise("essential").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
     return P.occupation_skills(rel).select("occupation", F.array_join(F.transform("skills", lambda x: x.cast("string")), ",").alias("skills"))
