@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,11 @@ from pyspark.sql import functions as F
 
 from corpusstat.llm.blocks import cut
 
-#: Entries of a worker's memo of pre-tokens, and the longest pre-token that it keeps.
-MEMO, MEMO_BYTES = 400_000, 40
+#: Entries of a worker's memo of pre-tokens (a block may exceed it), and the characters of the longest that it keeps.
+MEMO, MEMO_CHARS = 400_000, 40
+
+#: Ids that are decoded at once, or one row's.
+DECODED = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -24,7 +26,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class RankQueue:
     """Positions by rank. Three levels of 64-bit words say which ranks have a bucket that isn't empty; find-first-set
-    from the top gives the least. A bucket gives its leftmost position first."""
+    from the top gives the least."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
@@ -34,72 +36,108 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+        if bucket is None:
+            self.put(rank, [position])
+        else:
+            bucket.append(position)
+
+    def put(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
         self.low[rank >> 6] |= 1 << (rank & 63)
         self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
 
-    def pop(self) -> tuple[int, int]:
-        """(rank, position), or (-1, -1) if there is none."""
+    def pop(self) -> tuple[int, list[int]]:
+        """The least rank and its bucket, from left to right; (-1, []) if there is none."""
         if not self.top:
-            return -1, -1
+            return -1, []
         a = (self.top & -self.top).bit_length() - 1
         b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
         rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= ~(1 << (rank & 63))
-            if not self.low[b]:
-                self.mid[a] &= ~(1 << (b & 63))
-                if not self.mid[a]:
-                    self.top &= ~(1 << a)
-        return rank, position
-
-
-def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token: the leftmost pair of the least rank merges until none has a rank."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # linked list of parts by their first byte
-    pair = [-1] * n  # the rank of the pair that starts here; an entry of another rank is stale
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-    while True:
-        rank, i = queue.pop()
-        if i < 0:
-            break
-        if pair[i] != rank:
-            continue
-        j = after[i]
-        k = after[i] = after[j]
-        pair[i] = pair[j] = -1
-        if k < n:
-            before[k] = i
-            r = ranks.get(piece[i : after[k]])
-            if r is not None:
-                pair[i] = r
-                queue.push(r, i)
-        h = before[i]
-        if h >= 0:
-            r = ranks.get(piece[h:k])
-            pair[h] = -1 if r is None else r
-            if r is not None:
-                queue.push(r, h)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+        self.low[b] &= ~(1 << (rank & 63))
+        if not self.low[b]:
+            self.mid[a] &= ~(1 << (b & 63))
+            if not self.mid[a]:
+                self.top &= ~(1 << a)
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
+        return rank, bucket
+
+
+class Encoder:
+    """Merges of pre-tokens by one vocabulary (ranks of byte strings)."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)])
+        self.pairs = np.array([ranks.get(bytes([i >> 8, i & 255]), -1) for i in range(1 << 16)])
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token (of a byte or more): in each the leftmost pair of the least rank merges until none has a rank.
+
+        All pre-tokens lie in one row of bytes and share the queue. No pair crosses an edge, so what merges in one
+        doesn't change another, and the least rank of all is the least of its own pre-token."""
+        if not pieces:
+            return []
+        ranks, queue, text = self.ranks.get, self.queue, b"".join(pieces)
+        push, n, raw = queue.push, len(text), np.frombuffer(text, np.uint8).astype(np.int64)
+        firsts = np.cumsum([0, *map(len, pieces)])
+        edge = np.zeros(n + 1, np.uint8)
+        edge[firsts] = 1
+        first = np.full(n, -1)
+        first[:-1] = np.where(edge[1:-1] == 1, -1, self.pairs[raw[:-1] << 8 | raw[1:]])
+        edge, pair, part = edge.tobytes(), first.tolist(), self.bytes[raw].tolist()
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n)), bytearray(b"\1") * n  # linked list of parts by their first byte
+        order = np.argsort(first, kind="stable")[np.count_nonzero(first < 0) :]
+        if len(order):
+            found, starts = np.unique(first[order], return_index=True)
+            for rank, positions in zip(found.tolist(), np.split(order, starts[1:])):
+                queue.put(rank, positions.tolist())
+        while True:
+            rank, bucket = queue.pop()
+            if rank < 0:
+                break
+            for at, i in enumerate(bucket):
+                if pair[i] != rank:  # stale
+                    continue
+                j = after[i]
+                k = after[i] = after[j]
+                part[i], pair[i], pair[j], alive[j] = rank, -1, -1, 0
+                before[k] = i
+                least = rank
+                if not edge[k]:
+                    r = ranks(text[i : after[k]])
+                    if r is not None:
+                        pair[i] = r
+                        push(r, i)
+                        if r < least:
+                            least = r
+                if not edge[i]:
+                    h = before[i]
+                    r = ranks(text[h:k])
+                    if r is None:
+                        pair[h] = -1
+                    else:
+                        pair[h] = r
+                        push(r, h)
+                        if r < least:
+                            least = r
+                if least < rank:  # goes first
+                    if at + 1 < len(bucket):
+                        queue.put(rank, bucket[at + 1 :])
+                    break
+        alive = np.frombuffer(alive, np.uint8)
+        ends = np.concatenate([[0], np.cumsum(alive, dtype=np.int64)])[firsts].tolist()
+        ids = np.array(part)[alive == 1].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def encode_piece(piece: bytes, encoder: Encoder) -> list[int]:
+    """Ids of one pre-token."""
+    whole = encoder.ranks.get(piece)
+    return [whole] if whole is not None else encoder.merge([piece])[0]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,26 +154,25 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         import regex
 
         ranks, find = shared.value, regex.compile(pattern).findall
-        queue = RankQueue(max(ranks.values()) + 1)
-
-        class Memo(dict):
-            def __missing__(self, piece):
-                raw = piece.encode()
-                ids = encode_piece(raw, ranks, queue)
-                if len(raw) <= MEMO_BYTES:
-                    if len(self) >= MEMO:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        memo = Memo()
+        encoder, memo = Encoder(ranks), {}
         for batch in batches:
             for block in cut(batch, "text"):
+                found = [find(text) if text else () for text in block.column("text").to_pylist()]
+                if len(memo) > MEMO:
+                    memo.clear()
+                new = set().union(*found).difference(memo)
+                raw = {piece: piece.encode() for piece in new}
+                memo.update((piece, [ranks[b]]) for piece, b in raw.items() if b in ranks)
+                split = [piece for piece, b in raw.items() if b not in ranks]
+                memo.update(zip(split, encoder.merge([raw[piece] for piece in split])))
                 ids, ends = [], [0]
-                for text in block.column("text").to_pylist():
-                    for piece in find(text) if text else ():
+                for pieces in found:
+                    for piece in pieces:
                         ids += memo[piece]
                     ends.append(len(ids))
+                for piece in split:
+                    if len(piece) > MEMO_CHARS:
+                        del memo[piece]
                 yield pa.RecordBatch.from_pydict({"_id": block.column("_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
@@ -144,14 +181,30 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """tokens with the bytes of their ids in place of ids_col. A null list has no bytes; an id outside the vocabulary fails the job."""
-    shared = tokens.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_ranks(path).items()})
+    ranks = sorted((rank, token) for token, rank in read_ranks(path).items())
+    ends = np.zeros(ranks[-1][0] + 2, np.int64)
+    ends[[rank + 1 for rank, _ in ranks]] = [len(token) for _, token in ranks]
+    shared = tokens.sparkSession.sparkContext.broadcast((np.cumsum(ends), b"".join(token for _, token in ranks)))
     schema = tokens.select(*(F.lit(b"").alias(out) if c == ids_col else F.col(c) for c in tokens.columns)).schema
     place = tokens.columns.index(ids_col)
 
     def run(batches):
-        token = shared.value.__getitem__
+        ends, text = shared.value
+        text, sizes = np.frombuffer(text, np.uint8), np.diff(ends)
         for batch in batches:
-            texts = [b"".join(map(token, ids.values.to_pylist())) if ids.is_valid else b"" for ids in batch.column(place)]
-            yield batch.set_column(place, out, pa.array(texts, pa.binary()))
+            counts = np.concatenate([[0], np.cumsum(batch.column(place).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(counts, counts[at] + DECODED, "right")) - 1)
+                rows = batch.slice(at, to - at)
+                ids = rows.column(place).flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
+                    raise ValueError("an id is not in the vocabulary")
+                size = sizes[ids]
+                upto = np.concatenate([[0], np.cumsum(size)])
+                data = text[np.arange(upto[-1]) + np.repeat(ends[ids] - upto[:-1], size)]
+                bounds = upto[counts[at : to + 1] - counts[at]].astype(np.int32)
+                yield rows.set_column(place, out, pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]))
+                at = to
 
     return tokens.mapInArrow(run, schema)
