@@ -1,7 +1,8 @@
 """Language-model scores: a causal self-attention model over subword ids, mixed with the corpus's word counts.
 
-The model is trained with numpy on the driver from a bounded sample of the training texts (SAMPLE_DOCS texts of at most SAMPLE_BYTES);
-word counts come from all training texts. A text's words are coded by a public tokenizer's subwords, the last of
+The model is trained on all training texts: in each of ROUNDS rounds the tasks go on from the last round's model over their shares of
+the round's texts, a block at a time, and Spark averages what they have learnt by the number of codes. Texts of any length are cut into
+windows. Word and subword counts and the mixture's share come from all training texts too. A text's words are coded by a public tokenizer's subwords, the last of
 each word marked, so that a word's code is no other's beginning and the subwords' probabilities multiply to the word's.
 """
 
@@ -17,9 +18,15 @@ from pyspark.sql import functions as F
 from corpusstat.llm.blocks import BLOCK, LOWER, buffers, cut, lists, run_hashes, signed, words, written
 from corpusstat.llm.bpe import read_ranks
 
-SAMPLE_DOCS, SAMPLE_BYTES, SEED = 300, 20_000, 11
+SEED = 11
+#: Disjoint parts of the training texts, by hash; after each the tasks' models are averaged. Windows in a step, and the step size.
+ROUNDS, BATCH, RATE = 4, 64, 0.01
+#: Floats in a slice of a model that is averaged.
+SLICE = 4096
+#: Bins of log(attention / count's share) that the mixture's share is fitted on, from -LOGS to LOGS.
+BINS, LOGS = 4096, 40.0
 #: Positions of a context window, and of these how many at its end are scored.
-WINDOW, SCORED = 40, 32
+WINDOW, SCORED = 64, 48
 #: Width, classes of the two-level softmax, and members of a class.
 WIDTH, CLASSES, MEMBERS = 16, 64, 64
 #: Words with at least 1/FREQUENT of all tokens are broadcast, so at most FREQUENT words.
@@ -160,46 +167,105 @@ def backward(m: dict, inputs, dh, saved, g: dict) -> None:
     dx[:, WINDOW - SCORED :] += dh + dq @ m["Q"].T
     g["Q"], g["K"], g["V"] = np.einsum("wsi,wsj->ij", y, dq), np.einsum("wsi,wsj->ij", x, dk), np.einsum("wsi,wsj->ij", x, dv)
     g["P"], g["E"] = dx.sum(0), np.zeros_like(m["E"])
-    np.add.at(g["E"], inputs.ravel(), dx.reshape(-1, WIDTH))
+    at = inputs.ravel()
+    order = np.argsort(at, kind="stable")
+    found, begin = np.unique(at[order], return_index=True)
+    g["E"][found] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begin)
 
 
-def train(codes: np.ndarray, n: np.ndarray, size: int, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = SEED) -> dict:
-    """The model for sequences of n codes. The CLASSES * MEMBERS - 1 most frequent codes have a target of their own, the others share the last one,
-    divided evenly."""
+#: What a model learns; the rest follows from the counts.
+LEARNT = ("E", "P", "Q", "K", "V", "O", "C", "M", "c", "m")
+
+
+def initial(counts: np.ndarray, seed: int = SEED) -> dict:
+    """The untrained model for these counts of codes. The CLASSES * MEMBERS - 1 most frequent codes have a target of their own, the others share
+    the last one, divided by their counts."""
     rng = np.random.default_rng(seed)
-    counts = np.bincount(codes, minlength=size)
     own = np.argsort(-counts, kind="stable")[: CLASSES * MEMBERS - 1]
-    target = np.full(size, CLASSES * MEMBERS - 1)
+    target = np.full(len(counts), CLASSES * MEMBERS - 1)
     target[own] = np.arange(len(own))
+    rest = np.where(target == CLASSES * MEMBERS - 1, counts + 0.1, 0)
+    rest = np.log(np.where(rest > 0, rest / max(1e-9, rest.sum()), 1)).astype(np.float32)
     spread = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     m = {"E": spread(CLASSES * MEMBERS + 1, WIDTH), "P": spread(WINDOW, WIDTH), "Q": spread(WIDTH, WIDTH), "K": spread(WIDTH, WIDTH), "V": spread(WIDTH, WIDTH), "O": spread(WIDTH, WIDTH)}
     m |= {"C": spread(WIDTH, CLASSES), "M": spread(CLASSES, WIDTH, MEMBERS)}
-    seen = np.bincount(target[codes], minlength=CLASSES * MEMBERS).reshape(CLASSES, MEMBERS) + 0.1
+    seen = np.bincount(target, weights=counts, minlength=CLASSES * MEMBERS).reshape(CLASSES, MEMBERS) + 0.1
     m |= {"c": np.log(seen.sum(1) / seen.sum()).astype(np.float32), "m": np.log(seen / seen.sum(1, keepdims=True)).astype(np.float32)}
-    learnt = list(m)
     at = np.arange(WINDOW)
-    m |= {"mask": (at[None, :] <= at[WINDOW - SCORED :, None]).astype(np.float32), "target": target, "rest": np.float32(-np.log(max(1, size - len(own))))}
-    inputs, goals, good = batches(m, codes, n)
-    first, second, step = {k: np.zeros_like(m[k]) for k in learnt}, {k: np.zeros_like(m[k]) for k in learnt}, 0
-    total = epochs * -(-len(inputs) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(inputs))
-        for k in range(0, len(order), batch):
-            some = order[k : k + batch]
+    return m | {"mask": (at[None, :] <= at[WINDOW - SCORED :, None]).astype(np.float32), "target": target, "rest": rest}
+
+
+class Trainer:
+    """Goes on from a model, by Adam, with the learning rate of the round."""
+
+    def __init__(self, m: dict, turn: int, seed: int = SEED):
+        self.m = m | {k: m[k].copy() for k in LEARNT}
+        self.first, self.second, self.step = {k: np.zeros_like(m[k]) for k in LEARNT}, {k: np.zeros_like(m[k]) for k in LEARNT}, 0
+        self.rate, self.rng, self.seen = RATE * (1 - 0.9 * turn / ROUNDS), np.random.default_rng(seed + turn), 0
+
+    def __call__(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Learns from sequences of n codes; returns the log probability of each code before the step that it was in."""
+        m = self.m
+        inputs, goals, good = batches(m, codes, n)
+        real = goals >= 0
+        place = np.cumsum(real.ravel()).reshape(real.shape) - 1
+        out = np.zeros(len(codes))
+        order = self.rng.permutation(len(inputs))
+        for k in range(0, len(order), BATCH):
+            some = order[k : k + BATCH]
+            own = real[some]
             h, saved = forward(m, inputs[some], good[some])
-            real = goals[some] >= 0
-            _, d, g = log_probs(m, h[real], goals[some][real], gradient=True)
+            lp, d, g = log_probs(m, h[own], goals[some][own], gradient=True)
+            out[place[some][own]] = lp
             dh = np.zeros_like(h)
-            dh[real] = d
+            dh[own] = d
             backward(m, inputs[some], dh, saved, g)
-            step += 1
-            now = rate * min(1, step / 20) * (1 - 0.9 * step / total)
-            for name in learnt:
-                grad = g[name] / max(1, real.sum())
-                first[name] = 0.9 * first[name] + 0.1 * grad
-                second[name] = 0.99 * second[name] + 0.01 * grad * grad
-                m[name] -= (now * first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return m
+            self.step += 1
+            now, weight = self.rate * min(1, self.step / 20), np.float32(1 / max(1, own.sum()))
+            for name in LEARNT:
+                grad, first, second = g[name] * weight, self.first[name], self.second[name]
+                first *= np.float32(0.9)
+                first += np.float32(0.1) * grad
+                second *= np.float32(0.99)
+                second += np.float32(0.01) * grad * grad
+                m[name] -= np.float32(now / (1 - 0.9**self.step)) * first / (np.sqrt(second / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+        self.seen += len(codes)
+        return out + m["rest"][codes]
+
+    def slices(self) -> pa.RecordBatch:
+        """The model in slices, each weighted by the codes that it was trained on."""
+        flat = np.concatenate([self.m[k].ravel() for k in LEARNT]).astype(np.float64) * self.seen
+        parts = [flat[k : k + SLICE].tobytes() for k in range(0, len(flat), SLICE)]
+        return pa.RecordBatch.from_pydict({"slice": pa.array(range(len(parts)), pa.int32()), "weight": np.full(len(parts), float(self.seen)), "w": pa.array(parts, pa.binary())})
+
+
+def summed(table: pa.Table) -> pa.Table:
+    total = np.zeros(len(table.column("w")[0].as_py()) // 8)
+    for w in table.column("w"):
+        total += np.frombuffer(w.as_py())
+    return pa.table({"slice": table.column("slice")[:1], "weight": [float(np.sum(table.column("weight").to_numpy()))], "w": pa.array([total.tobytes()], pa.binary())})
+
+
+def averaged(m: dict, slices: DataFrame) -> tuple[dict, np.ndarray]:
+    """The model that the tasks' slices average to (m itself where nothing was learnt from), and the sum of slices -1."""
+    rows = {r.slice: r for r in slices.groupBy("slice").applyInArrow(summed, "slice int, weight double, w binary").collect()}
+    ratios = rows.pop(-1, None)
+    if not rows:
+        return m, np.zeros(BINS)
+    flat, out, at = np.concatenate([np.frombuffer(rows[k].w) for k in sorted(rows)]) / rows[0].weight, dict(m), 0
+    for k in LEARNT:
+        out[k] = flat[at : at + m[k].size].reshape(m[k].shape).astype(np.float32)
+        at += m[k].size
+    return out, np.frombuffer(ratios.w)
+
+
+def share_of(ratios: np.ndarray) -> float:
+    """The attention's share that makes the training tokens likeliest (EM), given how many have which bin of log(attention / count's share)."""
+    odds = np.exp((np.arange(BINS) + 0.5) * (2 * LOGS / BINS) - LOGS)
+    share = 0.5
+    for _ in range(30 if ratios.sum() else 0):
+        share = float(np.clip(np.average(share * odds / (share * odds + 1 - share), weights=ratios), 0.05, 0.95))
+    return share
 
 
 def batches(m: dict, codes: np.ndarray, n: np.ndarray):
@@ -221,41 +287,48 @@ def code_scores(m: dict, codes: np.ndarray, n: np.ndarray, windows_at_once: int
         goal = goals[some][real]
         parts = [slice(j, min(j + inner, k + windows_at_once)) for j in range(k, min(k + windows_at_once, len(inputs)), inner)]  # these fit a core's cache
         h = np.concatenate([forward(m, inputs[p], good[p])[0] for p in parts])
-        out.append(log_probs(m, h[real], goal)[0] + np.where(goal == CLASSES * MEMBERS - 1, m["rest"], 0))
-    return np.concatenate(out) if out else np.zeros(0)
+        out.append(log_probs(m, h[real], goal)[0])
+    return np.concatenate(out) + m["rest"][codes] if out else np.zeros(0)
 
 
-def word_scores(coder: Coder, m: dict, data, starts, ends, doc, hashes, rows: int) -> np.ndarray:
+def word_scores(coder: Coder, f, data, starts, ends, doc, hashes, rows: int) -> np.ndarray:
+    """Sums over each word's codes of what f gives for the codes and their number in each text."""
     codes, per = coder(data, starts, ends, hashes)
     n = np.bincount(np.repeat(doc, per), minlength=rows)
-    return np.add.reduceat(code_scores(m, codes, n).astype(np.float64), np.cumsum(per) - per) if len(per) else np.zeros(0)
+    return np.add.reduceat(f(codes, n).astype(np.float64), np.cumsum(per) - per) if len(per) else np.zeros(0)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def counted(batches):
-    """Counts of the words of all rows of a task, given out whenever many have gathered."""
-    have, n = [], 0
+def counted(batches, coder: Coder):
+    """Counts of the words of all rows of a task, given out whenever many have gathered, and of the words' codes."""
+    have, n, codes = [], 0, np.zeros(coder.end + 1, np.int64)
 
     def summed():
         keys, place = np.unique(np.concatenate([k for k, _ in have]), return_inverse=True)
         return keys, np.bincount(place, weights=np.concatenate([c for _, c in have])).astype(np.int64)
 
+    def rows(keys, c, code=False):
+        return pa.RecordBatch.from_pydict({"word": signed(keys), "code": np.full(len(keys), code), "c": c})
+
     for batch in batches:
         for block in cut(batch, "text"):
-            have.append(np.unique(tokens(block)[4], return_counts=True))
+            data, starts, ends, _, hashes = tokens(block)
+            codes += np.bincount(coder(data, starts, ends, hashes)[0], minlength=len(codes))
+            have.append(np.unique(hashes, return_counts=True))
             n += len(have[-1][0])
             if n > 500_000:
                 have = [summed()]
                 n = len(have[0][0])
                 if n > 250_000:
-                    yield pa.RecordBatch.from_pydict({"word": signed(have[0][0]), "c": have[0][1]})
+                    yield rows(*have[0])
                     have, n = [], 0
     if have:
-        keys, c = summed()
-        yield pa.RecordBatch.from_pydict({"word": signed(keys), "c": c})
+        yield rows(*summed())
+    seen = np.flatnonzero(codes)
+    yield rows(seen, codes[seen], True)
 
 
 def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,35 +337,70 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
 
     Tokens are the words without \x20 and \x09-\x0D, A-Z in lower case, and one end of each text. Counts are of all texts
     that aren't held out. base_score: the sum of log10((c + 0.1) / (N + 0.1 * (V + 1))). score: of each token
-    log10(share * attention + (1 - share) * c/N'), where the second part is of the frequent words alone (N' is their sum) and the share is fitted on the sample.
-    Frequent words (a fixed share of all tokens, so of bounded number) are looked up in the tasks, the others joined.
+    log10(share * attention + (1 - share) * c/N), where the share is fitted on the
+    training texts: attention as each task's model had it before it learnt from the token, c/N without the token itself.
+    The model depends on how the rows are dealt out to tasks.
+    Frequent words (a fixed share of all tokens, so of bounded number) are looked up in the tasks, the others joined along with their attention's part.
 
     Nulls: a null text is empty and has its end alone; a null id trains. Repeated rows are scored one by one and count as often as they
     stand there. No rows give no rows; other columns are ignored."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held", held_out(F.col("_id")))
     training = rows.where(~F.col("held"))
-    counts = written(training.select("text").mapInArrow(counted, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
+    ranks = read_ranks(path)
+    end = Coder(ranks, pattern).end
+    public = spark.sparkContext.broadcast(ranks)
+    found = training.select("text").mapInArrow(lambda batches: counted(batches, Coder(public.value, pattern)), "word long, code boolean, c long")
+    found = written(found.groupBy("word", "code").agg(F.sum("c").alias("c")), "word-counts")
+    counts, coded = found.where(~F.col("code")).drop("code"), np.zeros(end + 1, np.int64)
+    for r in found.where("code").collect():  # at most two for each piece of the vocabulary
+        coded[r.word] = r.c
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = counts.where(F.col("c") * FREQUENT >= total).collect()  # at most FREQUENT rows
     keys = np.array([r.word for r in common], np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, c = keys[order], np.array([r.c for r in common], np.int64)[order]
-    sample = training.where(F.octet_length("text") <= SAMPLE_BYTES).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).select("text")
-    texts = pa.RecordBatch.from_pydict({"text": pa.array([r.text for r in sample.collect()], pa.string())})
-    ranks = read_ranks(path)
-    coder = Coder(ranks, pattern)
-    data, starts, ends, doc, hashes = tokens(texts)
-    codes, per = coder(data, starts, ends, hashes)
-    model = train(codes, np.bincount(np.repeat(doc, per), minlength=texts.num_rows), coder.end + 1)
 
     def unigram(hashes, keys, c):
         at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
         return np.where(keys[at] == hashes, c[at], 0) if len(keys) else np.zeros(len(hashes), np.int64)
 
-    share, attention, seen = 0.5, np.exp(word_scores(coder, model, data, starts, ends, doc, hashes, texts.num_rows)), unigram(hashes, keys, c) / max(1, c.sum())
-    for _ in range(10 if len(hashes) else 0):
-        share = float(np.clip(np.mean(share * attention / (share * attention + (1 - share) * seen)), 0.05, 0.95))
+    frequent = spark.sparkContext.broadcast((keys, c))
+    model = initial(coded)
+    ratios, rare = np.zeros(BINS), None
+    kinds = "slice int, weight double, w binary, word array<long>, lp array<float>"
+    for turn in range(ROUNDS):
+        part = training.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text")
+        now = spark.sparkContext.broadcast(model)
+
+        def learnt(batches, now=now, turn=turn):
+            trainer, coder, (keys, c), seen = Trainer(now.value, turn), Coder(public.value, pattern), frequent.value, np.zeros(BINS)
+            for batch in batches:
+                for block in cut(batch, "text", BLOCK // 2):
+                    data, starts, ends, doc, hashes = tokens(block)
+                    lp = word_scores(coder, trainer, data, starts, ends, doc, hashes, block.num_rows)
+                    have = unigram(hashes, keys, c)
+                    known = have > 0
+                    others = (have[known] - 1) / max(1, total - 1)  # without the token itself
+                    at = (lp[known] - np.log(np.maximum(others, 1e-30)) + LOGS) * (BINS / (2 * LOGS))
+                    seen += np.bincount(np.clip(at, 0, BINS - 1).astype(np.int64), minlength=BINS)
+                    if not known.all():
+                        whole = np.array([0, int((~known).sum())])
+                        yield pa.RecordBatch.from_pydict({"slice": pa.nulls(1, pa.int32()), "weight": pa.nulls(1, pa.float64()), "w": pa.nulls(1, pa.binary()), "word": lists(signed(hashes[~known]), whole, pa.int64()), "lp": lists(lp[~known].astype(np.float32), whole, pa.float32())})
+            out = [*trainer.slices().to_pylist(), {"slice": -1, "weight": 0.0, "w": seen.tobytes()}] if trainer.seen else []
+            yield pa.RecordBatch.from_pylist([r | {"word": None, "lp": None} for r in out], pa.schema([("slice", pa.int32()), ("weight", pa.float64()), ("w", pa.binary()), ("word", pa.list_(pa.int64())), ("lp", pa.list_(pa.float32()))]))
+
+        made = written(part.mapInArrow(learnt, kinds), "learnt")
+        model, seen = averaged(model, made.where(F.col("slice").isNotNull()).select("slice", "weight", "w"))
+        ratios += seen
+        apart = made.where(F.col("slice").isNull()).select(F.explode(F.arrays_zip("word", "lp")).alias("r")).select("r.*")
+        rare = apart if rare is None else rare.unionByName(apart)
+        now.unpersist()
+    ratio = F.col("lp").cast("double") - F.log(F.greatest((F.col("c") - 1) / max(1, total - 1), F.lit(1e-30)))
+    place = F.least(F.greatest(F.floor((ratio + LOGS) * (BINS / (2 * LOGS))), F.lit(0)), F.lit(BINS - 1))
+    for r in rare.join(counts, "word").groupBy(place.alias("at")).count().collect():  # at most BINS rows
+        ratios[r["at"]] += r["count"]
+    share = share_of(ratios)
     shared = spark.sparkContext.broadcast({"ranks": ranks, "model": model, "keys": keys, "c": c})
     divisor = total + 0.1 * (distinct + 1)
 
@@ -305,7 +413,7 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
                 data, starts, ends, doc, hashes = tokens(block)
                 have = unigram(hashes, keys, c)
                 known = have > 0
-                lp = np.log(share) + word_scores(coder, model, data, starts, ends, doc, hashes, n)
+                lp = np.log(share) + word_scores(coder, lambda codes, n: code_scores(model, codes, n), data, starts, ends, doc, hashes, n)
                 lp[known] = np.logaddexp(lp[known], np.log((1 - share) * have[known] / c.sum()))
                 base = np.where(known, np.log10((have + 0.1) / divisor), 0)
                 rare = np.concatenate([[0], np.cumsum(np.bincount(doc[~known], minlength=n))])
