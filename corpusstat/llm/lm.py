@@ -414,20 +414,21 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
                 have = unigram(hashes, keys, c)
                 known = have > 0
                 lp = np.log(share) + word_scores(coder, lambda codes, n: code_scores(model, codes, n), data, starts, ends, doc, hashes, n)
-                lp[known] = np.logaddexp(lp[known], np.log((1 - share) * have[known] / c.sum()))
+                lp[known] = np.logaddexp(lp[known], np.log((1 - share) * have[known] / total))
                 base = np.where(known, np.log10((have + 0.1) / divisor), 0)
                 rare = np.concatenate([[0], np.cumsum(np.bincount(doc[~known], minlength=n))])
                 yield pa.RecordBatch.from_pydict({
                     "_id": block.column("_id"), "held": block.column("held"), "n": np.bincount(doc, minlength=n).astype(np.int64), "known": np.bincount(doc[known], minlength=n).astype(np.int64),
-                    "base": np.bincount(doc, weights=base, minlength=n), "score": np.bincount(doc, weights=lp / np.log(10), minlength=n), "rare": lists(signed(hashes[~known]), rare, pa.int64()),
+                    "base": np.bincount(doc, weights=base, minlength=n), "score": np.bincount(doc, weights=np.where(known, lp, 0) / np.log(10), minlength=n), "rare": lists(signed(hashes[~known]), rare, pa.int64()), "rare_lp": lists(lp[~known].astype(np.float32), rare, pa.float32()),
                 })
 
     kind = rows.schema["_id"].dataType.simpleString()
-    first = rows.mapInArrow(run, f"_id {kind}, held boolean, n long, known long, base double, score double, rare array<long>")
+    first = rows.mapInArrow(run, f"_id {kind}, held boolean, n long, known long, base double, score double, rare array<long>, rare_lp array<float>")
     first = written(first.withColumn("rid", F.monotonically_increasing_id()), "scores")
-    apart = first.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
-    apart = apart.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(divisor))).alias("rest"))
-    out = first.drop("rare").join(apart, "rid", "left")
+    apart = first.select("rid", F.explode(F.arrays_zip("rare", "rare_lp")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.rare_lp").cast("double").alias("lp")).join(counts, "word", "left")
+    mixed = F.when(F.col("c").isNull(), F.col("lp")).otherwise(F.log(F.exp("lp") + F.lit((1 - share) / max(1, total)) * F.col("c"))) / float(np.log(10))
+    apart = apart.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(divisor))).alias("rest"), F.sum(mixed).alias("mixed"))
+    out = first.drop("rare", "rare_lp").join(apart, "rid", "left")
     zero = F.lit(0)
     return out.select(F.col("_id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("rest", zero)).alias("base_score"), "score")
+                      (F.col("base") + F.coalesce("rest", zero)).alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"))

@@ -12,6 +12,15 @@ def scores(spark, rows):
     return {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), P.path(queries.RANKS), P.PATTERN).collect()}
 
 
+def test_lm_rare_words_count_the_same_joined_or_broadcast(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("river stone cloud meadow lantern harbour".split()) for _ in range(20)) + f" single{i}") for i in range(40)]
+    want = scores(spark, rows)
+    monkeypatch.setattr(lm, "FREQUENT", 8)
+    got = scores(spark, rows)
+    assert max(abs(want[i] - got[i]) for i in want) < 1e-3
+
+
 def test_lm_learns_from_every_text_however_long_or_late(spark):
     r = random.Random(4)
     cycle = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
