@@ -57,7 +57,7 @@ def op7_chat_format(spark, sf_dir):
 
 def op8_secret_scan(spark, sf_dir):
     out = secret_scan.scan(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "place", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "secret")
+    return out.select("doc_id", "place", "run", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "secret")
 
 
 def op9_byte_bpe(spark, sf_dir):

@@ -18,6 +18,9 @@ TREES, DEPTH, SEED = 15, 5, 7
 MASK = "[SECRET]"
 #: A candidate: a run of these characters, at least 20 long, with a digit.
 RUN = "[A-Za-z0-9+/_=-]{20,}"
+#: Behind a cue word, or as the password of an address, also what is shorter or has no digit.
+SHORT = "[A-Za-z0-9+/_=!?@#$%^&*.~-]{7,}[A-Za-z0-9+/_=!@#$%^&*~-]"
+USER, PASSWORD = "^//[^/@]*$", "^([^/@]{4,})@"
 #: Pieces that readable strings are made of.
 DICTIONARY = "example sample test dummy your key token secret here change placeholder insert user name path file home local share python lib the and ing tion ment heit ver data config value default class func get set module node version build release image index page report summary chapter section".split()
 CUES = "(?i)(token|secret|passw|api.?key|access.?key|private.?key|auth|credential|bearer)"
@@ -31,12 +34,28 @@ def words(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array of struct<place, value, before>: candidates by word, with the two words before each."""
-    w = words(text)
+    """array of struct<place, run, value, before>: candidates by word and number within it, with the two words before each. They are the
+    runs with a digit, and of a word without one, if it stands behind a cue word or a user's name, what may be a password."""
+    return F.get(F.transform(F.array(words(text)), among), 0)  # split once, not for each word
+
+
+def among(w: Column) -> Column:
+    """The candidates among the words of a text."""
     placed = F.transform(w, lambda x, i: F.struct(i.alias("place"), x.alias("word")))
-    long = F.filter(placed, lambda p: (F.length(p["word"]) >= 20) & p["word"].rlike(RUN) & p["word"].rlike("[0-9]"))
-    found = F.transform(long, lambda p: F.struct(p["place"].alias("place"), F.regexp_extract(p["word"], RUN, 0).alias("value"), F.concat_ws(" ", F.get(w, p["place"] - 2), F.get(w, p["place"] - 1)).alias("before")))
-    return F.filter(found, lambda c: c["value"].rlike("[0-9]"))
+    before = lambda p: F.replace(F.concat_ws(" ", F.get(w, p["place"] - 2), F.get(w, p["place"] - 1)), F.lit(MASK), F.lit(""))
+    user = lambda p: p["word"].contains("@") & F.coalesce(F.get(w, p["place"] - 1).rlike(USER), F.lit(False)) & p["word"].rlike(PASSWORD)
+    runs = lambda p: F.filter(F.regexp_extract_all(p["word"], F.lit(f"({RUN})"), 1), lambda r: r.rlike("[0-9]"))
+    near = F.filter(placed, lambda p: (F.length(p["word"]) >= 5) & ((p["word"].rlike(RUN) & p["word"].rlike("[0-9]")) | user(p) | ((F.length(p["word"]) >= 8) & before(p).rlike(CUES) & p["word"].rlike(SHORT))))
+    full = F.transform(near, lambda p: F.struct(p["place"].alias("place"), p["word"].alias("word"), before(p).alias("before"), user(p).alias("user"), runs(p).alias("runs")))
+    short = lambda p: F.when(p["user"], F.array(F.regexp_extract(p["word"], PASSWORD, 1))).when(p["before"].rlike(CUES) & p["word"].rlike(SHORT), F.array(F.regexp_extract(p["word"], SHORT, 0))).otherwise(F.array().cast("array<string>"))
+    values = lambda p: F.when(F.size(p["runs"]) > 0, p["runs"]).otherwise(short(p))
+    cue = lambda p: F.when(p["user"], F.concat(p["before"], F.lit(" password"))).otherwise(p["before"])
+    return F.flatten(F.transform(full, lambda p: F.transform(values(p), lambda v, i: F.struct(p["place"].alias("place"), i.alias("run"), v.alias("value"), cue(p).alias("before")))))
+
+
+def suspect(text: Column) -> Column:
+    """Whether a text can have a candidate."""
+    return text.rlike(RUN) | text.rlike(CUES) | text.rlike("//[^/@]*@")
 
 
 def features(value: Column, before: Column, path: Column) -> list[Column]:
@@ -68,6 +87,13 @@ def labelled(seed: int = SEED, each: int = 60) -> list[tuple[str, str, str, int]
         out += [(pick(hexes, r.choice((32, 40, 64))), cue(), path(), 1), (pick(alnum + "+/", 40), cue(), path(), 1), ("AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), r.choice((cue(), near())), path(), 1), ("ghp_" + pick(alnum, 36), r.choice((cue(), near())), path(), 1), ("sk-" + pick(alnum, 45), r.choice((cue(), near())), path(), 1)]
         out += [(pick(hexes, r.choice((32, 40, 64))), anti(), path(), 0), (pick(hexes.upper(), 40), r.choice((anti(), near())), path(), 0), (str(uuid.UUID(int=r.getrandbits(128))), r.choice((anti(), near(), "id")), path(), 0), (words_of(4) + str(r.randrange(100)), r.choice((near(), cue())), path(), 0), ("your_" + words_of(2) + "_here_123", cue(), path(), 0)]
         out += [("/" + words_of(2).replace("_", "/") + "/lib/python3/" + words_of(1), near(), path(), 0), (pick("0123456789", r.randrange(20, 30)), near(), path(), 0), ("x" * r.randrange(16, 30) + "1234", cue(), path(), 0), (pick(hexes, 40), r.choice(("cue", "x")) + " example", "tests/fixture.py", 0)]
+    # What stands behind a cue word: passwords and keys without a digit, parts of keys with points, and the words of running text.
+    syllables = "ba ce di fo gu han ler mis nor pel qui ras ste tor und ver wei zon".split()
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(3, 7)))
+    for _ in range(each):
+        mixed = lambda n: "".join(r.choice(kind) for kind in r.sample([alnum[:26], alnum[26:52], "0123456789", "!@#$%^&*"], 4)) + pick(alnum + "!@#$%^&*", n - 4)
+        out += [(mixed(r.randrange(8, 20)), cue(), path(), 1), (pick(alnum, r.randrange(10, 20)) + str(r.randrange(10)), cue(), path(), 1), (pick(alnum[:52], r.randrange(20, 50)), cue(), path(), 1), (pick(alnum + "_-", r.choice((22, 43, 60, 90))) + str(r.randrange(10)), cue(), path(), 1)]
+        out += [(r.choice((word(), word().capitalize(), word() + "-" + word(), word().upper())), cue(), path(), 0), (words_of(r.randrange(1, 5)) + "_value", cue(), path(), 0), (f"{r.randrange(1990, 2030)}-0{r.randrange(1, 10)}-{r.randrange(10, 30)}", cue(), path(), 0), (word() + r.choice(("/", ".", "...")) + word(), cue(), path(), 0)]
     return out
 
 
@@ -120,21 +146,21 @@ def score(trees: list, values: list[Column]) -> Column:
 
 
 def findings(text: Column, path: Column, trees: list) -> Column:
-    """array of struct<place, value, score, secret> of one text."""
-    rated = F.transform(candidates(text), lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), F.array(*features(c["value"], c["before"], path)).alias("f")))
-    scored = F.transform(rated, lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), score(trees, [F.get(c["f"], i) for i in range(len(NAMES))]).alias("score")))
-    return F.transform(scored, lambda c: F.struct(c["place"], c["value"], c["score"], (c["score"] >= 500).alias("secret")))
+    """array of struct<place, run, value, score, secret> of one text."""
+    rated = F.transform(candidates(text), lambda c: F.struct(c["place"].alias("place"), c["run"].alias("run"), c["value"].alias("value"), F.array(*features(c["value"], c["before"], path)).alias("f")))
+    scored = F.transform(rated, lambda c: F.struct(c["place"].alias("place"), c["run"].alias("run"), c["value"].alias("value"), score(trees, [F.get(c["f"], i) for i in range(len(NAMES))]).alias("score")))
+    return F.transform(scored, lambda c: F.struct(c["place"], c["run"], c["value"], c["score"], (c["score"] >= 500).alias("secret")))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", trees: list | None = None) -> DataFrame:
-    """One row per candidate: id, place (number of the word), value, score (0 to 1000), secret (500 or more).
+    """One row per candidate: id, place (number of the word), run (number within the word), value, score (0 to 1000), secret (500 or more).
 
     Nulls: a null or empty text has no candidates, a null path no path words, a null id stays. Repeated rows are scanned one by
     one. No rows, or none with a candidate, give no rows; other columns are ignored."""
     trees = trees or fit(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), path.alias("_path"))
-    rows = rows.where(F.col("_text").rlike(RUN)).select("_id", F.explode(findings(F.col("_text"), F.col("_path"), trees)).alias("c"))
+    rows = rows.where(suspect(F.col("_text"))).select("_id", F.explode(findings(F.col("_text"), F.col("_path"), trees)).alias("c"))
     return rows.select(F.col("_id").alias(id_col), "c.*")
 
 
@@ -144,5 +170,6 @@ def redact(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "s
     trees = trees or fit(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     found = F.filter(findings(F.col(text_col), path, trees), lambda c: c["secret"])
+    found = F.array_sort(found, lambda a, b: F.length(b["value"]) - F.length(a["value"]))  # a value within another comes after it
     masked = F.aggregate(found, F.col(text_col), lambda t, c: F.replace(t, c["value"], F.lit(mask)))
-    return docs.withColumn(text_col, F.when(F.col(text_col).rlike(RUN), masked).otherwise(F.col(text_col)))
+    return docs.withColumn(text_col, F.when(suspect(F.col(text_col)), masked).otherwise(F.col(text_col)))

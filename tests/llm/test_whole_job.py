@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from corpusstat.llm import lm, queries
+from corpusstat.llm import lm, queries, secret_scan
 
 P = queries.public_tokenizers
 
@@ -33,3 +33,17 @@ def test_lm_learns_from_every_text_however_long_or_late(spark):
     rows.append((held[1], " ".join(shuffled)))
     got = scores(spark, rows)
     assert got[held[0]] > got[held[1]] + 3
+
+
+def test_secrets_every_run_and_short_or_digitless_ones(spark):
+    r = random.Random(5)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda n, chars=alnum: "".join(r.choice(chars) for _ in range(n - 1)) + chars[-1]
+    jwt, digitless = [pick(36), pick(60), pick(43)], pick(40, alnum[:52])
+    rows = [(1, f"bearer token {'.'.join(jwt)} end"), (2, "password = Tr0ub4dor&3x!"), (3, f"api_key={digitless}"), (4, "postgres://admin:s3cr3tPa5sW0rd@dbhost/base"), (5, "the token economy and password management of ordinary settlements")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'src1' AS source")
+    found = secret_scan.scan(df).collect()
+    assert [x.value for x in sorted(found) if x.doc_id == 1] == jwt and len({(x.place, x.run) for x in found if x.doc_id == 1}) == 3
+    red = {x.doc_id: x.text for x in secret_scan.redact(df).collect()}
+    mask = secret_scan.MASK
+    assert red == {1: f"bearer token {mask}.{mask}.{mask} end", 2: f"password = {mask}", 3: f"api_key={mask}", 4: f"postgres://admin:{mask}@dbhost/base", 5: rows[4][1]}
