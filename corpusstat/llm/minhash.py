@@ -112,7 +112,7 @@ def rare_pairs(nodes: DataFrame, sketches: DataFrame, threshold: float) -> DataF
     rare = ranked.select("node", "root", "size", F.posexplode(F.slice("es", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold).cast("int") + 1)).alias("at", "x"))
     rare = written(rare.where("x.mixed").select("node", "root", "size", (F.col("size") - F.col("at")).alias("rest"), "x.e"), "rare-elements")
     other = rare.select("e", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("rest").alias("x_rest"))
-    fits = F.least("rest", "x_rest") * (1 + threshold) >= threshold * (F.col("size") + F.col("x_size"))
+    fits = F.least("rest", "x_rest") * (1 + threshold) >= threshold * (F.col("size") + F.col("x_size")) - 1e-6  # rounding may only add candidates
     return rare.join(other, "e").where("node < x and root <> x_root").where(fits).select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
 
 

@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from corpusstat.llm import lm, queries, secret_scan
+from corpusstat.llm import lm, minhash, queries, secret_scan
 
 P = queries.public_tokenizers
 
@@ -47,3 +47,9 @@ def test_secrets_every_run_and_short_or_digitless_ones(spark):
     red = {x.doc_id: x.text for x in secret_scan.redact(df).collect()}
     mask = secret_scan.MASK
     assert red == {1: f"bearer token {mask}.{mask}.{mask} end", 2: f"password = {mask}", 3: f"api_key={mask}", 4: f"postgres://admin:{mask}@dbhost/base", 5: rows[4][1]}
+
+
+def test_near_dedup_pairs_at_exactly_the_threshold(spark):
+    sketches = spark.createDataFrame([(1, list(range(28))), (2, list(range(35)))], "node long, bag array<int>")
+    nodes = spark.createDataFrame([(1, 1), (2, 2)], "node long, root long")
+    assert [tuple(r) for r in minhash.rare_pairs(nodes, sketches, 0.8).collect()] == [(1, 2)]
