@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text in a block.
-BLOCK = 1 << 20
+#: Bytes of text in a block. The arrays made of a block then fit a core's cache, and a worker stays small.
+BLOCK = 1 << 18
 
 #: Multiplier of the polynomial hashes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -31,8 +31,11 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or "/tmp/checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +45,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in the shared folder, by name. Each goes when its name is written again or dropped."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/corpusstat/{job}-{uuid.uuid4().hex}", {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        sc = self.spark.sparkContext
+        for name in names:
+            if name in self.paths:
+                path = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*(set(self.paths) - set(names)))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (from 0) of a string column; a null counts as empty."""
     if column.null_count:
@@ -101,6 +129,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Places of a word whose bytes' values are looked up.
+PLACES = 64
+_values: list[np.ndarray] = []
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end], none of them empty: sums of one random value for each byte and place. Unlike
+    polynomials modulo 2**64, they have no structured words (such as Thue and Morse's) that collide."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if not _values:
+        _values.append(mix(np.arange(PLACES << 8, dtype=np.uint64) + np.uint64(BASE)))
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
+    key = data[place + np.repeat(starts, size)] + (place << 8)
+    if int(size.max()) <= PLACES:
+        values = _values[0][key]
+    else:
+        values = mix(key.astype(np.uint64) + np.uint64(BASE))
+    return mix(np.add.reduceat(values, first) + size.astype(np.uint64))
+
+
 _powers: dict[int, np.ndarray] = {}
 
 

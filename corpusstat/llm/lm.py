@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusstat.llm.blocks import BLOCK, LOWER, buffers, cut, lists, run_hashes, signed, words, written
+from corpusstat.llm.blocks import BLOCK, LOWER, buffers, cut, lists, word_hashes, signed, words, written
 from corpusstat.llm.bpe import read_ranks
 
 SEED = 11
@@ -44,7 +44,7 @@ def tokens(block: pa.RecordBatch):
     starts, ends, doc = words(data, offsets)
     n = block.num_rows
     at = np.searchsorted(doc, np.arange(n), "right")
-    hashes = np.insert(run_hashes(data, starts, ends), at, END)
+    hashes = np.insert(word_hashes(data, starts, ends), at, END)
     return data, np.insert(starts, at, -1), np.insert(ends, at, -1), np.insert(doc, at, np.arange(n)), hashes
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusstat.llm.blocks import buffers, mapped, mix, run_hashes, signed, sliding, window_hashes, words, written
+from corpusstat.llm.blocks import buffers, mapped, mix, word_hashes, signed, sliding, window_hashes, words, written
 
 #: Words in an anchor. A window of n words holds n - ANCHOR + 1 candidates, of which the least hash is its anchor.
 ANCHOR = 20
@@ -20,7 +20,7 @@ def anchored(block: pa.RecordBatch, n: int):
     starts, ends, doc = words(data, offsets)
     if len(doc) < n:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), lambda at: np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    hashes = run_hashes(data, starts, ends)
+    hashes = word_hashes(data, starts, ends)
     k = min(ANCHOR, n)
     least = sliding(window_hashes(hashes, k), n - k + 1, np.minimum)
     at = np.flatnonzero(doc[: len(least)] == doc[n - 1 :])
