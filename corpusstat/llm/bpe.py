@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusstat.llm.blocks import cut
 
-#: Entries of a worker's memo of pre-tokens (a block may exceed it), and the characters of the longest that it keeps.
-MEMO, MEMO_CHARS = 400_000, 40
+#: Pre-tokens and ids that a worker remembers (a block may exceed them), and the characters of the longest pre-token that stays.
+MEMO, MEMO_IDS, MEMO_CHARS = 250_000, 2_000_000, 40
 
 #: Ids that are decoded at once, or one row's.
 DECODED = 1 << 18
@@ -154,26 +156,31 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         import regex
 
         ranks, find = shared.value, regex.compile(pattern).findall
-        encoder, memo = Encoder(ranks), {}
+        encoder, memo, known, ends = Encoder(ranks), {}, array("i"), array("i", [0])  # the memo's places in known, between two ends
         for batch in batches:
             for block in cut(batch, "text"):
-                found = [find(text) if text else () for text in block.column("text").to_pylist()]
-                if len(memo) > MEMO:
-                    memo.clear()
-                new = set().union(*found).difference(memo)
-                raw = {piece: piece.encode() for piece in new}
-                memo.update((piece, [ranks[b]]) for piece, b in raw.items() if b in ranks)
-                split = [piece for piece, b in raw.items() if b not in ranks]
-                memo.update(zip(split, encoder.merge([raw[piece] for piece in split])))
-                ids, ends = [], [0]
-                for pieces in found:
-                    for piece in pieces:
-                        ids += memo[piece]
-                    ends.append(len(ids))
-                for piece in split:
+                found = [find(text) if text else [] for text in block.column("text").to_pylist()]
+                if len(memo) > MEMO or len(known) > MEMO_IDS:
+                    memo, known, ends = {}, array("i"), array("i", [0])
+                pieces = list(chain.from_iterable(found))
+                new = list(set(pieces).difference(memo))
+                raw = [piece.encode() for piece in new]
+                ids = list(map(ranks.get, raw))
+                split = iter(encoder.merge([b for b, i in zip(raw, ids) if i is None]))
+                memo.update(zip(new, range(len(ends) - 1, len(ends) - 1 + len(new))))
+                for i in ids:
+                    known.extend(next(split) if i is None else (i,))
+                    ends.append(len(known))
+                at = np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))
+                for piece in new:
                     if len(piece) > MEMO_CHARS:
                         del memo[piece]
-                yield pa.RecordBatch.from_pydict({"_id": block.column("_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))})
+                bound = np.array(ends)
+                first, size = bound[at], bound[at + 1] - bound[at]
+                upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+                ids = np.array(known)[np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)]
+                rows = upto[np.concatenate([[0], np.cumsum(list(map(len, found)), dtype=np.int64)])]
+                yield pa.RecordBatch.from_pydict({"_id": block.column("_id"), "ids": pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32()))})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, rows.select("_id", F.array().cast("array<int>").alias("ids")).schema).withColumnRenamed("_id", id_col)
