@@ -94,8 +94,8 @@ def test_quality(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {20 + i for i in range(20) if len(WORDS.findall(dict(texts())[20 + i])) > 30}
 
 
-@pytest.mark.parametrize("most", [2_000_000, 15])
-def test_decontamination(spark, docs, most):
+@pytest.mark.parametrize("most, at_once", [(200_000, 8), (15, 8), (15, 1)])
+def test_decontamination(spark, docs, most, at_once):
     base = texts()[0][1].split()
     items = [(1, " ".join(base[10:30])), (2, "Two"), (2, " ".join(base[200:215]).upper()), (3, None), (4, ""), (None, "one"), (5, " ".join(base[10:30]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -103,8 +103,8 @@ def test_decontamination(spark, docs, most):
     windows = collections.defaultdict(set)
     for i, t in items:
         w = norm(t)
-        for p in range(max(1, len(w) - 9)) if w and i is not None else ():
-            windows[tuple(w[p : p + 10])].add(str(i))
+        for p in range(max(1, len(w) - 9)) if w else ():
+            windows[tuple(w[p : p + 10])] |= set() if i is None else {str(i)}  # an item without id has windows but no name
     want = []
     for i, t in texts():
         w, hit, found = norm(t), set(), set()
@@ -114,10 +114,11 @@ def test_decontamination(spark, docs, most):
                     hit.update(range(p, p + k))
                     found |= windows[tuple(w[p : p + k])]
         want.append((i, len(w), len(hit), sorted(found)))
-    got = [tuple(r) for r in decontaminate.find(docs, bench, max_words=most).collect()]
+    got = [tuple(r) for r in decontaminate.find(docs, bench, max_words=most, at_once=at_once).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     out = decontaminate.decontaminate(docs, bench, max_words=most)
-    assert out.columns == docs.columns and 6 in {r.doc_id for r in out.collect()}
+    left = {r.doc_id for r in out.collect()}
+    assert out.columns == docs.columns and left == {i for i, n, h, _ in want if not n or h <= 0.5 * n} and 6 not in left
     assert decontaminate.find(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 

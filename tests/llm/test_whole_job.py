@@ -4,6 +4,7 @@ import random
 import zlib
 
 from corpusstat.llm import lm, minhash, queries, secret_scan
+from corpusstat.llm.blocks import Scratch
 
 P = queries.public_tokenizers
 
@@ -50,6 +51,5 @@ def test_secrets_every_run_and_short_or_digitless_ones(spark):
 
 
 def test_near_dedup_pairs_at_exactly_the_threshold(spark):
-    sketches = spark.createDataFrame([(1, list(range(28))), (2, list(range(35)))], "node long, bag array<int>")
-    nodes = spark.createDataFrame([(1, 1), (2, 2)], "node long, root long")
-    assert [tuple(r) for r in minhash.rare_pairs(nodes, sketches, 0.8).collect()] == [(1, 2)]
+    bags = spark.createDataFrame([(1, 1, list(range(28))), (2, 2, list(range(35)))], "node long, root long, es array<long>")
+    assert [tuple(r) for r in minhash.rare_pairs(bags, 0.8, Scratch(spark, "test")).collect()] == [(2, 1)]
