@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusstat.llm.blocks import BLOCK, LOWER, buffers, cut, lists, word_hashes, signed, words, written
+from corpusstat.llm.blocks import LOWER, buffers, cut, lists, word_hashes, signed, words, written
 from corpusstat.llm.bpe import read_ranks
 
 SEED = 11
@@ -31,6 +31,8 @@ WINDOW, SCORED = 64, 48
 WIDTH, CLASSES, MEMBERS = 16, 64, 64
 #: Words with at least 1/FREQUENT of all tokens are broadcast, so at most FREQUENT words.
 FREQUENT = 1 << 20
+#: Bytes of text in a block: large, so that a word is coded once for many places.
+LARGE = 1 << 19
 #: Stands for the end of a text: the hash of no word.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: White space that may stand within a word.
@@ -101,8 +103,8 @@ def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def forward(m: dict, inputs: np.ndarray, good: np.ndarray):
     """Hidden states [windows, SCORED, WIDTH] and what the gradient needs."""
     x = m["E"][inputs] + m["P"]
-    y = x[:, WINDOW - SCORED :]
-    q, k, v = y @ m["Q"], x @ m["K"], x @ m["V"]
+    y = np.ascontiguousarray(x[:, WINDOW - SCORED :])
+    q, k, v = times(y, m["Q"]), times(x, m["K"]), times(x, m["V"])
     a = q @ k.transpose(0, 2, 1)
     np.minimum(a, np.float32(60), out=a)
     np.exp(a, out=a)
@@ -110,7 +112,17 @@ def forward(m: dict, inputs: np.ndarray, good: np.ndarray):
     a[~good[:, 0], :, : WINDOW - SCORED] = 0  # before a text's beginning
     a /= a.sum(axis=2, keepdims=True) + np.float32(1e-30)
     c = a @ v
-    return y + c @ m["O"], (x, y, q, k, v, a, c)
+    return y + times(c, m["O"]), (x, y, q, k, v, a, c)
+
+
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product of two matrices."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
+
+
+def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum over windows and places of the outer products of x and y."""
+    return x.reshape(-1, x.shape[-1]).T @ y.reshape(-1, y.shape[-1])
 
 
 def picked(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,14 +170,15 @@ def log_probs(m: dict, h: np.ndarray, target: np.ndarray, gradient: bool = False
 
 def backward(m: dict, inputs, dh, saved, g: dict) -> None:
     x, y, q, k, v, a, c = saved
-    g["O"] = np.einsum("wsi,wsj->ij", c, dh)
-    dc = dh @ m["O"].T
+    g["O"] = outer(c, dh)
+    dc = times(dh, m["O"].T)
     da = dc @ v.transpose(0, 2, 1)
-    da = a * (da - (da * a).sum(axis=2, keepdims=True))
+    da -= (dc * c).sum(axis=2, keepdims=True)  # the mean of da under a
+    da *= a
     dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
-    dx = dk @ m["K"].T + dv @ m["V"].T
-    dx[:, WINDOW - SCORED :] += dh + dq @ m["Q"].T
-    g["Q"], g["K"], g["V"] = np.einsum("wsi,wsj->ij", y, dq), np.einsum("wsi,wsj->ij", x, dk), np.einsum("wsi,wsj->ij", x, dv)
+    dx = times(dk, m["K"].T) + times(dv, m["V"].T)
+    dx[:, WINDOW - SCORED :] += dh + times(dq, m["Q"].T)
+    g["Q"], g["K"], g["V"] = outer(y, dq), outer(x, dk), outer(x, dv)
     g["P"], g["E"] = dx.sum(0), np.zeros_like(m["E"])
     at = inputs.ravel()
     order = np.argsort(at, kind="stable")
@@ -314,7 +327,7 @@ def counted(batches, coder: Coder):
         return pa.RecordBatch.from_pydict({"word": signed(keys), "code": np.full(len(keys), code), "c": c})
 
     for batch in batches:
-        for block in cut(batch, "text"):
+        for block in cut(batch, "text", LARGE):
             data, starts, ends, _, hashes = tokens(block)
             codes += np.bincount(coder(data, starts, ends, hashes)[0], minlength=len(codes))
             have.append(np.unique(hashes, return_counts=True))
@@ -376,7 +389,7 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
         def learnt(batches, now=now, turn=turn):
             trainer, coder, (keys, c), seen = Trainer(now.value, turn), Coder(public.value, pattern), frequent.value, np.zeros(BINS)
             for batch in batches:
-                for block in cut(batch, "text", BLOCK // 2):
+                for block in cut(batch, "text", LARGE):
                     data, starts, ends, doc, hashes = tokens(block)
                     lp = word_scores(coder, trainer, data, starts, ends, doc, hashes, block.num_rows)
                     have = unigram(hashes, keys, c)
@@ -408,7 +421,7 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
         b = shared.value
         coder, keys, c, model = Coder(b["ranks"], pattern), b["keys"], b["c"], b["model"]
         for batch in batches:
-            for block in cut(batch, "text", BLOCK // 2):
+            for block in cut(batch, "text", LARGE):
                 n = block.num_rows
                 data, starts, ends, doc, hashes = tokens(block)
                 have = unigram(hashes, keys, c)
