@@ -19,8 +19,8 @@ def norm_space(c: Column) -> Column:
 
 
 def missing(c: Column, mode: str = "any") -> Column:
-    """F1. any: null, blank or 'empty' in any case; dashes: the same with 'empty' as written, and '--'; null: null or ''."""
-    t = F.trim(c)
+    """F1. any: null, blank (white space of any kind) or 'empty' in any case; dashes: the same with 'empty' as written, and '--'; null: null or ''."""
+    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     bad = {"any": (t == "") | (F.lower(t) == "empty"), "dashes": t.isin("", "empty", "--"), "null": c == ""}[mode]
     return c.isNull() | bad
 
@@ -35,18 +35,27 @@ def iso_week(c: Column) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), c), F.lit("-W"), F.lpad(F.weekofyear(c).cast("string"), 2, "0"))
 
 
-def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Bounds of a share, within 0 and 1; null where n is 0."""
+def wilson(k: Column, n: Column, z: float = 1.96, empty: float | None = None, clamped: bool = True) -> tuple[Column, Column]:
+    """Bounds of a share, within 0 and 1 unless clamped is off; where n is 0 both are `empty`."""
     p, d = k / n, 1 + z * z / n
     mid, half = (p + z * z / (2 * n)) / d, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)), F.when(n > 0, F.least(F.lit(1.0), mid + half))
+    low, high = (F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)) if clamped else (mid - half, mid + half)
+    return F.when(n > 0, low).otherwise(F.lit(empty)), F.when(n > 0, high).otherwise(F.lit(empty))
 
 
 def term_pattern(term: str, lang: str = "en") -> str:
-    """A term as a pattern: starts at a word, '-' may be a space or nothing, spaces may be hyphens, an optional plural; Swedish words take any ending."""
-    body = "".join(r"[-\s]?" if c == "-" else r"[-\s]+" if c == " " else re.escape(c) for c in term.lower())
-    end = r"\w*" if lang == "sv" else r"(?:e?s)?(?!\w)"
-    return rf"(?U)(?<!\w){body}{end}"
+    """A term as a pattern: starts and ends at a word's edges, a run with a hyphen may be one hyphen, blank or nothing, a run of blanks any blanks and
+    hyphens, with an optional plural; a Swedish word takes any ending."""
+    pieces = re.split(r"([-\s]+)", term.strip().lower())
+    body = "".join((r"[-\s]?" if "-" in x else r"[-\s]+") if i % 2 else re.escape(x) for i, x in enumerate(pieces))
+    end = r"\w*" if lang == "sv" else r"(?:e?s)?"
+    return rf"(?U)(?<!\w){body}{end}(?!\w)"
+
+
+def lexicon_pattern(term: str, variants: list[str], lang: str = "en") -> str:
+    """The pattern of a term and its variants. Variants that begin with re: are patterns themselves, with § for |, and stand for all plain forms."""
+    raw = [v[3:].replace("§", "|") for v in variants if v.startswith("re:")]
+    return "(?iu)" + "|".join(raw or [term_pattern(x, lang) for x in [term, *variants]])
 
 
 def flag(text: Column, terms: list[tuple[str, str]]) -> Column:

@@ -10,20 +10,45 @@ from corpusstat.functions.text import missing, norm_words
 
 
 def weighted_corpus(df: DataFrame, text: str, day: str, total: str, order: list[str], keep_empty: bool = False) -> DataFrame:
-    """DD1: of rows with the same normalised text the first by day and order stays (all empty texts are the same unless keep_empty);
-    w = the row's own total / rows kept that day. First rows are found by a minimum that Spark sums before the shuffle, so a frequent
-    text is no hot group; the text itself isn't shuffled for it."""
-    key = F.md5(norm_words(F.coalesce(F.col(text), F.lit(""))))
-    place = F.struct(F.col(day), *(F.col(c) for c in order))
-    df = df.withColumns({"_key": F.concat(key, F.lit("#"), F.concat_ws("#", *order)) if keep_empty else key, "_place": place})
+    """DD1: of rows with the same normalised text the first by day and order stays, one of them where rows repeat that place too (all empty texts are the
+    same unless keep_empty); w = the row's own total / rows kept that day. One aggregate reads each text once, and Spark takes minima
+    before the shuffle, so a frequent text is no hot group."""
+    norm = norm_words(F.coalesce(F.col(text), F.lit("")))
+    key = F.md5(norm)
     if keep_empty:
-        df = df.withColumn("_key", F.when(norm_words(F.coalesce(F.col(text), F.lit(""))) == "", F.col("_key")).otherwise(key))
-    first = df.groupBy("_key").agg(F.min("_place").alias("_first"))
-    kept = df.join(first, (df["_key"] == first["_key"]) & (df["_place"] == first["_first"]), "left_semi").drop("_key", "_place")
+        key = F.when(norm == "", F.concat(F.lit("#"), F.concat_ws("#", day, *order))).otherwise(key)
+    place = F.struct(F.col(day), *(F.col(c) for c in order))
+    kept = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct("*"), place).alias("_row")).select("_row.*")
     taken = kept.groupBy(day).agg(F.count("*").alias("_taken"))
     return kept.join(taken, day).withColumn("w", F.col(total) / F.col("_taken")).drop("_taken")
 
 
+def posting_keys(id_: Column, source_id: Column, title: Column, organization: Column, location: Column, date: Column, description: Column, least: int = 80) -> dict[str, Column]:
+    """DD2 to DD4: the keys that tell repeated postings: by id, by title, employer, place and day (null without a title), and by the first 300 characters of
+    the normalised description (null under `least` characters)."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    fields = F.concat_ws("|", *(norm_words(blank(c)) for c in (title, organization, location)), F.substring(blank(date.cast("string")), 1, 10))
+    body = norm_words(blank(description))
+    return {
+        "id": F.coalesce(F.nullif(id_.cast("string"), F.lit("")), source_id.cast("string")),
+        "fields": F.when(norm_words(blank(title)) != "", fields),
+        "text": F.when(F.length(body) >= least, F.md5(F.substring(body, 1, 300))),
+    }
+
+
+def repeated_share(df: DataFrame, group: str, value: Column) -> DataFrame:
+    """DD7: 1 - distinct / n of each group's known values."""
+    counts = df.where(value.isNotNull()).groupBy(group, value.alias("_v")).agg(F.count("*").alias("_n"))
+    return counts.groupBy(group).agg(F.sum("_n").alias("n"), (1 - F.count("*") / F.sum("_n")).alias("repeated"))
+
+
+def ambiguous_names(df: DataFrame, name: str, code: str) -> DataFrame:
+    """Names with more than one code, the codes' number and rows, and the share of the most frequent one."""
+    counts = df.where(F.col(code).isNotNull()).groupBy(name, code).agg(F.count("*").alias("_n"))
+    out = counts.groupBy(name).agg(F.count("*").alias("codes"), F.sum("_n").alias("n"), (F.max("_n") / F.sum("_n")).alias("top_share"))
+    return out.where("codes > 1")
+
+
 def repeats(df: DataFrame, key: Column, source: str) -> DataFrame:
     """DD5: repeats of keys within each source."""
     counts = df.select(F.col(source), key.alias("k")).where("k is not null").groupBy(source, "k").agg(F.count("*").alias("n"))

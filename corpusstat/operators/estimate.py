@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusstat.operators.ordered import cumulative
+
 
 def shares(df: DataFrame, by: list[str], hit: Column, w: str) -> DataFrame:
     """Weighted share of hits over all rows of each group."""
@@ -72,12 +74,11 @@ def divergence(df: DataFrame, category: str, side: Column) -> DataFrame:
 
 
 def ks(df: DataFrame, value: str, side: Column) -> DataFrame:
-    """Largest distance of two cumulative distributions, over sums by value."""
-    cells = df.groupBy(value).agg(F.sum(F.when(side, 1).otherwise(0)).alias("a"), F.sum(F.when(side, 0).otherwise(1)).alias("b"))
+    """Largest distance of two cumulative distributions, over sums by value that are cumulated range by range."""
+    cells = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(side, 1).otherwise(0)).alias("a"), F.sum(F.when(side, 0).otherwise(1)).alias("b"))
     totals = cells.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    gaps = cells.join(F.broadcast(totals)).select(F.abs(F.try_divide(F.sum("a").over(w), "ta") - F.try_divide(F.sum("b").over(w), "tb")).alias("d"))
-    return gaps.agg(F.max("d").alias("ks"))
+    gaps = cumulative(cells, value, ["a", "b"]).join(F.broadcast(totals))  # one row
+    return gaps.agg(F.max(F.abs(F.try_divide("upto_a", "ta") - F.try_divide("upto_b", "tb"))).alias("ks"))
 
 
 def agreement(df: DataFrame, truth: str, said: str, w: str, levels: int | None = None) -> DataFrame:

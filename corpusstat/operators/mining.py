@@ -43,18 +43,6 @@ def upper_fence(df: DataFrame, value: str) -> DataFrame:
     return df.agg(q.alias("q")).select(F.pow(F.lit(10.0), F.get("q", 1) + 1.5 * (F.get("q", 1) - F.get("q", 0))).alias("fence"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Of each query vector its k most similar rows by cosine (rounded to 6), ties by key. Queries are a stated set; they meet
-    the rows in blocks, and each task keeps k rows of a query."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), norm(F.col(vector)).alias("qn"))
-    r = rows.select(F.col(key).alias("neighbour"), F.col(vector).alias("rv"), norm(F.col(vector)).alias("rn"))
-    dot = F.aggregate(F.zip_with("qv", "rv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = r.join(F.broadcast(q), F.col("query") != F.col("neighbour")).select("query", "neighbour", F.round(dot / (F.col("qn") * F.col("rn")), 6).alias("cosine"))
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")))
-    return ranked.where(F.col("rank") <= k)
-
-
 def language(df: DataFrame, key: str, text: Column, words: dict[str, list[str]], least: int = 5) -> DataFrame:
     """The language whose own stop words are at least `least` and more than twice those of the next; else unclear."""
     count = lambda ws: F.size(F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w.isin(ws)))

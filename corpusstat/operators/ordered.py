@@ -175,3 +175,30 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     cols = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(pairs("n").alias("cols"))
     by_chance = F.col("rows") * F.col("cols") / (F.col("all").cast("double") * (F.col("all") - 1) / 2)
     return one.join(F.broadcast(rows)).join(F.broadcast(cols)).select(F.try_divide(F.col("both") - by_chance, (F.col("rows") + F.col("cols")) / 2 - by_chance).alias("ari"))
+
+
+def cumulative(cells: DataFrame, value: str, sums: list[str], parts: int = 64) -> DataFrame:
+    """cells (one row a value) with running sums up to each value. Values are cut into ranges at approximate quantiles; each range's own running sums get
+    what all ranges before it hold, from a table of one row a range. So no task orders all values."""
+    bounds = sorted(set(cells.stat.approxQuantile(value, [k / parts for k in range(1, parts)], 0.005)))
+    place = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    rows = cells.withColumn("_range", place)
+    totals = rows.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_range", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_t_{c}") for c in sums))
+    inside = W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(totals), "_range")  # at most `parts` rows
+    return out.withColumns({f"upto_{c}": F.sum(c).over(inside) + F.col(f"_t_{c}") for c in sums}).drop("_range", *(f"_t_{c}" for c in sums))
+
+
+def percentile_of(df: DataFrame, value: str, q: float, rule: str = "linear") -> DataFrame:
+    """A percentile by one of three rules: linear between neighbours; nearest, the value at place round(q * (n - 1)), half to even; index, the value at
+    place floor(q * n), at most the last. Over counts by value, with no task that orders all rows."""
+    cells = cumulative(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value, ["_n"])
+    n = cells.agg(F.sum("_n").alias("_all"))
+    spot = {"linear": F.lit(q) * (F.col("_all") - 1), "nearest": F.bround(F.lit(q) * (F.col("_all") - 1)), "index": F.least(F.floor(F.lit(q) * F.col("_all")), F.col("_all") - 1)}[rule]
+    rows = cells.join(F.broadcast(n)).withColumn("_at", spot.cast("double"))  # one row
+    low = F.min(F.when(F.col("upto__n") > F.floor("_at"), F.col(value)))
+    high = F.min(F.when(F.col("upto__n") > F.ceil("_at"), F.col(value)))
+    part = F.max(F.col("_at") - F.floor("_at"))
+    return rows.agg((low + (high - low) * part).alias("percentile"))

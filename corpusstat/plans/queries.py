@@ -10,6 +10,8 @@ from corpusstat.functions import text as X
 from corpusstat.operators import corpus as C
 from corpusstat.operators import estimate as S
 from corpusstat.operators import mining as M
+from corpusstat.operators import vectors as V
+from corpusstat.operators.ordered import percentile_of
 from corpusstat.sources.readers import table as t
 
 QUERIES, ORACLE = {}, {}
@@ -163,9 +165,9 @@ def dd6_templates(spark, d):
     return rounded(C.top_template(t(spark, d, "documents"), "text", "lang"))
 
 
-@query("SELECT c_mktsegment, min(c_nationkey)::BIGINT AS c_nationkey FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1 HAVING min(c_nationkey) = max(c_nationkey)")
+@query("SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 HAVING min(l_returnflag) = max(l_returnflag)")
 def a42_unambiguous(spark, d):
-    return rounded(C.keep_unambiguous(t(spark, d, "customer"), "c_mktsegment", "c_nationkey"))
+    return rounded(C.keep_unambiguous(t(spark, d, "lineitem"), "l_orderkey", "l_returnflag"))
 
 
 @query("""
@@ -197,11 +199,11 @@ def e17_ks(spark, d):
     return rounded(S.ks(t(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R"))
 
 
-LABELS = "SELECT quality AS truth, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS said, 1.0::DOUBLE AS w FROM labels JOIN documents USING (doc_id)"
+LABELS = "SELECT quality AS truth, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS said, (1 + doc_id % 5)::DOUBLE AS w FROM labels JOIN documents USING (doc_id)"
 
 
 def judged(spark, d):
-    return t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("truth"), F.when(F.col("n_chars") >= 1000, 1).otherwise(0).alias("said"), F.lit(1.0).alias("w"))
+    return t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("truth"), F.when(F.col("n_chars") >= 1000, 1).otherwise(0).alias("said"), (1 + F.col("doc_id") % 5).cast("double").alias("w"))
 
 
 @query(f"""
@@ -220,11 +222,11 @@ def e4_cohen_kappa(spark, d):
 
 
 @query("""
-WITH a AS (SELECT ntile AS truth, least(3, greatest(1, 1 + CAST(floor(l_discount * 30) AS INT))) AS said, 1.0 AS w FROM (SELECT *, 1 + l_linenumber % 3 AS ntile FROM lineitem)),
+WITH a AS (SELECT ntile AS truth, least(3, greatest(1, 1 + CAST(floor(l_discount * 30) AS INT))) AS said, l_quantity AS w FROM (SELECT *, 1 + l_linenumber % 3 AS ntile FROM lineitem)),
 c AS (SELECT truth, said, sum(w)::DOUBLE AS x FROM a GROUP BY 1, 2), r AS (SELECT truth, sum(x) AS r FROM c GROUP BY 1), s AS (SELECT said, sum(x) AS s FROM c GROUP BY 1)
 SELECT round(1 - (SELECT sum(x * (truth - said) ** 2) FROM c) * (SELECT sum(x) FROM c) / (SELECT sum(r * s * (truth - said) ** 2) FROM r, s), 6) AS kappa""")
 def e3_weighted_kappa(spark, d):
-    df = t(spark, d, "lineitem").select((1 + F.col("l_linenumber") % 3).alias("truth"), F.least(F.lit(3), F.greatest(F.lit(1), 1 + F.floor(F.col("l_discount") * 30).cast("int"))).alias("said"), F.lit(1.0).alias("w"))
+    df = t(spark, d, "lineitem").select((1 + F.col("l_linenumber") % 3).alias("truth"), F.least(F.lit(3), F.greatest(F.lit(1), 1 + F.floor(F.col("l_discount") * 30).cast("int"))).alias("said"), F.col("l_quantity").alias("w"))
     return rounded(S.agreement(df, "truth", "said", "w", 3))
 
 
@@ -271,12 +273,18 @@ WITH p AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, round(list_cosine_si
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, neighbour) AS rank FROM p) SELECT * FROM k WHERE rank <= 10""")
 def j11_nearest(spark, d):
     rows = t(spark, d, "embeddings")
-    return rounded(M.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 10))
+    return rounded(V.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 10))
 
 
-@query("SELECT doc_id, list_filter(['the', 'der', 'erea'], lambda x: regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{L}\\p{N}_])' || x || '(e?s)?([^\\p{L}\\p{N}_]|$)')) AS terms FROM documents")
+LEXICON = [("der die", "de"), ("the", "en"), ("al-lo", "en"), ("erea", "sv"), ("data - base", "en"), (" et ", "fr")]
+
+
+@query(r"""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), b(term, rx) AS (VALUES ('der die', 'der[-\s]+die(?:e?s)?'), ('the', 'the(?:e?s)?'), ('al-lo', 'al[-\s]?lo(?:e?s)?'), ('erea', 'erea[\p{L}\p{M}\p{N}_]*'), ('data - base', 'data[-\s]?base(?:e?s)?'), (' et ', 'et(?:e?s)?'))
+SELECT doc_id, list_filter(['der die', 'the', 'al-lo', 'erea', 'data - base', ' et '], lambda x: list_contains(f, x)) AS terms FROM (SELECT doc_id, list(term) FILTER (WHERE regexp_matches(t, '(^|[^\p{L}\p{M}\p{N}_])(?:' || rx || ')($|[^\p{L}\p{M}\p{N}_])')) AS f FROM a, b GROUP BY 1)""")
 def x5_lexicon_flags(spark, d):
-    return t(spark, d, "documents").select("doc_id", X.flag(F.coalesce("text", F.lit("")), [("the", "en"), ("der", "de"), ("erea", "en")]).alias("terms"))
+    """Terms with blanks, hyphens, a run of both, blanks around, and a Swedish ending."""
+    df = t(spark, d, "documents").select("doc_id", X.flag(F.coalesce("text", F.lit("")), LEXICON).alias("terms"))
+    return df.select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
 
 
 @query("SELECT isoyear(ts) || '-W' || lpad(CAST(week(ts) AS VARCHAR), 2, '0') AS week, count(*) AS n FROM events GROUP BY 1")
@@ -294,3 +302,32 @@ def x18_language(spark, d):
 def s4_stratified(spark, d):
     df = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.lit(1.0).alias("w"))
     return rounded(C.stratified(df, ["o_orderpriority"], "o_orderkey", 20, "w"))
+
+
+@query(rf"""WITH a AS (SELECT source, lang, substr({NORM}, 1, 6) AS v FROM documents), b AS (SELECT source, v, count(*) AS n FROM a WHERE v IS NOT NULL GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS n, round(1 - count(*) / sum(n), 6) AS repeated FROM b GROUP BY 1""")
+def dd7_repeated_share(spark, d):
+    return rounded(C.repeated_share(t(spark, d, "documents"), "source", F.substring(X.norm_words(F.coalesce("text", F.lit(""))), 1, 6)))
+
+
+@query(rf"""WITH a AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, CASE WHEN {NORM} <> '' THEN trim(substr({NORM}, 1, 20)) || '|' || source || '|' || lang || '|2024-01-01' END AS fields, CASE WHEN length({NORM}) >= 80 THEN md5(substr({NORM}, 1, 300)) END AS text FROM documents) SELECT doc_id, id, md5(fields) AS fields, text FROM a""")
+def dd2_posting_keys(spark, d):
+    """With DD3 and DD4."""
+    df = t(spark, d, "documents")
+    title = F.substring(X.norm_words(F.coalesce("text", F.lit(""))), 1, 20)
+    keys = C.posting_keys(F.lit(""), F.col("doc_id"), title, F.col("source"), F.col("lang"), F.lit("2024-01-01T10:00:00"), F.col("text"))
+    return df.select("doc_id", keys["id"].alias("id"), F.md5(keys["fields"]).alias("fields"), keys["text"].alias("text"))
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT o_custkey, count(*) AS codes, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS top_share FROM c GROUP BY 1) SELECT * FROM r WHERE codes > 1""")
+def a41_ambiguous_names(spark, d):
+    return rounded(C.ambiguous_names(t(spark, d, "orders"), "o_custkey", "o_orderpriority"))
+
+
+@query("""WITH a AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem)
+SELECT 'index' AS rule, round(max(v) FILTER (WHERE i = least(floor(0.9 * n), n - 1)), 6) AS percentile FROM a UNION ALL SELECT 'linear', round(quantile_cont(v, 0.9), 6) FROM a UNION ALL SELECT 'nearest', round(max(v) FILTER (WHERE i = round_even(0.9 * (n - 1), 0)), 6) FROM a""")
+def x37_percentiles(spark, d):
+    df, out = t(spark, d, "lineitem"), None
+    for rule in ("index", "linear", "nearest"):
+        one = percentile_of(df, "l_extendedprice", 0.9, rule).select(F.lit(rule).alias("rule"), "percentile")
+        out = one if out is None else out.union(one)
+    return rounded(out)

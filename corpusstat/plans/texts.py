@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusstat.operators import corpus as C
 from corpusstat.operators import mining as M
+from corpusstat.operators import vectors as V
 from corpusstat.operators import profiles as P
-from corpusstat.plans.queries import TERMS, query, rounded, terms
+from corpusstat.plans.queries import NORM, TERMS, query, rounded, terms
 from corpusstat.sources.readers import table as t
 
 CUT = "[.!?;:,]+"
@@ -14,13 +16,13 @@ CUT = "[.!?;:,]+"
 
 @query(f"""
 WITH s AS (SELECT doc_id, regexp_extract_all(unnest(string_split_regex(lower(coalesce(text, '')), '{CUT}')), '[a-z]+') AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM s, (VALUES (1), (2), (3)) AS v(n) WHERE len(w) >= n)),
-f AS (SELECT gram, n, count(*) AS df FROM g GROUP BY 1, 2 HAVING count(*) >= 20)
+g AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM s, (VALUES (1), (2), (3), (4)) AS v(n) WHERE len(w) >= n)),
+f AS (SELECT gram, n, count(*) AS df FROM g GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT gram, df, CAST(n AS BIGINT) AS n FROM f WHERE split_part(gram, ' ', 1) NOT IN ('the', 'of') AND split_part(gram, ' ', n) NOT IN ('the', 'of')""")
 def t1_frequent_ngrams(spark, d):
     cut = F.split(F.lower(F.coalesce("text", F.lit(""))), CUT)
     segments = F.transform(cut, lambda s: F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0)))
-    return rounded(M.frequent_ngrams(t(spark, d, "documents"), segments, 3, 20, ["the", "of"]))
+    return rounded(M.frequent_ngrams(t(spark, d, "documents"), segments, 4, 5, ["the", "of"]))
 
 
 TOPS = f"""w AS (SELECT lang, unnest({TERMS}) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2), f AS (SELECT term, sum(n) AS f FROM c GROUP BY 1), m AS (SELECT avg(t) AS m FROM (SELECT sum(n) AS t FROM c GROUP BY lang)),
@@ -66,7 +68,7 @@ w AS (SELECT query, label, n, sum(n) OVER (PARTITION BY query) AS a, row_number(
 SELECT query, CASE WHEN n::DOUBLE / a >= 0.5 THEN label::BIGINT END AS label, round(n::DOUBLE / a, 6) AS agreement FROM w WHERE r = 1""")
 def t20_knn_vote(spark, d):
     rows = t(spark, d, "embeddings")
-    return rounded(M.knn_vote(M.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 10), rows, "vec_id", "label", 0.5))
+    return rounded(M.knn_vote(V.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 10), rows, "vec_id", "label", 0.5))
 
 
 def order_profiles(spark, d):
@@ -105,8 +107,9 @@ def j6_occupation_skills(spark, d):
     return P.occupation_skills(rel).select("occupation", F.array_join(F.transform("skills", lambda x: x.cast("string")), ",").alias("skills"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN source = 'blog' THEN 'web' ELSE source END AS source FROM documents d WHERE d.source IS DISTINCT FROM 'blog' OR NOT EXISTS (SELECT 1 FROM documents c WHERE c.source = 'web' AND (md5(c.text) = md5(d.text) OR left(c.text, 40) = left(d.text, 40)))""")
+@query(rf"""WITH a AS (SELECT *, {NORM} AS n FROM documents), k AS (SELECT doc_id, source, md5(text) AS x, CASE WHEN length(n) >= 80 THEN md5(substr(n, 1, 300)) END AS y FROM a)
+SELECT doc_id, CASE WHEN source = 'src3' THEN 'src1' ELSE source END AS source FROM k d WHERE d.source IS DISTINCT FROM 'src3' OR NOT EXISTS (SELECT 1 FROM k c WHERE c.source = 'src1' AND (c.x = d.x OR c.y = d.y))""")
 def j13_merge_alias(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "source", "text")
-    return P.merge_alias(docs, "source", "blog", "web", [F.md5("text"), F.substring("text", 1, 40)]).select("doc_id", "source")
+    keys = C.posting_keys(F.lit(""), F.col("doc_id"), F.lit(None), F.col("source"), F.lit(""), F.lit(""), F.col("text"))
+    return P.merge_alias(docs, "source", "src3", "src1", [F.md5("text"), keys["text"]]).select("doc_id", "source")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """SK1: rows whose key isn't in the table yet are appended."""
+    """SK1: rows whose key isn't in the table yet are appended, one for each key. Rows without a key are left out: nobody could tell whether they are done."""
     spark = df.sparkSession
+    df = df.where(F.col(key).isNotNull()).dropDuplicates([key])
     try:
         done = spark.read.parquet(path).select(key)
     except Exception as e:  # no table yet
@@ -28,8 +29,3 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     cell = lambda v: "" if v is None else str(v).replace("|", r"\|")
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
-
-
-def tagged_export(corpus: DataFrame, tags: DataFrame, key: str = "posting_id") -> DataFrame:
-    """SK2, J1: the postings that have a tag."""
-    return corpus.join(tags, key).select(key, *(F.col(c) for c in corpus.columns + tags.columns if c != key))
