@@ -1,4 +1,4 @@
-"""SK1 to SK6: resumable appends, CSV, and sheets that are never overwritten."""
+"""SK1, SK3 to SK6: resumable appends, CSV, sheets that are never overwritten, and tables that are replaced as a whole."""
 
 from __future__ import annotations
 
@@ -29,3 +29,19 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     cell = lambda v: "" if v is None else str(v).replace("|", r"\|")
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+
+
+def replaced(df: DataFrame, path: str) -> None:
+    """SK5: the table at path becomes df, which may be read from it: written beside it, then moved into its place. Between the two moves the old table
+    stands at path + '.old', from where an interrupted run takes it back."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = {name: jvm.org.apache.hadoop.fs.Path(path + name) for name in ("", ".new", ".old")}
+    fs = at[""].getFileSystem(conf)
+    if not fs.exists(at[""]) and fs.exists(at[".old"]):
+        fs.rename(at[".old"], at[""])
+    df.write.mode("overwrite").parquet(path + ".new")
+    fs.delete(at[".old"], True)
+    if fs.exists(at[""]) and not fs.rename(at[""], at[".old"]) or not fs.rename(at[".new"], at[""]):
+        raise OSError(f"{path}: the new table couldn't be moved into place")
+    fs.delete(at[".old"], True)
