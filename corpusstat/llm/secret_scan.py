@@ -29,8 +29,12 @@ PATHS = "(?i)(test|example|mock|fixture|doc|lock|sample)"
 NAMES = ("length", "changes", "digits", "uppers", "distinct", "covered", "hex", "cue", "anti", "path", "slashes")
 
 
+#: What stands between words.
+BREAK = "[\\s\"'`=:,;()<>{}|]+"
+
+
 def words(text: Column) -> Column:
-    return F.split(text, "[\\s\"'`=:,;()<>{}|]+")
+    return F.split(text, BREAK)
 
 
 def candidates(text: Column) -> Column:
@@ -165,11 +169,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "source", trees: list | None = None, mask: str = MASK) -> DataFrame:
-    """docs with each secret's value in the text replaced by the mask; all other columns and rows as they were. Texts without a
-    secret, nulls among them, stay the same."""
+    """docs with each secret replaced by the mask in the word where it was found; the same string in a word where the forest judged it harmless stays, as do
+    all other columns and rows. Texts without a secret, nulls among them, stay the same. Texts of any length are read whole; repeated rows are treated
+    alike; no rows give no rows."""
     trees = trees or fit(docs.sparkSession)
+    text = F.col(f"`{text_col}`")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    found = F.filter(findings(F.col(text_col), path, trees), lambda c: c["secret"])
+    found = F.filter(findings(text, path, trees), lambda c: c["secret"])
     found = F.array_sort(found, lambda a, b: F.length(b["value"]) - F.length(a["value"]))  # a value within another comes after it
-    masked = F.aggregate(found, F.col(text_col), lambda t, c: F.replace(t, c["value"], F.lit(mask)))
-    return docs.withColumn(text_col, F.when(suspect(F.col(text_col)), masked).otherwise(F.col(text_col)))
+
+    def masked(of: Column) -> Column:
+        parts = F.array(F.struct(words(text).alias("w"), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0)).alias("s"), of.alias("f")))  # split once
+
+        def rebuilt(p):
+            new = F.transform(p["w"], lambda w, i: F.aggregate(F.filter(p["f"], lambda c: c["place"] == i), w, lambda t, c: F.replace(t, c["value"], F.lit(mask))))
+            return F.array_join(F.zip_with(new, p["s"], lambda w, b: F.concat(w, F.coalesce(b, F.lit("")))), "")
+
+        return F.get(F.transform(parts, rebuilt), 0)
+
+    either = F.get(F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, masked(f)).otherwise(text)), 0)
+    return docs.withColumn(text_col, F.when(suspect(text), either).otherwise(text))

@@ -1,6 +1,6 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Records are range-sorted by page id. The ranges come from a histogram of bytes over equal steps of the ids, so they depend on the
+Records are range-sorted by page id. The ranges come from histograms of bytes over the ids, refined where a range has too many, so they depend on the
 data alone. Each task writes one range: it rolls its files by compressed size, gives each the name of shard and number, writes
 under a temporary name and renames when the file is whole. A repeated task writes the same bytes under the same names, and a
 reader takes only the files that the manifest lists, which Spark's own commit writes last.
@@ -23,17 +23,22 @@ from pyspark.sql import functions as F
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
-MOST_BINS = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def filesystem(folder: str):
-    """pyarrow's file system of a folder and the folder's path in it."""
+    """pyarrow's file system of a qualified folder and the folder's path in it."""
     from pyarrow import fs
 
-    if "://" in folder:
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder.removeprefix("file:")
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it: where Spark puts the manifest, tasks put the files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def sha1(data: bytes) -> str:
@@ -90,19 +95,64 @@ class Roller:
         self.k += 1
 
 
-def shards(rows: DataFrame, shard_bytes: int) -> tuple[F.Column, int]:
-    """The shard of a page id, and how many there are; a null id is before all others."""
-    low, high, size = rows.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    low, high = (low or 0, high or 0) if low is not None else (0, 0)
-    bins = int(min(MOST_BINS, max(64, 16 * -(-size // shard_bytes))))
-    step = (high - low) // bins + 1
-    place = F.coalesce(F.expr(f"cast((page_id - {low}) div {step} as int)"), F.lit(0))
-    sums = np.zeros(bins, np.int64)
-    for r in rows.groupBy(place.alias("bin")).agg(F.sum("bytes").alias("b")).collect():  # at most MOST_BINS rows
-        sums[r.bin] = r.b
-    of = (np.cumsum(sums) - sums) // shard_bytes
-    of = np.unique(of, return_inverse=True)[1]
-    return F.get(F.expr(f"cast(split('{','.join(map(str, of.tolist()))}', ',') as array<int>)"), place), int(of.max()) + 1
+def ranges(rows: DataFrame, shard_bytes: int) -> list[tuple[int, int, int]]:
+    """(first id, last id, shards) of ranges that cover all ids in order, each of at most shard_bytes, or of one id that has more and gets several shards.
+
+    The span of the ids is cut into equal steps, some for each shard; ranges with too many bytes are cut again, between their own least and greatest id,
+    until none is left that can be cut. So one distant id, or ids from end to end of their type, cost another round, and neighbouring small steps join. The
+    result depends on the data alone. The driver holds some rows a shard, so shards should be larger where there would be over a million."""
+    whole = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    todo, done = [tuple(whole)] if whole[0] is not None else [], []
+    while todo:
+        wide = sorted(r for r in todo if r[2] > shard_bytes and r[0] < r[1])
+        done += [r for r in todo if not (r[2] > shard_bytes and r[0] < r[1])]
+        if not wide:
+            break
+        lows, highs = np.array([r[0] for r in wide], np.int64), np.array([r[1] for r in wide], np.int64)
+        steps = [max(1, -(-(b - a + 1) // min(4096, max(16, 4 * n // shard_bytes)))) for a, b, n in wide]
+        widths = np.array(steps, np.uint64)
+
+        @F.arrow_udf("struct<k: int, p: int>")
+        def place(ids: pa.Array) -> pa.Array:
+            key = ids.to_numpy(zero_copy_only=False)
+            k = np.searchsorted(lows, key, "right") - 1
+            inside = (k >= 0) & (key <= highs[np.maximum(k, 0)])
+            k = np.maximum(k, 0)
+            p = ((key.view(np.uint64) - lows[k].view(np.uint64)) // widths[k]).astype(np.int32)  # differences modulo 2**64 are right
+            return pa.StructArray.from_arrays([pa.array(np.where(inside, k, -1).astype(np.int32)), pa.array(np.where(inside, p, 0).astype(np.int32))], ["k", "p"])
+
+        cells = rows.withColumn("_at", place("page_id")).groupBy("_at").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.sum("bytes").alias("n"))
+        todo = [(r.a, r.b, r.n) for r in cells.where("_at.k >= 0").collect()]  # some a shard
+    out: list[tuple[int, int, int]] = []
+    for a, b, n in sorted(done):
+        if out and out[-1][2] + n <= shard_bytes:
+            out[-1] = (out[-1][0], b, out[-1][2] + n)
+        else:
+            out.append((a, b, n))
+    return [(a, b, max(1, -(-n // shard_bytes)) if a == b else 1) for a, b, n in out]
+
+
+def shards(rows: DataFrame, shard_bytes: int):
+    """The function that gives each (page id, number) its shard, the number of shards, and of how many shards an id's records are: records of one id that are
+    too many for a shard are dealt out by their number. A null id is before all others."""
+    nulls = rows.where("page_id is null").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    spans = ranges(rows.where("page_id is not null"), shard_bytes)
+    first = max(1, -(-nulls // shard_bytes)) if nulls else 0
+    starts = np.array([a for a, _, _ in spans], np.int64)
+    sizes = np.array([n for _, _, n in spans], np.int64)
+    before = first + np.cumsum(sizes) - sizes
+
+    @F.arrow_udf("struct<shard: int, n: int>")
+    def of(ids: pa.Array, numbers: pa.Array) -> pa.Array:
+        known = np.asarray(ids.is_valid())
+        key, number = ids.fill_null(0).to_numpy(zero_copy_only=False), numbers.to_numpy(zero_copy_only=False)
+        at = np.maximum(np.searchsorted(starts, key, "right") - 1, 0) if len(starts) else np.zeros(len(key), np.int64)
+        n = np.where(known, sizes[at], first) if len(starts) else np.full(len(key), first)
+        low = np.where(known, before[at], 0) if len(starts) else np.zeros(len(key), np.int64)
+        n = np.maximum(n, 1)
+        return pa.StructArray.from_arrays([pa.array((low + number % n).astype(np.int32)), pa.array(n.astype(np.int32))], ["shard", "n"])
+
+    return of, max(1, first + int(sizes.sum()))
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -113,16 +163,20 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     are written each, of the same kind. No rows give an empty manifest; other columns are ignored."""
     from corpusstat.llm.blocks import written
 
+    folder = qualified(pages.sparkSession, folder)
     fs, at = filesystem(folder)
     fs.create_dir(at, recursive=True)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     light = written(rows.select("page_id", F.octet_length("payload").alias("bytes"), F.when(F.octet_length("payload") >= LEAST, F.unhex(F.sha1("payload"))).alias("digest")), "warc-digests")
-    shard, n = shards(light, shard_bytes)
+    of, n = shards(light, shard_bytes)
     several = light.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").drop("n")
     marks = light.join(written(several, "warc-copies"), "digest").where("page_id is null or page_id < last")
-    marks = marks.select(shard.alias("shard"), "page_id", F.lit(0).alias("kind"), "digest", F.col("last").alias("refers_to"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    bodies = rows.select(shard.alias("shard"), "page_id", F.lit(1).alias("kind"), F.unhex(F.sha1("payload")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload")
+    spread = of(F.col("page_id"), F.lit(0).cast("long"))
+    marks = marks.distinct().withColumn("_of", spread).withColumn("shard", F.explode(F.sequence(F.col("_of.shard"), F.col("_of.shard") + F.col("_of.n") - 1)))  # to each shard that has records of the id
+    marks = marks.select("shard", "page_id", F.lit(0).alias("kind"), "digest", F.col("last").alias("refers_to"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    number = F.xxhash64("url", F.sha1("payload"), F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 31) - 1))  # copies of one record are dealt out too
+    bodies = rows.withColumn("_of", of(F.col("page_id"), number)).select(F.col("_of.shard").alias("shard"), "page_id", F.lit(1).alias("kind"), F.unhex(F.sha1("payload")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload")
     laid = marks.union(bodies).repartitionById(n, F.col("shard")).sortWithinPartitions("page_id", "kind", "digest", "url")
 
     def run(batches):
@@ -165,6 +219,7 @@ def parsed(stream):
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record of the files in the folder's manifest: page_id, record_type, url, payload (null for a revisit), payload_bytes,
     payload_digest (lower-case hex SHA-1 of the full payload) and refers_to. A block or payload that doesn't fit its digest fails the job."""
+    folder = qualified(spark, folder)
     files = spark.read.parquet(f"{folder}/manifest").select("file")
 
     def run(batches):

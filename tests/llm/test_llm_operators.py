@@ -177,6 +177,119 @@ def test_warc(spark, tmp_path):
     assert warc.write(pages.limit(0), str(tmp_path / "none")).count() == 0 and warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[2 * i for i in range(1000)] + [1 << 60], [-(1 << 63), (1 << 63) - 1, *range(500)], [7] * 600 + [None] * 300 + [8]])
+def test_warc_shards(spark, tmp_path, ids):
+    rows = [(i, f"http://h/{k % 50}", "x" * 40) for k, i in enumerate(ids)]
+    manifest = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), shard_bytes=2000, roll_bytes=1 << 20).collect()
+    per = collections.Counter()
+    for r in manifest:
+        per[r.shard] += r.records
+    assert sum(per.values()) == len(ids) and max(per.values()) <= 90 and len(per) >= len(ids) * 40 // 2000
+    assert sorted((r.page_id for r in warc.read(spark, str(tmp_path / "w")).collect()), key=repr) == sorted(ids, key=repr)
+
+
+def test_redaction_by_place(spark):
+    token = "9f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fd"
+    text = f"token = {token} and, see commit {token} of; the (tree)"
+    red = secret_scan.redact(spark.createDataFrame([(1, text, "src1"), (2, None, None), (3, "token =", "a")], "doc_id long, text string, source string"))
+    assert {r.doc_id: r.text for r in red.collect()} == {1: text.replace(token, secret_scan.MASK, 1), 2: None, 3: "token ="}
+
+
+STRUCTURED = "a"
+for _ in range(11):
+    STRUCTURED += STRUCTURED.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words of 2,048 bytes that collide under polynomials modulo 2**64, through the operators that hash words."""
+    other = STRUCTURED.translate(str.maketrans("ab", "ba"))
+    fill = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*fill[:30], STRUCTURED, *fill[30:]])), (2, " ".join([*fill[:30], other, *fill[30:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substring.deduplicate(df).orderBy("doc_id").collect()] == [0, 0]
+    bench = spark.createDataFrame([(1, " ".join([*["q"] * 9, STRUCTURED]))], "item_id long, text string")
+    hit = decontaminate.find(spark.createDataFrame([(1, "q " * 9 + other), (2, "q " * 9 + STRUCTURED)], "doc_id long, text string"), bench)
+    assert {r.doc_id: r.n_hit for r in hit.collect()} == {1: 0, 2: 10}
+    five = "q r s t ".split()
+    repeated = quality.judge(spark.createDataFrame([(1, " ".join([*five, STRUCTURED, *five, other]))], "doc_id long, text string")).first()
+    assert repeated.n_repeat_words == 0
+
+
+def test_quality_ratios_and_prose(spark):
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(900)]
+    made = {n: " ".join(r.choice(words) for _ in range(n)) for n in (20, 300, 3000, 9000)}
+    tail = made[9000][:16384] + "z" * 4000  # the last piece is under half a chunk and is judged with the one before
+    rows = [*enumerate([*made.values(), "spam and eggs " * 40, tail, made[3000][:8000] + "ab " * 8000])]
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        raw = text.encode()
+        ratio = len(packer.compress(raw)) / len(raw)
+        low, high = next((a, b) for least, a, b in reversed(quality.BANDS) if len(raw) >= least)
+        edges = [*range(0, len(raw) - quality.CHUNK // 2 + 1, quality.CHUNK), len(raw)] if len(raw) > quality.CHUNK else [0, 0]
+        parts = [len(packer.compress(raw[a:b])) / (b - a) for a, b in zip(edges, edges[1:]) if b > a]
+        bad = sum(not quality.CHUNK_BAND[0] <= p <= quality.CHUNK_BAND[1] for p in parts) / max(1, len(parts))
+        assert got[i].ratio == pytest.approx(ratio) and got[i].bad_chunks == pytest.approx(bad)
+        assert got[i].kept == (low <= ratio <= high and bad <= quality.CHUNK_SHARE and not got[i].base_failed)
+    import pathlib
+
+    prose = [p.read_text(errors="ignore") for p in pathlib.Path("/usr/share/common-licenses").glob("*") if p.is_file()]
+    plain = [x for x in prose if 1000 < len(x) < 100_000]
+    if len(plain) > 3:
+        kept = quality.judge(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")).agg(F.avg(F.when(F.col("base_failed"), None).otherwise(F.col("kept").cast("int")))).first()[0]
+        assert kept >= 0.95
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Every link of documents at sf0.01: two texts are linked if 5-word shingles overlap by 0.8 or more, counted as multisets."""
+    rows = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    texts = {}
+    for i, t in rows:
+        texts[t or ""] = min(i, texts.get(t or "", i))
+    bags, where = [], collections.defaultdict(list)
+    names = list(texts)
+    for k, t in enumerate(names):
+        w = WORDS.findall(t)
+        bag = collections.Counter(tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))) if w else collections.Counter()
+        bags.append(bag)
+        for s in bag:
+            where[s].append(k)
+    shared = collections.Counter((a, b) for ks in where.values() for x, a in enumerate(ks) for b in ks[x + 1 :])
+    root = list(range(len(names)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for a, b in shared:
+        both = sum((bags[a] & bags[b]).values())
+        if both >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - both):
+            links += 1
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    least = {}
+    for k, t in enumerate(names):
+        least[find(k)] = min(texts[t], least.get(find(k), texts[t]))
+    place = {t: k for k, t in enumerate(names)}
+    want = {i: least[find(place[t or ""])] if WORDS.search(t or "") else i for i, t in rows}
+    got = {x.doc_id: x.class_id for x in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert links and got == want
+
+
+def test_keep_one_with_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, long, 1), (5, "u " * 9, 2), (5, long, 3), (None, long, 4), (None, "n m o p q r", 5), (None, "n m o p q r", 6), (7, "", 7), (8, None, 8)]
+    out = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _head int"))
+    assert out.columns == ["doc_id", "text", "_head"] and sorted((r.doc_id, r.text) for r in out.where("doc_id is not null").collect() if r.text is not None) == [(3, long), (5, "u " * 9), (7, "")]
+    assert [r.text for r in out.where("doc_id is null").collect()] == ["n m o p q r"] and out.where("doc_id = 8").count() == 1
+
+
 def test_lm(spark, docs):
     got = lm.score(docs, P.path(queries.RANKS), P.PATTERN).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
