@@ -79,7 +79,16 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(), "op6_warc": WARC_SQL}
+    return {"op1_url_filter": url_filter.oracle(), "op6_warc": WARC_SQL, "op7_chat_format": CHAT_SQL}
+
+
+CHAT_SQL = r"""
+WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS r(i)),
+b AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(/?s>|</?SYS>>|/?INST\]|/?TURN\]|/?ROLE\])', '\1\2\\\3', 'g') AS safe, regexp_replace(role, '([<\[])(\\*)(/?s>|</?SYS>>|/?INST\]|/?TURN\]|/?ROLE\])', '\1\2\\\3', 'g') AS safe_role FROM a),
+c AS (SELECT *, CASE role WHEN 'system' THEN '<<SYS>>' || safe || '<</SYS>>' WHEN 'user' THEN '[INST]' || safe || '[/INST]' WHEN 'assistant' THEN '<s>' || safe || '</s>' ELSE '[TURN][ROLE]' || safe_role || '[/ROLE]' || safe || '[/TURN]' END AS shown FROM b)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(shown)) AS BIGINT) AS formatted_chars, regexp_full_match(string_agg(role || ' ', '' ORDER BY turn NULLS FIRST, role, text), '(system )?(user assistant )+') AS valid FROM c GROUP BY conv_id"""
 
 
 WARC_SQL = """
