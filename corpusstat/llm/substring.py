@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusstat.llm.blocks import buffers, mapped, mix, word_hashes, signed, sliding, window_hashes, words, written
+from corpusstat.llm.blocks import Scratch, buffers, mapped, mix, word_hashes, signed, sliding, window_hashes, words
 
 #: Words in an anchor. A window of n words holds n - ANCHOR + 1 candidates, of which the least hash is its anchor.
 ANCHOR = 20
@@ -55,7 +55,7 @@ def candidates(block: pa.RecordBatch, n: int) -> pa.RecordBatch:
     keys = mix(least ^ mix(doc.astype(np.uint64)))
     at = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
     some = np.flatnonzero(wanted[at] == keys) if len(wanted) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_pydict({"window": signed(windows(some)), "ord": taken(block, "ord", doc[some]), "row": taken(block, "row", doc[some]), "place": place[some].astype(np.int32)})
+    return pa.RecordBatch.from_pydict({"anchor": signed(least[some]), "window": signed(windows(some)), "ord": taken(block, "ord", doc[some]), "row": taken(block, "row", doc[some]), "place": place[some].astype(np.int32)})
 
 
 def kept(block: pa.RecordBatch, n: int) -> pa.RecordBatch:
@@ -85,19 +85,21 @@ def deduplicate(docs: DataFrame, *, n: int = 50, id_col: str = "doc_id", text_co
     First each window gets an anchor (of its runs of ANCHOR words the one with the least hash), so that
     equal windows have equal anchors, of which there is one for every dozen words. Only windows whose
     anchor stands in several documents are then counted by their own hash, and only those that have a smaller
-    document come back to their texts. Counts are summed before they are shuffled, and the joins are
+    document come back to their texts. Windows are the same if both their own hash and their anchor are, 128 bits together. Counts are summed before they are shuffled, and the joins are
     between written tables, so that Spark can split a passage that many documents share.
 
     Nulls: a null text has no words; a null id counts as greater than all others. Rows with equal ids
-    never remove each other's words. Empty tables give no rows; other columns are ignored."""
+    never remove each other's words. Texts of any length are judged whole. Empty tables give no rows; other columns are ignored."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("ord", "text"))
+    scratch = Scratch(docs.sparkSession, "substring")
     several = [F.min("ord").alias("least"), F.max("ord").alias("most")]
-    found = written(mapped(rows, lambda b: anchors(b, n), "anchor long, ord long, row long"), "anchors")
-    shared = written(found.groupBy("anchor").agg(*several).where("least < most").select("anchor"), "shared-anchors")
+    found = scratch.write("anchors", mapped(rows, lambda b: anchors(b, n), "anchor long, ord long, row long"))
+    shared = scratch.write("shared-anchors", found.groupBy("anchor").agg(*several).where("least < most").select("anchor"))
     lists = found.join(shared, "anchor").groupBy("ord", "row").agg(F.collect_set("anchor").alias("shared"))
-    windows = written(mapped(rows.join(lists, ["ord", "row"]), lambda b: candidates(b, n), "window long, ord long, row long, place int"), "windows")
-    repeated = written(windows.groupBy("window").agg(*several).where("least < most").select("window", "least"), "repeated-windows")
-    places = windows.join(repeated, "window").where("ord > least").groupBy("ord", "row").agg(F.collect_set("place").alias("places"))
+    windows = scratch.write("windows", mapped(rows.join(lists, ["ord", "row"]), lambda b: candidates(b, n), "anchor long, window long, ord long, row long, place int"))
+    scratch.drop("anchors", "shared-anchors")
+    repeated = scratch.write("repeated-windows", windows.groupBy("anchor", "window").agg(*several).where("least < most").select("anchor", "window", "least"))
+    places = windows.join(repeated, ["anchor", "window"]).where("ord > least").groupBy("ord", "row").agg(F.collect_set("place").alias("places"))
     out = mapped(rows.join(places, ["ord", "row"], "left"), lambda b: kept(b, n), "ord long, n_words long, n_removed long, kept string")
     return out.select(F.nullif("ord", F.lit(LAST)).alias(id_col), "n_words", "n_removed", "kept")
