@@ -1,4 +1,8 @@
-"""Substring deduplication: words covered by a window that a document with a smaller id also has."""
+"""Substring deduplication: words covered by a window that a document with a smaller id also has.
+
+Suffix automata of shards of reference passages give the matching statistics: for each window of a passage the least document that holds
+it. Anchors say which passages can share a window at all, and put those that do into one shard.
+"""
 
 from __future__ import annotations
 
@@ -7,32 +11,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusstat.llm.blocks import Scratch, buffers, mapped, mix, word_hashes, signed, sliding, window_hashes, words
+from corpusstat.llm import automaton as sa
+from corpusstat.llm.blocks import Scratch, buffers, mapped, mix, run_hashes, signed, sliding, window_hashes, word_hashes, words
 
 #: Words in an anchor. A window of n words holds n - ANCHOR + 1 candidates, of which the least hash is its anchor.
 ANCHOR = 20
+#: Words of the passages in a shard. Anchors with more of them are settled by the hashes of their windows.
+SHARD = 60_000
 LAST = (1 << 63) - 1
 
 
 def anchored(block: pa.RecordBatch, n: int):
-    """Text number, place in the text, hash and anchor of each window of n words in one text."""
+    """Of each window of n words in one text: text number, first word's number in the block, anchor; and the words' places in the block."""
     data, offsets = buffers(block.column("text"))
     starts, ends, doc = words(data, offsets)
     if len(doc) < n:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), lambda at: np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64), (data, starts, ends, doc, none.view(np.uint64))
     hashes = word_hashes(data, starts, ends)
     k = min(ANCHOR, n)
     least = sliding(window_hashes(hashes, k), n - k + 1, np.minimum)
     at = np.flatnonzero(doc[: len(least)] == doc[n - 1 :])
-    first = np.searchsorted(doc, np.arange(block.num_rows))
-    whole = []
-
-    def windows(some):
-        if not whole:
-            whole.append(window_hashes(hashes, n))
-        return whole[0][at[some]]
-
-    return doc[at], at - first[doc[at]], windows, least[at]
+    return doc[at], at, least[at], (data, starts, ends, doc, hashes)
 
 
 def taken(block: pa.RecordBatch, name: str, at: np.ndarray) -> np.ndarray:
@@ -40,22 +40,75 @@ def taken(block: pa.RecordBatch, name: str, at: np.ndarray) -> np.ndarray:
 
 
 def anchors(block: pa.RecordBatch, n: int) -> pa.RecordBatch:
-    doc, _, _, least = anchored(block, n)
+    doc, _, least, _ = anchored(block, n)
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
     return pa.RecordBatch.from_pydict({"anchor": signed(least[new]), "ord": taken(block, "ord", doc[new]), "row": taken(block, "row", doc[new])})
 
 
-def candidates(block: pa.RecordBatch, n: int) -> pa.RecordBatch:
-    """The windows whose anchor is in the text's list of shared anchors."""
-    doc, place, windows, least = anchored(block, n)
+def passages(block: pa.RecordBatch, n: int) -> pa.RecordBatch:
+    """The runs of windows with one anchor, if that is in the text's list of shared ones: the first window's place, the number of windows, and the words
+    that they cover, joined by one space."""
+    doc, at, least, (data, starts, ends, of, hashes) = anchored(block, n)
     shared = block.column("shared")
     owner = np.repeat(np.arange(block.num_rows), shared.value_lengths().to_numpy(zero_copy_only=False))
     wanted = np.unique(mix(shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ mix(owner.astype(np.uint64))))
     keys = mix(least ^ mix(doc.astype(np.uint64)))
-    at = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
-    some = np.flatnonzero(wanted[at] == keys) if len(wanted) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_pydict({"anchor": signed(least[some]), "window": signed(windows(some)), "ord": taken(block, "ord", doc[some]), "row": taken(block, "row", doc[some]), "place": place[some].astype(np.int32)})
+    spot = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
+    some = np.flatnonzero(wanted[spot] == keys) if len(wanted) else np.zeros(0, np.int64)
+    first = np.ones(len(some), bool)
+    first[1:] = (some[1:] != some[:-1] + 1) | (keys[some[1:]] != keys[some[:-1]])
+    begin = np.flatnonzero(first)
+    windows = np.diff(np.append(begin, len(some)))
+    w = at[some[begin]]  # first words
+    begun = np.searchsorted(of, np.arange(block.num_rows))
+    raw = data.tobytes()
+    texts = [b" ".join(raw[a:b].split()) for a, b in zip(starts[w].tolist(), ends[w + windows + n - 2].tolist())] if len(w) else []
+    d = doc[some[begin]]
+    return pa.RecordBatch.from_pydict({
+        "anchor": signed(least[some[begin]]), "passage": signed(run_hashes(hashes, w, w + windows + n - 1)), "ord": taken(block, "ord", d), "row": taken(block, "row", d),
+        "place": (w - begun[d]).astype(np.int32), "windows": windows.astype(np.int32), "words": pa.array(texts, pa.binary()).cast(pa.string()),
+    })
+
+
+def solved(table: pa.Table, n: int) -> pa.Table:
+    """For each window of a shard's passages the least document that has it. The automaton of all passages holds with each state the least document of those
+    whose passages reach it; each passage is then streamed for its matching statistics, which are n or longer at the end of every window."""
+    texts = [t.split(" ") for t in table.column("words").to_pylist()]
+    ids: dict[str, int] = {}
+    coded = [[ids.setdefault(w, len(ids)) for w in t] for t in texts]
+    automaton = sa.build(coded)
+    step, link, length = automaton
+    least = [LAST] * len(link)
+    ends = []
+    for t, o in zip(coded, table.column("least").to_pylist()):
+        s, own = 0, []
+        for token in t:  # a passage is in the automaton, so its matching statistic grows with each word
+            s = step[s][token]
+            own.append(s)
+            if o < least[s]:
+                least[s] = o
+        ends.append(own[n - 1 :])
+    by_length = sorted(range(1, len(link)), key=length.__getitem__)
+    for s in reversed(by_length):
+        if least[s] < least[link[s]]:
+            least[link[s]] = least[s]
+    top = [0] * len(link)  # the state of the last n words of what a state holds
+    for s in by_length:
+        top[s] = s if length[s] < n or length[link[s]] < n else top[link[s]]
+    leasts = [[least[top[s]] for s in own] for own in ends]
+    return pa.table({"anchor": table.column("anchor"), "passage": table.column("passage"), "leasts": pa.array(leasts, pa.list_(pa.int64()))})
+
+
+def hashed_windows(block: pa.RecordBatch, n: int) -> pa.RecordBatch:
+    """The windows of passages by their hash."""
+    data, offsets = buffers(block.column("text"))
+    starts, ends, doc = words(data, offsets)
+    whole = window_hashes(word_hashes(data, starts, ends), n)
+    at = np.flatnonzero(doc[: len(whole)] == doc[len(doc) - len(whole) :])
+    d = doc[at]
+    place = taken(block, "place", d) + (at - np.searchsorted(doc, np.arange(block.num_rows))[d])
+    return pa.RecordBatch.from_pydict({"anchor": taken(block, "anchor", d), "window": signed(whole[at]), "ord": taken(block, "ord", d), "row": taken(block, "row", d), "place": place.astype(np.int32)})
 
 
 def kept(block: pa.RecordBatch, n: int) -> pa.RecordBatch:
@@ -77,29 +130,48 @@ def kept(block: pa.RecordBatch, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"ord": block.column("ord"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(texts, pa.string())})
 
 
-def deduplicate(docs: DataFrame, *, n: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, *, n: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD) -> DataFrame:
     r"""One row per row of docs: id, n_words, n_removed and `kept`, the words that stay joined by one space.
 
     A word goes if a window of n consecutive words covers it whose word sequence also starts in a
     document with a smaller id. Words are runs without \x20 and \x09-\x0D; windows are judged on the input.
-    First each window gets an anchor (of its runs of ANCHOR words the one with the least hash), so that
-    equal windows have equal anchors, of which there is one for every dozen words. Only windows whose
-    anchor stands in several documents are then counted by their own hash, and only those that have a smaller
-    document come back to their texts. Windows are the same if both their own hash and their anchor are, 128 bits together. Counts are summed before they are shuffled, and the joins are
-    between written tables, so that Spark can split a passage that many documents share.
+    Each window has an anchor (of its runs of ANCHOR words the one with the least hash), so equal windows have equal anchors. A passage is a run of
+    windows with one anchor that stands in several documents; equal passages become one reference with the least document that has it. References
+    that share an anchor meet in a shard of some shard_words words, whose suffix automaton says of each of their windows which document is the least to hold it;
+    an anchor with a single reference needs none. Where one anchor's references are longer than a shard (a passage in very many documents, with other
+    words around it in each), their windows are counted by hash instead, so no task holds more than a shard. What is found comes back to all
+    documents by the passage's hash and anchor.
 
     Nulls: a null text has no words; a null id counts as greater than all others. Rows with equal ids
     never remove each other's words. Texts of any length are judged whole. Empty tables give no rows; other columns are ignored."""
+    scratch = Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("ord", "text"))
-    scratch = Scratch(docs.sparkSession, "substring")
     several = [F.min("ord").alias("least"), F.max("ord").alias("most")]
     found = scratch.write("anchors", mapped(rows, lambda b: anchors(b, n), "anchor long, ord long, row long"))
     shared = scratch.write("shared-anchors", found.groupBy("anchor").agg(*several).where("least < most").select("anchor"))
-    lists = found.join(shared, "anchor").groupBy("ord", "row").agg(F.collect_set("anchor").alias("shared"))
-    windows = scratch.write("windows", mapped(rows.join(lists, ["ord", "row"]), lambda b: candidates(b, n), "anchor long, window long, ord long, row long, place int"))
+    listed = found.join(shared, "anchor").groupBy("ord", "row").agg(F.collect_set("anchor").alias("shared"))
+    kinds = "anchor long, passage long, ord long, row long, place int, windows int, words string"
+    runs = scratch.write("passages", mapped(rows.join(listed, ["ord", "row"]), lambda b: passages(b, n), kinds))
     scratch.drop("anchors", "shared-anchors")
-    repeated = scratch.write("repeated-windows", windows.groupBy("anchor", "window").agg(*several).where("least < most").select("anchor", "window", "least"))
-    places = windows.join(repeated, ["anchor", "window"]).where("ord > least").groupBy("ord", "row").agg(F.collect_set("place").alias("places"))
+    # references, and what meets where
+    key = ["anchor", "passage"]
+    references = scratch.write("references", runs.groupBy(*key).agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.first("windows").alias("windows"), F.first("words").alias("words")))
+    sizes = references.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("windows") + n - 1).alias("size"))
+    sizes = scratch.write("sizes", sizes.withColumn("kind", F.when(F.col("n") == 1, "one").when(F.col("size") <= shard_words, "shard").otherwise("long")))
+    total = sizes.where("kind = 'shard'").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = max(1, -(-2 * total // shard_words))
+    of = references.join(sizes.select("anchor", "kind"), "anchor")
+    inside = of.where("kind = 'shard'").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *key, "least", "words")
+    by_automaton = inside.groupBy("shard").applyInArrow(lambda t: solved(t, n), "anchor long, passage long, leasts array<long>")
+    alone = of.where("kind = 'one' and least < most").select(*key, F.array_repeat("least", F.col("windows")).alias("leasts"))
+    answers = scratch.write("answers", by_automaton.union(alone))
+    gone = runs.select(*key, "ord", "row", "place").join(answers, key)
+    gone = gone.select("ord", "row", F.array_compact(F.transform("leasts", lambda o, i: F.when(o < F.col("ord"), F.col("place") + i))).alias("places")).where(F.size("places") > 0)
+    long = runs.join(sizes.where("kind = 'long'").select("anchor"), "anchor").select("anchor", "ord", "row", "place", F.col("words").alias("text"))
+    counted = scratch.write("windows", mapped(long, lambda b: hashed_windows(b, n), "anchor long, window long, ord long, row long, place int"))
+    repeated = scratch.write("repeated-windows", counted.groupBy("anchor", "window").agg(*several).where("least < most").select("anchor", "window", "least"))
+    more = counted.join(repeated, ["anchor", "window"]).where("ord > least").select("ord", "row", F.array("place").alias("places"))
+    places = gone.union(more).groupBy("ord", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
     out = mapped(rows.join(places, ["ord", "row"], "left"), lambda b: kept(b, n), "ord long, n_words long, n_removed long, kept string")
     return out.select(F.nullif("ord", F.lit(LAST)).alias(id_col), "n_words", "n_removed", "kept")

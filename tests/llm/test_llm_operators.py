@@ -43,8 +43,10 @@ def lower(x):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), x)
 
 
-def test_substring(docs):
-    got = sorted(map(tuple, substring.deduplicate(docs).collect()), key=repr)
+@pytest.mark.parametrize("shard", [substring.SHARD, 300, 1])
+def test_substring(docs, shard):
+    """With one shard, with several, and with all anchors that have several passages settled by windows."""
+    got = sorted(map(tuple, substring.deduplicate(docs, shard_words=shard).collect()), key=repr)
     rows = [(math.inf if i is None else i, i, WORDS.findall(t or "")) for i, t in texts()]
     seen, want = {}, []
     for o, _, w in rows:
