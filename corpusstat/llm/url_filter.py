@@ -6,6 +6,7 @@ at most MAX_LABELLED rows. Weights are whole numbers, so sums don't depend on an
 
 from __future__ import annotations
 
+import random
 from functools import lru_cache
 
 import numpy as np
@@ -14,21 +15,29 @@ from pyspark.sql import functions as F
 
 MAX_LABELLED = 2000
 #: Buckets of the hash, size of an n-gram, and whole units of a weight.
-BUCKETS, GRAM, UNIT = 1024, 3, 10_000
+BUCKETS, GRAM, UNIT = 2048, 3, 10_000
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: The small labelled table: addresses of pages worth reading (0) and of spam, shops of pills, bets and adult pages (1).
-GOOD_HOSTS = "en.wikipedia.org news.example.com www.uni-city.example.edu blog.travel.example.net docs.python.org library.example.org m.weather.example.com www.health.example.gov science.example.net recipes.example.com forum.garden.example.org museum.example.org".split()
-GOOD_PATHS = "/wiki/History /en/2021/05/city-council-report /articles/how-to-grow-tomatoes /en/123 /fr/456.html /de/789/ /docs/tutorial/index.html /about /research/papers/climate /recipes/bread /es/2040?page=2 /library/catalogue".split()
-BAD_HOSTS = "free-casino-bets.example.com hot-xxx-cams.example.net cheap-pills-viagra.example.com win-bonus-slots.example.biz adult-porn-tube.example.net best-replica-watches.example.shop poker777.example.com click-ads-tracker.example.net sexdating.example.com crypto-doubler-bonus.example.biz loan-fast-cash.example.com torrent-crack-keygen.example.net".split()
-BAD_PATHS = "/casino/bonus?aff=123 /xxx/videos/1 /viagra/buy-now /slots/free-spins /porn/gallery /replica/sale /poker/777/join /ads/click?id=9 /sex/dating /bonus/double /cash/loan/apply /crack/keygen/download".split()
+#: The small labelled table is drawn from these words: of pages worth reading (0), and of bets, pills, loans, copies and adult pages (1).
+GOOD_WORDS = "news history science museum library weather garden recipe health travel music school university research city council article climate language culture biology physics chemistry literature theatre cinema sport football election economy report review guide tutorial documentation reference archive encyclopedia journal magazine blog forum community photo map village river mountain cooking bread tomato bicycle train railway energy water forest animal bird dog cat children family teacher student lecture book novel poem painting architecture bridge church castle war peace law court parliament minister mayor police hospital doctor nurse medicine vaccine computer software programming python database network security privacy open data statistics method theory".split()
+BAD_WORDS = "casino poker slots bonus jackpot betting roulette gamble spins wager viagra cialis pills pharmacy steroids weightloss xxx porn sex adult cams escort nude milf dating hookup replica rolex fake cheap discount outlet loan payday cash credit debt crypto doubler forex binary profit rich winner prize lottery giveaway free click ads banner popup tracker affiliate referral promo torrent crack keygen serial warez nulled hack cheat followers likes".split()
+GENERAL = "www index page home about en de fr es www2 m item view main".split()
 
 
-def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, label): each host with each path of its kind."""
-    kinds = ((GOOD_HOSTS, GOOD_PATHS, 0), (BAD_HOSTS, BAD_PATHS, 1))
-    return [(h, p.split("?")[0], y) for hosts, paths, y in kinds for h in hosts for p in paths]
+def labelled(seed: int = 3, each: int = 400) -> list[tuple[str, str, int]]:
+    """(host, path, label), drawn from the words."""
+    r = random.Random(seed)
+    out = []
+    for y, own in ((0, GOOD_WORDS), (1, BAD_WORDS)):
+        word = lambda: r.choice(own) if r.random() < 0.8 else str(r.randrange(1, 10_000)) if r.random() < 0.5 else r.choice(GENERAL)
+        for _ in range(each):
+            host = r.choice(("", "www.", "m.", "blog.")) + r.choice(own) + r.choice(("", "-" + word(), word(), "." + r.choice(own))) + r.choice((".example", "")) + r.choice((".com", ".org", ".net", ".info", ".biz"))
+            path = "".join("/" + word() + r.choice(("", "-" + word(), "_" + word())) for _ in range(r.randrange(0, 4))) + r.choice(("", "/", ".html"))
+            out.append((host, path, y))
+    for _ in range(each // 4):  # neutral addresses
+        out.append((r.choice(("", "www.")) + r.choice(("example", "site", "host", "web")) + str(r.randrange(100)) + ".example" + r.choice((".com", ".org", ".net")), "".join(f"/{r.choice(GENERAL)}/{r.randrange(10_000)}" for _ in range(r.randrange(3))), 0))
+    return out
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -45,7 +54,7 @@ def grams(text: str) -> list[int]:
 
 
 @lru_cache
-def fit(rows: tuple[tuple[str, str, int], ...], rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> tuple[tuple[int, ...], int]:
+def fit(rows: tuple[tuple[str, str, int], ...], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[tuple[int, ...], int]:
     """Whole weights of the buckets and the intercept, by full-batch gradient descent."""
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"at most {MAX_LABELLED} labelled rows")

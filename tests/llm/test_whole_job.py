@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from corpusstat.llm import lm, minhash, queries, secret_scan
+from corpusstat.llm import lm, minhash, queries, secret_scan, url_filter
 from corpusstat.llm.blocks import Scratch
 
 P = queries.public_tokenizers
@@ -53,3 +53,29 @@ def test_secrets_every_run_and_short_or_digitless_ones(spark):
 def test_near_dedup_pairs_at_exactly_the_threshold(spark):
     bags = spark.createDataFrame([(1, 1, list(range(28))), (2, 2, list(range(35)))], "node long, root long, es array<long>")
     assert [tuple(r) for r in minhash.rare_pairs(bags, 0.8, Scratch(spark, "test")).collect()] == [(2, 1)]
+
+
+def test_url_model_on_other_addresses():
+    weights, intercept = url_filter.fit(tuple(url_filter.labelled()))
+    held = url_filter.labelled(99)
+    right = sum((intercept + sum(weights[g] for g in url_filter.grams(f"^{host}^{path}$")) >= 0) == bool(y) for host, path, y in held)
+    assert len(held) <= url_filter.MAX_LABELLED and right / len(held) >= 0.97
+
+
+def test_url_urls_of_all_kinds(spark):
+    long = "http://news.example.com/" + "a/" * 50_000
+    rows = [(1, long, "h", 0), (1, long, "h", 0), (2, "http://ÄÖ.example.com/日本", "h", 1), (3, "://", "h", 2), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, rule int")
+    got = sorted(map(tuple, url_filter.judge(df).select("page_id", "host", "rule").collect()), key=repr)
+    assert got == sorted([(1, "news.example.com", None), (1, "news.example.com", None), (2, "ÄÖ.example.com", None), (3, "", None), (None, "", None)], key=repr)
+
+
+def test_chat_and_secrets_of_all_kinds(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").limit(0).write.parquet(str(tmp_path / "conversations.parquet"))
+    only = queries.op7_chat_format(spark, str(tmp_path)).collect()
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in only] == [(-7, 2, 21)]
+    long = "plain words and more " * 20_000 + "token = 9f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fd"
+    df = spark.createDataFrame([(1, long, "s", 3), (1, long, "s", 3), (None, None, None, None)], "doc_id long, text string, source string, place int")
+    assert [(r.doc_id, r.secret) for r in secret_scan.scan(df).collect()] == [(1, True), (1, True)]
+    red = secret_scan.redact(df)
+    assert red.columns == df.columns and [len(r.text) for r in red.where("doc_id = 1").collect()] == [len(long) - 40 + len(secret_scan.MASK)] * 2
