@@ -82,15 +82,19 @@ def ks(df: DataFrame, value: str, side: Column) -> DataFrame:
 
 
 def agreement(df: DataFrame, truth: str, said: str, w: str, levels: int | None = None) -> DataFrame:
-    """Cohen's kappa, quadratic-weighted if levels (labels are then whole numbers) are given; null where chance agreement is complete."""
+    """Cohen's kappa, quadratic-weighted if levels (labels are then whole numbers) are given; null where chance agreement is complete. Chance comes from
+    sums over labels, never from pairs of them."""
     cells = df.groupBy(truth, said).agg(F.sum(w).alias("x"))
-    rows, cols = cells.groupBy(truth).agg(F.sum("x").alias("r")), cells.groupBy(said).agg(F.sum("x").alias("c"))
-    total = cells.agg(F.sum("x").alias("t"))
-    cost = lambda a, b: (F.pow(F.col(a) - F.col(b), 2) / (levels - 1) ** 2) if levels else F.when(F.col(a) == F.col(b), 0.0).otherwise(1.0)
-    seen = cells.agg(F.sum(F.col("x") * cost(truth, said)).alias("seen"))
-    chance = rows.crossJoin(F.broadcast(cols)).agg(F.sum(F.col("r") * F.col("c") * cost(truth, said)).alias("chance"))  # labels by labels
-    out = seen.join(F.broadcast(chance)).join(F.broadcast(total))
-    return out.select(F.when(F.col("chance") > 0, 1 - F.col("seen") * F.col("t") / F.col("chance")).alias("kappa"))
+    if levels:
+        a, b, x = F.col(truth), F.col(said), F.col("x")
+        sums = cells.agg(F.sum("x").alias("t"), F.sum(x * F.pow(a - b, 2)).alias("seen"), *(F.sum(x * c).alias(n) for n, c in (("a1", a), ("a2", a * a), ("b1", b), ("b2", b * b))))
+        chance = F.col("t") * F.col("a2") - 2 * F.col("a1") * F.col("b1") + F.col("t") * F.col("b2")
+    else:
+        rows, cols = cells.groupBy(truth).agg(F.sum("x").alias("r")), cells.groupBy(F.col(said).alias(truth)).agg(F.sum("x").alias("c"))
+        same = rows.join(cols, truth).agg(F.coalesce(F.sum(F.col("r") * F.col("c")), F.lit(0.0)).alias("same"))
+        sums = cells.agg(F.sum("x").alias("t"), F.sum(F.when(F.col(truth) == F.col(said), 0.0).otherwise(F.col("x"))).alias("seen")).join(F.broadcast(same))  # one row
+        chance = F.col("t") * F.col("t") - F.col("same")
+    return sums.select(F.when(chance > 0, 1 - F.col("seen") * F.col("t") / chance).alias("kappa"))
 
 
 def precision_recall(df: DataFrame, truth: str, said: str, w: str) -> DataFrame:

@@ -104,3 +104,20 @@ def test_placebo_and_language(spark):
     rows = [(1, "The of OF and, and of"), (2, "för att och för, och OCH för"), (3, "of och"), (4, None), (5, "the the the the the the")]
     got = {r.id: (r.language, r.hits) for r in mining.language(spark.createDataFrame(rows, "id int, t string"), "id", F.coalesce("t", F.lit("")), words).collect()}
     assert got == {1: ("en", 5), 2: ("sv", 6), 3: ("unclear", 1), 4: ("unclear", 0), 5: ("unclear", 0)}
+
+
+def test_svd_vectors(spark):
+    from corpusstat.operators import reduce
+
+    r = np.random.default_rng(2)
+    m = (r.random((60, 3)) * [9, 4, 2]) @ r.random((3, 40)) + 0.01 * r.random((60, 40))
+    m[r.random(m.shape) < 0.1] = 0
+    rows = [(i, f"t{j:02d}", float(m[i, j])) for i in range(60) for j in range(40) if m[i, j]]
+    df = spark.createDataFrame(rows, "id int, term string, w double")
+    got = {x.id: np.array(x.vector) for x in reduce.svd_vectors(df, "id", "term", "w", 5, turns=12, block_weight=2.0).collect()}
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    want = u[:, :5] * s[:5]
+    want = 2 * want / np.linalg.norm(want, axis=1, keepdims=True)
+    mine = np.array([got[i] for i in range(60)])
+    assert mine.shape == (60, 5) and np.abs(mine @ mine.T - want @ want.T).max() < 0.02
+    assert reduce.svd_vectors(df.limit(0), "id", "term", "w", 5).count() == 0
