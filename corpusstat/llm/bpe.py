@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusstat.llm.blocks import cut
 
 #: Pre-tokens and ids that a worker remembers (a block may exceed them), and the characters of the longest pre-token that stays.
-MEMO, MEMO_IDS, MEMO_CHARS = 250_000, 2_000_000, 40
+MEMO, MEMO_IDS, MEMO_CHARS = 400_000, 3_000_000, 40
 
 #: Ids that are decoded at once, or one row's.
 DECODED = 1 << 18
