@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusstat.functions.text import missing, norm_words
+from corpusstat.operators.resample import uniform
 
 
 def weighted_corpus(df: DataFrame, text: str, day: str, total: str, order: list[str], keep_empty: bool = False) -> DataFrame:
@@ -102,7 +103,7 @@ def keep_unambiguous(df: DataFrame, name: str, code: str) -> DataFrame:
 
 def stratified(df: DataFrame, strata: list[str], key: str, n: int, weight: str, seed: int = 1) -> DataFrame:
     """N rows of each stratum by a hash of the key, weights times N/n. Ranks need no more than n rows of a task (a bounded top-k by stratum)."""
-    h = F.xxhash64(F.lit(seed), key)
+    h = uniform(seed, F.col(key))
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
     ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(*strata).orderBy(h, key))).where(F.col("_rn") <= n)
     return ranked.join(sizes, strata).withColumn(weight, F.col(weight) * F.col("_size") / F.least(F.col("_size"), F.lit(n))).drop("_rn", "_size")

@@ -43,12 +43,33 @@ def upper_fence(df: DataFrame, value: str) -> DataFrame:
     return df.agg(q.alias("q")).select(F.pow(F.lit(10.0), F.get("q", 1) + 1.5 * (F.get("q", 1) - F.get("q", 0))).alias("fence"))
 
 
-def language(df: DataFrame, key: str, text: Column, words: dict[str, list[str]], least: int = 5) -> DataFrame:
-    """The language whose own stop words are at least `least` and more than twice those of the next; else unclear."""
-    count = lambda ws: F.size(F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w.isin(ws)))
-    seen = [w for ws in words.values() for w in ws]
-    own = {lang: [w for w in ws if seen.count(w) == 1] for lang, ws in words.items()}
-    counts = F.reverse(F.array_sort(F.array(*(F.struct(count(ws).alias("n"), F.lit(lang).alias("lang")) for lang, ws in own.items()))))
+#: Stop words by language.
+STOP_WORDS = {
+    "en": "the and of to in for with a is are you we our will be as on that this your or by from at an have it".split(),
+    "de": "und der die das mit für von zu den im ist sie wir ein eine auf bei als oder nicht sich werden dem".split(),
+    "fr": "les des et de la le du pour avec une un dans vous nous sur est que qui au aux en ou par pas".split(),
+    "nl": "het een van de en voor met je wij u op te zijn bij ook naar niet als maar dat die".split(),
+    "sv": "och att i på för med är en som du vi till av det den har ett kan inte om eller våra".split(),
+    "es": "los las del con para por una que es en el la y de se su al como más o sus nuestro".split(),
+    "it": "il lo gli le di del della con per una che è sono nel nella e ed in non si come tra più".split(),
+    "pl": "i w z na do się jest oraz nie dla przez lub który od jak to po przy czy".split(),
+    "el": "και το την του της τα των με για στο στη από που να είναι σε ένα μια".split(),
+}
+
+
+def own_words(words: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Each language's words that no other language has."""
+    seen = [w for ws in words.values() for w in set(ws)]
+    return {lang: [w for w in ws if seen.count(w) == 1] for lang, ws in words.items()}
+
+
+def language(df: DataFrame, key: str, text: Column, words: dict[str, list[str]] = STOP_WORDS, least: int = 5) -> DataFrame:
+    """The language whose own stop words (those in no other language's list) a text has at least `least` times and more than twice as often as the next
+    one's; else unclear."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    count = lambda ws: F.size(F.filter("w", lambda w: w.isin(ws)))
+    df = df.select(key, found.alias("w"))
+    counts = F.reverse(F.array_sort(F.array(*(F.struct(count(ws).alias("n"), F.lit(lang).alias("lang")) for lang, ws in own_words(words).items()))))
     df = df.select(key, counts.alias("c"))
     first, second = F.get("c", 0), F.get("c", 1)
     return df.select(key, F.when((first["n"] >= least) & (first["n"] > 2 * second["n"]), first["lang"]).otherwise("unclear").alias("language"), first["n"].alias("hits"))

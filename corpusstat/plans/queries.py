@@ -292,13 +292,18 @@ def x34_iso_weeks(spark, d):
     return t(spark, d, "events").groupBy(X.iso_week(F.col("ts")).alias("week")).agg(F.count("*").alias("n"))
 
 
-@query()
+OWN = M.own_words(M.STOP_WORDS)
+COUNTS = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({', '.join(map(repr, ws))}))), 'l': '{lang}'}}" for lang, ws in OWN.items())
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS w FROM documents), b AS (SELECT doc_id, list_reverse_sort([{COUNTS}]) AS c FROM a)
+SELECT doc_id, CASE WHEN c[1].n >= 5 AND c[1].n > 2 * c[2].n THEN c[1].l ELSE 'unclear' END AS language, c[1].n AS hits FROM b""")
 def x18_language(spark, d):
-    words = {"en": "the of and to in is that it".split(), "de": "der die und in den von zu das".split(), "fr": "le la les et des en un une".split(), "es": "el la de que y en los las".split()}
-    return rounded(M.language(t(spark, d, "documents"), "doc_id", F.coalesce("text", F.lit("")), words, 3))
+    return rounded(M.language(t(spark, d, "documents"), "doc_id", F.coalesce("text", F.lit(""))))
 
 
-@query()
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST('0x' || substr(md5('1|' || o_orderkey), 1, 8) AS BIGINT), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT o_orderkey, o_orderpriority, round(n / least(n, 20), 6) AS w FROM r WHERE r <= 20""")
 def s4_stratified(spark, d):
     df = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.lit(1.0).alias("w"))
     return rounded(C.stratified(df, ["o_orderpriority"], "o_orderkey", 20, "w"))
