@@ -2,6 +2,10 @@
 
 The stages keep the columns of documents until the last, which returns one row of token ids per document.
 Each stage judges all that its predecessor kept.
+
+Nulls, ties and the like: a null or empty text goes in the first stage; rows without id are treated like others and stand last where the least id counts; of
+rows that repeat an id and text, or a class of near copies, one stays; texts of any length are read whole; an empty table gives an empty table; further
+columns, whatever they are called, stay as they are until the last stage, which leaves them out.
 """
 
 from __future__ import annotations
