@@ -79,3 +79,28 @@ def test_chat_and_secrets_of_all_kinds(spark, tmp_path):
     assert [(r.doc_id, r.secret) for r in secret_scan.scan(df).collect()] == [(1, True), (1, True)]
     red = secret_scan.redact(df)
     assert red.columns == df.columns and [len(r.text) for r in red.where("doc_id = 1").collect()] == [len(long) - 40 + len(secret_scan.MASK)] * 2
+
+
+def test_pipeline_on_rows_of_all_kinds(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n))
+    one, two, item = prose(120), prose(200), prose(12)
+    token = "9f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fd"
+    texts = [(1, one), (1, one), (2, one + " more"), (None, one), (3, None), (4, ""), (5, "too short"), (6, two + f" token = {token} " + item), (None, prose(90)), (7, item * 1 + " " + prose(5))]
+    rows = [(i, t, "en", "src1", 1, "x", "y") for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, _text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns
+        docs = spark.createDataFrame(docs.collect(), before.schema)
+    left = {x.doc_id: x.text for x in docs.where("doc_id is not null").collect()}
+    assert set(left) == {1, 6} and left[1] == one and left[6].strip() == two + " token = [SECRET]"
+    assert docs.where("doc_id is null").count() == 1
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(ids) == 3 and all(len(x.ids) == x.n_tokens > 0 for x in ids)
