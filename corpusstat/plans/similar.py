@@ -102,11 +102,12 @@ def s9_from_bands(spark, d):
     return rounded(D.from_bands(rows, "l_discount", [0.02, 0.05, 0.08], "id", "text", 15).select("band", "id"))
 
 
-@query(f"""WITH n AS (SELECT p_size, count(*) AS n, greatest(1, 100 // (SELECT count(DISTINCT p_size) FROM part)) AS each FROM part GROUP BY 1), r AS (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY {U.format('p_partkey')}, p_partkey) AS r FROM part)
-SELECT p_size::BIGINT AS p_size, count(*) AS n, min(r) AS low FROM r JOIN n USING (p_size) WHERE r <= least(n, each) GROUP BY 1""")
+@query("""WITH n AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1), l AS (SELECT max(l) AS l FROM range(0, 101) AS r(l) WHERE (SELECT sum(least(n, l)) FROM n) <= 100),
+a AS (SELECT p_size, least(n, l) AS g, n > l AS room FROM n, l), b AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY p_size) AS k FROM a)
+SELECT p_size::BIGINT AS p_size, CAST(g + CASE WHEN room AND k <= 100 - (SELECT sum(g) FROM a) THEN 1 ELSE 0 END AS BIGINT) AS n FROM b WHERE g + CASE WHEN room AND k <= 100 - (SELECT sum(g) FROM a) THEN 1 ELSE 0 END > 0""")
 def s5_allocated(spark, d):
     rows = D.allocated(t(spark, d, "part").select("p_size", "p_partkey"), "p_size", "p_partkey", 100)
-    return rounded(rows.groupBy("p_size").agg(F.count("*").alias("n"), F.lit(1).alias("low")))
+    return rounded(rows.groupBy("p_size").agg(F.count("*").alias("n")))
 
 
 @query()
