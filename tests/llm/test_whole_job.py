@@ -104,3 +104,8 @@ def test_pipeline_on_rows_of_all_kinds(spark, tmp_path):
     assert docs.where("doc_id is null").count() == 1
     ids = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert len(ids) == 3 and all(len(x.ids) == x.n_tokens > 0 for x in ids)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    out = queries.op2_lm_score(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").first()
+    assert out.s > out.b + 0.1
