@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corpusstat.llm import bpe, chat, decontaminate, lm, minhash, quality, secret_scan, substring, url_filter, warc
+from corpusstat.llm import bpe, chat, decontaminate, infill, lm, merkle, minhash, mixing, quality, secret_scan, substring, url_filter, warc
 from corpusstat.llm.blocks import shared_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,12 +74,30 @@ def op10_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    out = infill.transform(table(spark, sf_dir, "documents"))
+    chars = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    return out.select("doc_id", "n", "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf(*map(F.col, merkle.FIELDS[:-1]), lower))
+    out = merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), keep={"tampered": tampered}), "tampered")
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_mix_sources(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(), "op6_warc": WARC_SQL, "op7_chat_format": CHAT_SQL}
+    return {"op1_url_filter": url_filter.oracle(), "op6_warc": WARC_SQL, "op7_chat_format": CHAT_SQL, "op11_fill_in_middle": infill.SQL, "op12_merkle_manifest": merkle.sql()}
 
 
 CHAT_SQL = r"""
