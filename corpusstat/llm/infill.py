@@ -47,8 +47,8 @@ def restore(output: Column, form: Column) -> Column:
     of each kind is the one that was put there."""
     between = lambda start, end: F.substring_index(F.substring_index(output, end, 1), start, -1)
     middle = F.substring_index(output, MIDDLE, -1)
-    psm = F.concat(between(PREFIX, SUFFIX), between(SUFFIX, MIDDLE), middle)
-    turned = F.concat(between(PREFIX, MIDDLE), between(SUFFIX, PREFIX), middle)
+    psm = F.concat(between(PREFIX, SUFFIX), middle, between(SUFFIX, MIDDLE))
+    turned = F.concat(between(PREFIX, MIDDLE), middle, between(SUFFIX, PREFIX))
     return F.when(form == "plain", output).when(form == "spm", turned).otherwise(psm)
 
 
@@ -60,5 +60,5 @@ c AS (SELECT *, len(u) AS n, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS
 e AS (SELECT doc_id, t, CAST(n AS BIGINT) AS n, form, array_to_string(u[1:x], '') AS p, array_to_string(u[x + 1:y], '') AS m, array_to_string(u[y + 1:n], '') AS s FROM c),
 f AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END AS output FROM e)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
-  sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN regexp_extract(output, '^<P>((?s:.*))<S>((?s:.*))<M>', 1) || regexp_extract(output, '<S>((?s:.*))<M>', 1) || regexp_extract(output, '<M>((?s:.*))$', 1)
-  ELSE regexp_extract(output, '<P>((?s:.*))<M>', 1) || regexp_extract(output, '^<S>((?s:.*))<P>', 1) || regexp_extract(output, '<M>((?s:.*))$', 1) END) AS restored_sha256 FROM f"""
+  sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN regexp_extract(output, '^<P>((?s:.*))<S>', 1) || regexp_extract(output, '<M>((?s:.*))$', 1) || regexp_extract(output, '<S>((?s:.*))<M>', 1)
+  ELSE regexp_extract(output, '<P>((?s:.*))<M>', 1) || regexp_extract(output, '<M>((?s:.*))$', 1) || regexp_extract(output, '^<S>((?s:.*))<P>', 1) END) AS restored_sha256 FROM f"""
