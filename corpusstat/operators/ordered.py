@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from datetime import date
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,17 +25,6 @@ def jump_candidates(days: DataFrame, unit: str, day: str, value: str, span: int)
     return whole.select(unit, day, "before", "after", (F.col("after") / F.col("before")).alias("ratio"))
 
 
-def apart(candidates: list[tuple[date, float]], ratio: float, span: int) -> list[tuple[date, float]]:
-    """W7's last step: jumps of at least the ratio (or its inverse), the strongest first, each `span` days from those taken. The list
-    is of days, so it is as long as the calendar however many rows there are."""
-    taken: list[tuple[date, float]] = []
-    strong = (c for c in candidates if c[1] >= ratio or c[1] <= 1 / ratio)
-    for at, r in sorted(strong, key=lambda c: (-abs(math.log(c[1])), c[0])):
-        if all(abs((at - other).days) >= span for other, _ in taken):
-            taken.append((at, r))
-    return sorted(taken)
-
-
 def volume_thirds(days: DataFrame, by: list[str], day: str, value: str) -> DataFrame:
     """The n // 3 days of a group with the least volume are low, the n // 3 with the most high; ties by day."""
     n = F.count("*").over(W.partitionBy(*by))

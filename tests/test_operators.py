@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from corpusstat.operators import ordered, profiles
+from corpusstat.operators import ordered, profiles, stretches
 from corpusstat.streaming import days
 
 PROFILE = "id int, skills array<string>, occupation_uris array<string>, occupation string, sectors array<string>, degree string"
@@ -44,9 +44,9 @@ def test_allocate():
     assert ordered.allocate({}, 5) == {}
 
 
-def test_apart():
-    day = lambda n: date(2024, 1, n)
-    assert ordered.apart([(day(1), 3.0), (day(3), 9.0), (day(12), 0.2), (day(20), 1.1)], 2, 7) == [(day(3), 9.0), (day(12), 0.2)]
+def test_apart(spark):
+    rows = spark.createDataFrame([("u", 1, 3.0), ("u", 3, 9.0), ("u", 12, 0.2), ("u", 20, 1.1)], "unit string, at int, ratio double")
+    assert {(r.at, r.ratio) for r in stretches.jumps(rows, ["unit"], "at", "ratio", 2, 7).collect()} == {(3, 9.0), (12, 0.2)}
 
 
 def test_streams(spark, tmp_path):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusstat.operators import mining, rules, sampling, scores, similar
+from corpusstat.operators import mining, rules, sampling, scores, similar, stretches
 
 
 @pytest.fixture(scope="module")
@@ -99,7 +99,9 @@ def test_post_rules(spark):
 
 
 def test_placebo_and_language(spark):
-    assert sampling.placebo([(0, 1.0), (3, 1.05), (8, 1.5), (10, 0.95), (30, 1.0)], [20], 1.1, 5) == [(0, 1.0), (10, 0.95), (30, 1.0)]
+    quiet = spark.createDataFrame([("u", a, r) for a, r in [(0, 1.0), (3, 1.05), (8, 1.5), (10, 0.95), (30, 1.0)]], "unit string, at int, ratio double")
+    jumped = spark.createDataFrame([("u", 20)], "unit string, at int")
+    assert {(r.at, r.ratio) for r in stretches.placebos(quiet, jumped, ["unit"], "at", "ratio", 1.1, 5).collect()} == {(0, 1.0), (10, 0.95), (30, 1.0)}
     words = {"en": ["the", "of", "and"], "sv": ["och", "för", "the"]}
     rows = [(1, "The of OF and, and of"), (2, "för att och för, och OCH för"), (3, "of och"), (4, None), (5, "the the the the the the")]
     got = {r.id: (r.language, r.hits) for r in mining.language(spark.createDataFrame(rows, "id int, t string"), "id", F.coalesce("t", F.lit("")), words).collect()}
