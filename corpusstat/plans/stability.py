@@ -61,7 +61,7 @@ def ratios(spark, d):
     return O.jump_candidates(days, "unit", "day", "n", 7).join(places, ["unit", "day"])
 
 
-@query(SERIES + "\nSELECT unit, day, round(ratio, 6) AS ratio FROM cand JOIN jump USING (unit, at)")
+@query(SERIES + "\nSELECT unit, day, round(ratio, 6) AS ratio FROM cand JOIN jump USING (unit, pos)")
 def w7_jumps(spark, d):
     return rounded(T.jumps(ratios(spark, d), ["unit"], "at", "ratio", 1.3, 7).select("unit", "day", "ratio"))
 
