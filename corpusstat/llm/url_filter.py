@@ -73,8 +73,10 @@ def score(text: Column, weights: tuple[int, ...], intercept: int) -> Column:
     """The model's log odds in units, from the n-grams of text."""
     table = F.expr(f"cast(split('{','.join(map(str, weights))}', ',') as array<bigint>)")
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    hashed = F.transform(codes, lambda c, i: F.when(i >= 2, F.get(codes, i - 2) * 961 + F.get(codes, i - 1) * 31 + c))
-    return F.aggregate(hashed, F.lit(intercept).cast("long"), lambda a, h: a + F.coalesce(F.get(table, h % BUCKETS), F.lit(0).cast("long")))
+    hashed = lambda held: F.transform(held, lambda c, i: F.when(i >= 2, F.get(held, i - 2) * 961 + F.get(held, i - 1) * 31 + c))
+    add = lambda a, h: a + F.coalesce(F.get(table, h % BUCKETS), F.lit(0).cast("long"))
+    # An array of one array: its lambda binds the codes, so they are made once a text and not once a character.
+    return F.get(F.transform(F.array(codes), lambda held: F.aggregate(hashed(held), F.lit(intercept).cast("long"), add)), 0)
 
 
 def judge(pages: DataFrame, *, rules=RULES, rows: list[tuple[str, str, int]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -82,7 +84,7 @@ def judge(pages: DataFrame, *, rules=RULES, rows: list[tuple[str, str, int]] | N
 
     A rule is a host and the start of a path; it fits the host and its subdomains if the path starts so. Of the rules that
     fit, the longest gives the verdict (of equally long ones the first in the order of the text); where none fits, the model blocks at log odds of 0 or more. rules are a
-    short list, at most 1,000. A null or malformed url has an empty host and path and is judged like any other; null and repeated ids stay as they are.
+    short list, at most 1,000. A null or malformed url has an empty host and path and is judged like any other; a url of any length is read whole, in time that grows with its length; null and repeated ids stay as they are.
     No rows give no rows; other columns are ignored."""
     if len(rules) > 1000:
         raise ValueError("at most 1000 rules")

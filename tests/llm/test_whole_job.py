@@ -1,6 +1,7 @@
 """Whole jobs: what a bounded sample, a size switch or a cap would leave out."""
 
 import random
+import time
 import zlib
 
 from corpusstat.llm import lm, minhash, queries, secret_scan, url_filter
@@ -70,6 +71,19 @@ def test_url_urls_of_all_kinds(spark):
     assert got == sorted([(1, "news.example.com", None), (1, "news.example.com", None), (2, "ÄÖ.example.com", None), (3, "", None), (None, "", None)], key=repr)
 
 
+def test_url_verdict_of_a_very_long_url(spark):
+    """The model reads it whole, and in seconds."""
+    weights, intercept = url_filter.fit(tuple(url_filter.labelled()))
+    rows = [("http://news.example.com/" + "music/" * 17_000,), ("http://bets.example.com/" + "casino-slots/" * 8_000,), ("http://x.example.com/" + "日本😀/" * 25_000,)]
+    begun = time.time()
+    got = {r.path: r for r in url_filter.judge(spark.createDataFrame(rows, "url string").selectExpr("1L as page_id", "url")).collect()}
+    assert time.time() - begun < 60 and len(got) == 3
+    for path, r in got.items():
+        assert len(path) >= 99_000 and r.rule is None
+        assert r.log_odds == intercept + sum(weights[g] for g in url_filter.grams(f"^{r.host}^{path}$")) and r.verdict == ("block" if r.log_odds >= 0 else "allow")
+    assert {r.verdict for r in got.values()} == {"allow", "block"}
+
+
 def test_chat_and_secrets_of_all_kinds(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").limit(0).write.parquet(str(tmp_path / "conversations.parquet"))
     only = queries.op7_chat_format(spark, str(tmp_path)).collect()
