@@ -13,18 +13,47 @@ def occupation_skills(relations: DataFrame, occupation: str = "occupation", skil
     return first.groupBy(occupation).agg(F.sort_array(F.collect_list(F.struct("at.o", "at.p", F.col(skill).alias("s")))).alias("l")).select(occupation, F.col("l.s").alias("skills"))
 
 
-def match_labels(rows: DataFrame, text: str, labels: DataFrame, label: str, code: str, max_labels: int = 20_000) -> DataFrame:
-    """The code of the label that equals a text, else of the longest label that contains it or is contained in it (ties by label).
-    Each distinct text is matched once. Labels are a dictionary; more than max_labels of them raise an error, as they are broadcast."""
+#: Characters of a piece by which texts and labels that may hold each other meet.
+PIECE = 6
+
+
+def pieces(df: DataFrame, lengths: Column) -> DataFrame:
+    """(s, piece): the distinct pieces of each string that are as long as any of the lengths."""
+    chars = df.select("s", F.filter(F.split("s", ""), lambda c: c != "").alias("c"))
+    at = lambda n: F.when(F.size("c") >= n, F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.array_join(F.slice("c", i, n), "")))
+    cut = F.flatten(F.filter(F.transform(lengths, at), lambda x: x.isNotNull()))
+    return chars.select("s", F.explode(F.array_distinct(cut)).alias("piece"))
+
+
+def held(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(outer, inner): all pairs of the strings s of both tables of which the first contains the second, both distinct and not empty.
+
+    They meet by a piece of the inner string: the one that the fewest outer ones have (the whole string, if it is shorter than a piece). So a common piece is a key only for strings that have nothing
+    rarer, and a string with a piece that no outer one has meets none."""
+    short = [n for (n,) in inner.select(F.least(F.length("s"), F.lit(PIECE)).alias("n")).distinct().collect()]  # at most PIECE numbers
+    have = pieces(outer, F.array(*(F.lit(n) for n in sorted(short)))) if short else pieces(outer.limit(0), F.array(F.lit(1)))
+    often = have.groupBy("piece").agg(F.count("*").alias("n"))
+    # Pieces are many times the strings, which an estimate of sizes doesn't see: these joins are never to be broadcast.
+    wanted = pieces(inner, F.array(F.least(F.length("s"), F.lit(PIECE)))).join(often.hint("merge"), "piece", "left")
+    rarest = wanted.groupBy("s").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min(F.struct("n", "piece")).alias("m")).where("missing = 0")
+    met = have.select(F.col("s").alias("outer"), "piece").hint("merge").join(rarest.select(F.col("s").alias("inner"), F.col("m.piece").alias("piece")), "piece")
+    return met.where(F.contains("outer", "inner")).select("outer", "inner")
+
+
+def match_labels(rows: DataFrame, text: str, labels: DataFrame, label: str, code: str) -> DataFrame:
+    """The code of the label that equals a text, else of the longest label that contains it or is contained in it (ties by label). Null and empty texts and labels match none; of a
+    label's codes the least counts. Each distinct text is matched once, and texts and labels may be many: those that hold each other meet by pieces (held()), not in a loop over both."""
     found = labels.select(F.lower(F.trim(label)).alias("_label"), F.col(code).alias("_code")).where("_label <> ''").groupBy("_label").agg(F.min("_code").alias("_code"))
-    if found.limit(max_labels + 1).count() > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    texts = rows.select(F.lower(F.trim(text)).alias("_text")).where("_text <> ''").distinct()
-    met = texts.join(F.broadcast(found), F.col("_text").contains(F.col("_label")) | F.col("_label").contains(F.col("_text")))
-    # greatest by (equal, length), and of those the least label: two steps, since strings have no negative
-    best = met.groupBy("_text").agg(F.max(F.struct((F.col("_text") == F.col("_label")).cast("int"), F.length("_label"))).alias("_best"))
-    chosen = met.join(best, "_text").where(F.struct((F.col("_text") == F.col("_label")).cast("int"), F.length("_label")) == F.col("_best"))
-    chosen = chosen.groupBy("_text").agg(F.min_by("_code", "_label").alias(code), F.min("_label").alias(label))
+    texts = rows.select(F.lower(F.trim(text)).alias("s")).where("s <> ''").distinct()
+    names = found.select(F.col("_label").alias("s"))
+    rest = texts.join(names, "s", "left_anti")
+    longer, shorter = held(names, rest), held(rest, names)
+    met = longer.select(F.col("inner").alias("_text"), F.col("outer").alias("_label")).union(shorter.select("outer", "inner"))
+    # greatest by length, and of those the least label: two steps, since strings have no negative
+    most = met.groupBy("_text").agg(F.max(F.length("_label")).alias("_n"))
+    best = met.join(most, "_text").where(F.length("_label") == F.col("_n")).groupBy("_text").agg(F.min("_label").alias("_label"))
+    best = best.union(texts.join(names, "s", "left_semi").select("s", F.col("s")))
+    chosen = best.join(found, "_label").select("_text", F.col("_code").alias(code), F.col("_label").alias(label))
     return rows.withColumn("_text", F.lower(F.trim(text))).join(chosen, "_text", "left").drop("_text")
 
 

@@ -63,50 +63,9 @@ def resolve_places(df: DataFrame, key: str, location: str, region: str, tables:
                        F.when(F.col("_field").isNotNull(), "field").when(known.isin(list(out)), F.lower(known)).otherwise(F.coalesce("_best.method", F.lit("unplaced"))).alias("method"))
 
 
-def inside_areas(points: DataFrame, areas: DataFrame, key: str, x: str, y: str, near: float = 0.15, most_points: int = 2_000_000) -> DataFrame:
-    """(key, area, method) of each point: the area that holds it (even-odd rule over its rings; of several the least id), else the nearest within `near`
-    of a boundary, else null and 'unplaced'. Areas are a map's, at most most_points corners, and are broadcast; points stay where they are."""
-    import numpy as np
-    import pyarrow as pa
-
-    corners = areas.agg(F.coalesce(F.sum(F.aggregate("rings", F.lit(0).cast("long"), lambda a, r: a + F.size(r))), F.lit(0))).first()[0]
-    if corners > most_points:
-        raise ValueError(f"{corners} corners; areas are broadcast up to {most_points}")
-    table = [(r.id, [np.array(ring, float) for ring in r.rings]) for r in areas.orderBy("id").collect()]
-    shared = points.sparkSession.sparkContext.broadcast(table)
-
-    def edges(ring):
-        a, b = ring, np.roll(ring, -1, axis=0)
-        return a[:, 0], a[:, 1], b[:, 0], b[:, 1]
-
-    def place(px, py):
-        owner, gap = np.full(len(px), -1), np.full(len(px), np.inf)
-        nearest = np.full(len(px), -1)
-        for i, (_, rings) in enumerate(shared.value):
-            odd = np.zeros(len(px), bool)
-            for ring in rings:
-                ax, ay, bx, by = (v[None, :] for v in edges(ring))
-                qx, qy = px[:, None], py[:, None]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    crosses = ((ay > qy) != (by > qy)) & (qx < (bx - ax) * (qy - ay) / (by - ay) + ax)
-                    part = np.clip(((qx - ax) * (bx - ax) + (qy - ay) * (by - ay)) / np.maximum((bx - ax) ** 2 + (by - ay) ** 2, 1e-300), 0, 1)
-                odd ^= (crosses.sum(1) % 2).astype(bool)
-                d = np.hypot(qx - ax - part * (bx - ax), qy - ay - part * (by - ay)).min(1)
-                closer = d < gap
-                gap[closer], nearest[closer] = d[closer], i
-            owner[odd & (owner < 0)] = i
-        return owner, nearest, gap
-
-    def f(batches):
-        names = [name for name, _ in shared.value]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                px, py = (np.array(rows.column(c).to_pylist(), float) for c in (1, 2))
-                owner, nearest, gap = place(np.nan_to_num(px, nan=1e9), np.nan_to_num(py, nan=1e9))
-                found = np.where(owner >= 0, owner, np.where(gap <= near, nearest, -1))
-                method = np.where(owner >= 0, "inside", np.where(found >= 0, "nearest", "unplaced"))
-                yield pa.RecordBatch.from_pydict({"key": rows.column(0), "area": pa.array([names[i] if i >= 0 else None for i in found.tolist()], pa.string()), "method": pa.array(method.tolist(), pa.string())})
-
-    kind = points.schema[key].dataType.simpleString()
-    return points.select(F.col(key).alias("key"), F.col(x).cast("double"), F.col(y).cast("double")).mapInArrow(f, f"key {kind}, area string, method string").withColumnRenamed("key", key)
+def sources_known(rows: DataFrame, source: str, merged: DataFrame, boards: DataFrame) -> DataFrame:
+    """X32 with tables of any length: rows with label, platform and country of their source, from merged (source, label) and boards (source, platform, country). A source that a table
+    names more than once gets its least row; one that no table names is its own label and platform."""
+    one = lambda df, *c: df.groupBy(F.col("source").alias("_source")).agg(F.min(F.struct(*c)).alias("_found")).select("_source", *(F.col(f"_found.{x}").alias(f"_{x}") for x in c))
+    out = rows.withColumn("_source", F.col(source)).join(one(merged, "label"), "_source", "left").join(one(boards, "platform", "country"), "_source", "left")
+    return out.select(*rows.columns, F.coalesce("_label", source).alias("label"), F.coalesce("_platform", source).alias("platform"), F.col("_country").alias("country"))

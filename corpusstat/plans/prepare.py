@@ -103,9 +103,9 @@ def x34_bounds(spark, d):
 @query("""SELECT s_suppkey, CASE s_name WHEN 'Supplier#000000001' THEN 'merged' ELSE s_name END AS label, CASE s_nationkey WHEN 3 THEN 'board' ELSE s_name END AS platform, CASE s_nationkey WHEN 3 THEN 'FR' END AS country FROM supplier""")
 def x32_source_parts(spark, d):
     rows = t(spark, d, "supplier")
-    names = [r.s_name for r in rows.where("s_nationkey = 3").select("s_name").distinct().limit(100).collect()]
-    out = rows.select("s_suppkey", P.source_parts(F.col("s_name"), {"Supplier#000000001": "merged"}, {n: ("board", "FR") for n in names}).alias("p"))
-    return out.select("s_suppkey", "p.*")
+    merged = rows.where("s_name = 'Supplier#000000001'").select(F.col("s_name").alias("source"), F.lit("merged").alias("label"))
+    boards = rows.where("s_nationkey = 3").select(F.col("s_name").alias("source"), F.lit("board").alias("platform"), F.lit("FR").alias("country"))
+    return T.sources_known(rows, "s_name", merged, boards).select("s_suppkey", "label", "platform", "country")
 
 
 @query(r"""WITH a AS (SELECT unnest(string_split_regex(l, '[,/;()]| - ')) AS piece FROM (SELECT c_mktsegment || ', ' || 'Nation-' || c_nationkey || '/x (' || c_custkey || ')' AS l FROM customer)),

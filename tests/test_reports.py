@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from corpusstat.operators import graph, relate, series, titles, vectors
+from corpusstat.operators import graph, places, relate, series, titles, vectors
 from corpusstat.sources import readers, sinks
 
 
@@ -95,7 +95,7 @@ def test_areas(spark, tmp_path):
     areas = readers.features(spark, str(tmp_path / "areas.json"), "XX", 2)
     assert [r.id for r in areas.orderBy("id").collect()] == ["A", "B"]
     points = [(1, 0.1, 0.1), (2, 0.5, 0.5), (3, 7.5, 0.5), (4, 6.1, 0.5), (5, 3.0, 3.0), (6, None, 1.0)]
-    got = {r.id: (r.area, r.method) for r in titles.inside_areas(spark.createDataFrame(points, "id int, x double, y double"), areas, "id", "x", "y").collect()}
+    got = {r.id: (r.area, r.method) for r in places.inside_areas(spark.createDataFrame(points, "id int, x double, y double"), areas, "id", "x", "y").collect()}
     assert got == {1: ("A", "inside"), 2: ("A", "nearest"), 3: ("B", "inside"), 4: ("B", "nearest"), 5: (None, "unplaced"), 6: (None, "unplaced")}
 
 

@@ -171,3 +171,13 @@ def test_stretches_of_many_units(spark):
         got = T.chained(df.where("s is not null"), ["unit"], "at", span).collect()
         assert sorted((repr(g.unit), g.at) for g in got) == sorted((repr(u), x) for u, v in units.items() for x in chain([a for a, _ in v], span))
     assert T.strongest_apart(df.limit(0), ["unit"], "at", F.col("s"), 3).collect() == [] == T.chained(df.limit(0), ["unit"], "at", 3).collect()
+
+
+def test_sources_of_many_boards(spark):
+    """More than a hundred names, one of them twice."""
+    from corpusstat.operators import titles
+
+    rows = spark.range(500).select(F.concat(F.lit("s"), "id").alias("name"), F.col("id").alias("label_id"))
+    boards = rows.where("label_id < 200").select(F.col("name").alias("source"), F.lit("b").alias("platform"), F.lit("FR").alias("country"))
+    got = {r.name: r for r in titles.sources_known(rows, "name", rows.limit(0).select(F.col("name").alias("source"), F.lit("m").alias("label")), boards.union(boards)).collect()}
+    assert len(got) == 500 and sum(r.platform == "b" and r.country == "FR" for r in got.values()) == 200 and got["s300"].platform == "s300" and got["s1"].label == "s1"
