@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusstat.functions import prepare as Q
 from corpusstat.operators import places as A
 from corpusstat.operators import profiles as P
+from corpusstat.operators import title_rules as R
+from corpusstat.operators import titles as T
 from corpusstat.plans.queries import query, rounded
 from corpusstat.sources.readers import table as t
 
@@ -50,3 +53,19 @@ def j7_match_many_labels(spark, d):
     kind = F.col("c_custkey") % 4
     words = F.when(kind == 0, F.upper("_name")).when(kind == 1, F.concat(F.lit("the "), "_name", F.lit(" of "), "c_name")).when(kind == 2, F.substring(F.col("_name"), F.lit(1), (4 + F.col("c_custkey") % 9).cast("int"))).otherwise(F.col("c_name"))
     return P.match_labels(rows.select("c_custkey", words.alias("words")), "words", t(spark, d, "part"), "p_name", "p_partkey")
+
+
+#: What is put behind a part's name, and the rules that take it off.
+TAILS = {0: ("concat(' in ', n_name)", "place"), 1: ("concat(' to ', p_brand)", "employer"), 2: ("' 80 - 100%'", "filler,tidy"), 3: ("' ab 01.08.2025'", "start,tidy"), 4: ("', Kennzahl 4711 und mehr'", "reference"), 5: ("' (m/f) im Raum'", "area")}
+
+
+@query(f"""SELECT p_partkey, p_name AS clean, CASE p_partkey % 6 {' '.join(f"WHEN {k} THEN '{rule}'" for k, (_, rule) in TAILS.items())} END AS rules FROM part""")
+def x13_clean_titles(spark, d):
+    """Titles of both stages, with the board's own places and common words. All that is put behind the names comes off, by the rule meant for it."""
+    nation = t(spark, d, "nation").select(F.col("n_nationkey").alias("_k"), "n_name")
+    tail = "CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN {made}" for k, (made, _) in TAILS.items()) + " END"
+    rows = t(spark, d, "part").join(F.broadcast(nation), F.col("p_partkey") % 25 == F.col("_k"))  # 25 rows
+    rows = rows.select("p_partkey", F.concat("p_name", F.expr(tail)).alias("title"), F.concat("n_name", F.lit(", all")).alias("location"))
+    rows = rows.withColumn("title", Q.clean_title(F.col("title"), F.lit("")))
+    out = R.clean_titles(rows, "title", "location", T.board_places(rows, "location"), T.common_words(T.title_case(rows, "title")))
+    return out.select("p_partkey", "clean", F.array_join("rules", ",").alias("rules"))
