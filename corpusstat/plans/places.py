@@ -56,7 +56,7 @@ def j7_match_many_labels(spark, d):
 
 
 #: What is put behind a part's name, and the rules that take it off.
-TAILS = {0: ("concat(' in ', n_name)", "place"), 1: ("concat(' to ', p_brand)", "employer"), 2: ("' 80 - 100%'", "filler,tidy"), 3: ("' ab 01.08.2025'", "start,tidy"), 4: ("', Kennzahl 4711 und mehr'", "reference"), 5: ("' (m/f) im Raum'", "area")}
+TAILS = {0: ("concat(' in ', n_name)", "place"), 1: ("concat(' to ', p_brand)", "employer"), 2: ("' (80%)'", "filler,tidy"), 3: ("' ab 01.08.2025'", "start,tidy"), 4: ("', Kennzahl 4711 und mehr'", "reference"), 5: ("' (m/f) im Raum'", "area")}
 
 
 @query(f"""SELECT p_partkey, p_name AS clean, CASE p_partkey % 6 {' '.join(f"WHEN {k} THEN '{rule}'" for k, (_, rule) in TAILS.items())} END AS rules FROM part""")
