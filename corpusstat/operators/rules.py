@@ -29,25 +29,55 @@ def ruled(tags: DataFrame, rules: list[tuple[str, Column, dict[str, Column]]]) -
     return out.select(*keep, *(F.col(f"_new_{f}").alias(f) for f in fields), *(F.when(F.col("_rule").isNotNull(), F.col(f)).alias(f"{f}_model") for f in fields), F.col("_rule").alias("post_rule"))
 
 
-def post_rules(supply: str, sovereign: str, providers: list[str], certificates: tuple = ("secnumcloud", "eucs")) -> list[tuple[str, Column, dict[str, Column]]]:
-    """R0 to R3 for tags with channel, intensity, subtype, evidence, terms, raw, ok and the posting's text: a cloud label in the channel's place; supply-side
-    without wording for it; a certificate's name in a role (high where a duty and no list is near it, else low); a provider named in a list of tools."""
+#: Wordings of sovereignty, of supply, of certificates, of duties, of lists of wishes, of an employer about itself, and of work; and the names of providers.
+SOVEREIGN = r"sovereign|secnumcloud|\beucs\b|gaia-x|ai factor|gigafactor|eurohpc|european cloud|cloud de confiance"
+SUPPLY = (r"dual[- ]?sourc|multi[- ]?sourc|multiple (sources|suppliers)|second[- ]source|alternative (supplier|sourc|source)s?|diversif\w*\s+(the\s+|our\s+)?(supplier|supply|sourcing|source)|"
+          r"(reduc\w+|less|lower|decreas\w+|minimi[sz]\w+)\s+(our\s+|the\s+)?(dependen\w+|reliance)|dependen\w+ on (a )?(single|one|china|chinese)|"
+          r"single[- ]source|sole[- ]source|nearshor\w+|near-shor\w+|friend-?shor\w+|reshor\w+|free trade agreement|new export markets?|source (from|outside) (china|asia)|supply chain resilien")
+DUTY = (r"\b(ensur\w*|guarantee\w*|prepar\w*|obtain\w*|audit\w*|maintain\w*|carry\w* out|conduct\w*|lead\w*|manag\w*|align\w*|implement\w*|follow\w*|monitor\w*|validat\w*|driv\w*)\b")
+WISHES = (r"\b(plus|appreciated|asset|knowledge|familiar\w*|prerequisite|nice to have|already offers|experience (of|in|with|as)|first experience|have experience|years of experience)\b")
+EMPLOYER = r"\bwe offer\b|\bour own\b|already offers|reflected in|brand of|\bis an? (sovereign|leading|trusted)\b"
+WORK = r"\b(build|design|develop|operate|run|responsible|join|our|we|you|will|work|lead|manage|ensure|support|is|are|has|have|offers?|provides?)\b"
+PROVIDERS = ["s3ns", "outscale", "ovhcloud", "scaleway", "bleu", "numspot", "stackit", "cloud temple", "delos cloud", "gaia-x", "cloud de confiance", "eurostack", "aleph alpha", "secnumcloud", "eucs"]
+
+
+def tool_list(evidence: Column) -> Column:
+    """Whether evidence is a list of tools: at most 200 characters, three commas or more, no word of work, and no item of more than four words."""
+    ev = P.stripped(evidence)
+    items = F.filter(F.split(ev, "[,:;]"), lambda x: P.stripped(x) != "")
+    short = F.forall(items, lambda x: F.size(F.split(P.stripped(x), r"\s+")) <= 4)
+    return (F.length(ev) <= 200) & (F.size(F.split(ev, ",")) >= 4) & ~ev.rlike("(?iuU)" + WORK) & short
+
+
+def certificate_intensity(evidence: Column, text: Column, model: Column, certificates: tuple) -> Column:
+    """How closely a role has to do with a certificate, from the sentence or bullet that names it first (of the text, else the evidence that names it): where the employer speaks of itself, what the model said (low, if
+    that is no level); high for a duty, with no wishes and the certificate not among three or more things between its commas or brackets; else low."""
+    named = "(?:" + "|".join(certificates) + ")"
+    within = lambda c, before, after: F.regexp_extract(c, f"(?i)[^{before}]*?{named}[^{after}]*", 0)
+    sentence = F.substring(within(text, ".;•\\n", ".;•\\n"), 1, 400)
+    sentence = F.when(sentence != "", sentence).when(evidence.rlike("(?i)" + named), evidence).otherwise("")
+    span = within(F.when(text != "", text).otherwise(evidence), "(.;•\\n", ").;•\\n")
+    many = F.size(F.regexp_extract_all(span, F.lit(r"(?U),|\bor\b|\band\b|/"), F.lit(0))) >= 2
+    duty = sentence.rlike("(?iuU)" + DUTY) & ~sentence.rlike("(?iuU)" + WISHES) & ~many
+    return F.when(sentence == "", "low").when(sentence.rlike("(?iuU)" + EMPLOYER), F.when(model.isin(LEVELS), model).otherwise("low")).when(duty, "high").otherwise("low")
+
+
+def post_rules(supply: str = SUPPLY, sovereign: str = SOVEREIGN, providers: list[str] = PROVIDERS, certificates: tuple = ("secnumcloud", "eucs")) -> list[tuple[str, Column, dict[str, Column]]]:
+    """R0 to R3 for tags with channel, intensity, subtype, evidence, terms, raw, ok and the posting's text: a cloud label in the channel's place; supply-side, or no subtype and no wording of sovereignty, without
+    wording of supply; a certificate's name in a role (certificate_intensity()); a provider named in a list of tools (tool_list()). Patterns ignore case; nulls are empty."""
     said = lambda c: F.coalesce(F.col(c), F.lit(""))
     hay = F.concat_ws(" ", said("evidence"), said("text"))
     terms = F.transform(F.coalesce("terms", F.array().cast("array<string>")), F.lower)
     level = F.regexp_extract(said("raw"), r'"channel"\s*:\s*"sovereign[- ]cloud"\s*,\s*"intensity"\s*:\s*"(low|medium|high)"', 1)
     new = lambda channel, intensity, subtype: {"channel": F.lit(channel), "intensity": intensity, "subtype": F.lit(subtype)}
-    plain = (said("subtype") == "supply-side") | (said("subtype").isin("") & ~hay.rlike(sovereign))
-    listed = F.size(F.split(said("evidence"), ",")) >= 4
+    plain = (said("subtype") == "supply-side") | ((said("subtype") == "") & ~hay.rlike("(?iuU)" + sovereign))
     named = F.arrays_overlap(terms, F.array(*map(F.lit, certificates)))
-    sentence = F.get(F.filter(P.sentences(said("text"), 1, 2000), lambda s: s.rlike("(?i)" + "|".join(certificates))), 0)
-    duty = sentence.rlike(r"(?i)\b(you will|responsible|implement|maintain|achieve|ensure|audit)\b") & (F.size(F.split(sentence, ",")) < 4)
     only = (F.size(terms) > 0) & (F.size(F.array_except(terms, F.array(*map(F.lit, providers)))) == 0)
     return [
         ("R0 cloud label as channel", ~F.coalesce("ok", F.lit(False)) & (level != ""), new("diversification", level, "sovereign-tech")),
-        ("R1 supply-side without its wording", F.col("ok") & (F.col("channel") == "diversification") & plain & ~hay.rlike(supply), new("none", F.lit("none"), "")),
-        ("R2 certificate in a role", F.col("ok") & F.col("channel").isin("none", "trade compliance") & named, new("diversification", F.when(duty, "high").otherwise("low"), "sovereign-tech")),
-        ("R3 provider in a list of tools", F.col("ok") & (F.col("channel") == "diversification") & (said("subtype") == "sovereign-tech") & listed & only, new("none", F.lit("none"), "")),
+        ("R1 supply-side without its wording", F.col("ok") & (F.col("channel") == "diversification") & plain & ~hay.rlike("(?iuU)" + supply), new("none", F.lit("none"), "")),
+        ("R2 certificate in a role", F.col("ok") & F.col("channel").isin("none", "trade compliance") & named, new("diversification", certificate_intensity(said("evidence"), said("text"), said("intensity"), certificates), "sovereign-tech")),
+        ("R3 provider in a list of tools", F.col("ok") & (F.col("channel") == "diversification") & (said("subtype") == "sovereign-tech") & tool_list(said("evidence")) & only, new("none", F.lit("none"), "")),
     ]
 
 
