@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusstat.functions.vectors import unit as unit_vector
+
 
 def term_counts(df: DataFrame, unit: str, terms: Column) -> DataFrame:
     """Rows (unit, term, tf)."""
@@ -129,8 +131,7 @@ def df_distribution(df: DataFrame, unit: str, terms: Column, cuts: list[float])
 
 def coherence(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Length of the mean of a group's vectors, each first brought to length 1; its rows are summed by position before the shuffle. Zero vectors stay zero."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = df.select(group, F.posexplode(F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))).alias("at", "x"))
+    rows = df.select(group, F.posexplode(unit_vector(F.col(vector).cast("array<double>"))).alias("at", "x"))
     means = rows.groupBy(group, "at").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
     return means.groupBy(group).agg(F.max("n").alias("n"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("coherence"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusstat.functions.vectors import length
+from corpusstat.functions.vectors import unit as unit_vector
 from corpusstat.operators.vectors import matrix
 
 
@@ -40,26 +42,28 @@ def expansion(near: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
 
 
 def sentence_matches(sentences: DataFrame, skills: DataFrame, unit: str, vector: str, skill: str, least: float, most_bytes: int = 64 << 20) -> DataFrame:
-    """Of each unit and skill the best cosine of its sentences (rounded to 6) where it reaches `least`, and its band of 0.05. The skills are a list whose
-    vectors are broadcast, at most most_bytes; sentences stream past them in batches."""
+    """Of each unit and skill the best cosine of its sentences (rounded to 6) where it reaches `least`, and its band of 0.05. Skills' vectors are broadcast in blocks of
+    about most_bytes, one pass over the sentences each, which stream past them in batches; so there may be any number of skills."""
     size, n = skills.agg(F.max(F.size(vector)), F.count("*")).first()
-    if n * 8 * (size or 1) > most_bytes:
-        raise ValueError(f"{n} skills; their vectors are broadcast up to {most_bytes} bytes")
-    table = skills.select(F.col(skill).alias("skill"), F.col(vector).alias("v")).orderBy("skill").toArrow()
-    shared = skills.sparkSession.sparkContext.broadcast((table.column("skill").to_pylist(), matrix(table.column("v")) if n else None))
-
-    def f(batches):
-        names, m = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows if m is not None else 0, 2048):
-                rows = batch.slice(at, 2048)
-                c = np.round(matrix(rows.column(1)) @ m.T, 6)
-                i, j = np.nonzero(c >= least)
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(i)), pa.array([names[x] for x in j.tolist()], kind_pa), pa.array(c[i, j])], names=["unit", "skill", "sim"])
-
     kind, own = sentences.schema[unit].dataType.simpleString(), skills.schema[skill].dataType.simpleString()
-    kind_pa = table.column("skill").type
-    pairs = sentences.select(unit, vector).mapInArrow(f, f"unit {kind}, skill {own}, sim double")
+    blocks, pairs = max(1, -(-(n * 8 * (size or 1)) // most_bytes)), None
+    for block in range(blocks):
+        table = skills.where(F.pmod(F.xxhash64(skill), F.lit(blocks)) == block).select(F.col(skill).alias("skill"), F.col(vector).alias("v")).orderBy("skill").toArrow()
+        if not table.num_rows and (block or blocks > 1):
+            continue
+        shared = skills.sparkSession.sparkContext.broadcast((table.column("skill").to_pylist(), matrix(table.column("v")) if table.num_rows else None, table.column("skill").type))
+
+        def f(batches, shared=shared):
+            names, m, kind_pa = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows if m is not None else 0, 2048):
+                    rows = batch.slice(at, 2048)
+                    c = np.round(matrix(rows.column(1)) @ m.T, 6)
+                    i, j = np.nonzero(c >= least)
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(i)), pa.array([names[x] for x in j.tolist()], kind_pa), pa.array(c[i, j])], names=["unit", "skill", "sim"])
+
+        part = sentences.select(unit, vector).mapInArrow(f, f"unit {kind}, skill {own}, sim double")
+        pairs = part if pairs is None else pairs.union(part)
     best = pairs.groupBy("unit", "skill").agg(F.max("sim").alias("sim"), F.count("*").alias("sentences"))
     return best.withColumnsRenamed({"unit": unit, "skill": skill}).withColumn("band", F.floor(F.col("sim") * 20) / 20)
 
@@ -71,15 +75,11 @@ def vector_mean(df: DataFrame, by: list[str], vector: Column) -> DataFrame:
     return means.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("m"))
 
 
-def length(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-
-
 def centred(df: DataFrame, vector: str) -> DataFrame:
     """df with _v: the vector less the mean of all, of length 1 (a zero vector stays zero)."""
     mean = vector_mean(df.select(F.transform(vector, lambda x: x.cast("double")).alias("v")), [], F.col("v")).select(F.col("m").alias("_mean"))
     out = df.join(F.broadcast(mean)).withColumn("_v", F.zip_with(F.transform(vector, lambda x: x.cast("double")), "_mean", lambda a, b: a - b))  # one row
-    return out.withColumn("_v", F.transform("_v", lambda x: F.coalesce(F.try_divide(x, F.greatest(length(F.col("_v")), F.lit(1e-9))), F.lit(0.0)))).drop("_mean")
+    return out.withColumn("_v", unit_vector(F.col("_v"), 1e-9)).drop("_mean")
 
 
 def coherence_lift(df: DataFrame, key: str, vector: str, items: Column, least: int, sets: int = 5, most: int = 2000, seed: int = 1) -> DataFrame:
@@ -125,7 +125,7 @@ def seeded_clusters(df: DataFrame, key: str, vector: str, seed: str, part: float
     seeds' least similarity to the centre of the other seeds (or, with part, that quantile of them) and the 99th percentile of all rows'
     similarities. Members are its seeds, and the rows whose nearest centre it is at or above the threshold. Centres are a short list and are broadcast."""
     rows = df.select(key, F.col(seed).alias("seed"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.coalesce(F.try_divide(x, length(F.col("v"))), F.lit(0.0))))
+    rows = rows.withColumn("v", unit_vector(F.col("v")))
     centres = vector_mean(rows.where("seed is not null"), ["seed"], F.col("v")).select(F.col("seed").alias("cluster"), F.col("n").alias("seeds"), F.col("m").alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     sims = rows.join(F.broadcast(centres)).withColumn("sim", dot(F.col("v"), F.col("c")) / length(F.col("c")))  # rows by the short list of centres

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusstat.functions.vectors import let
 from corpusstat.operators.titles import SMALL
 
 #: Fixed values, all of them, down to FALLBACK: words that may dangle at a title's end, prepositions before an employer, links, and signs that are kept.
@@ -53,11 +54,6 @@ HELD = "NEEDEDKEEP"
 RUN = 4
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of x, worked out once."""
-    return F.get(F.transform(F.array(x), f), 0)
-
-
 def without(t: Column, pattern: str, by: str = " ") -> Column:
     return F.regexp_replace(t, "(?iuU)" + pattern, by)
 

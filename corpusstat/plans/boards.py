@@ -146,10 +146,10 @@ def a48_overlap(spark, d):
 
 
 @query("""
-WITH c AS (SELECT lang, left(text, 12) AS c, count(*) AS n FROM documents GROUP BY 1, 2), e AS (SELECT lang, count(DISTINCT source) AS employers FROM documents GROUP BY 1)
+WITH c AS (SELECT lang, split_part(text, chr(10), 1) AS c, count(*) AS n FROM documents GROUP BY 1, 2), e AS (SELECT lang, count(DISTINCT source) AS employers FROM documents GROUP BY 1)
 SELECT lang, CAST(sum(n) AS BIGINT) AS n, count(*) AS wordings, round(max(n)::DOUBLE / sum(n), 6) AS top_share, any_value(employers) AS employers FROM c JOIN e USING (lang) GROUP BY 1""")
 def a50_wording(spark, d):
-    return rounded(B.wording(t(spark, d, "documents"), ["lang"], F.substring("text", 1, 12), "source"))
+    return rounded(B.wording(t(spark, d, "documents"), ["lang"], F.substring_index("text", "\n", 1), "source"))
 
 
 @query("""

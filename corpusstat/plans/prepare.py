@@ -46,10 +46,10 @@ def x8_context(spark, d):
     return docs(spark, d).select("doc_id", F.coalesce(P.context(F.col("text"), F.lit("ER"), 40), F.lit("")).alias("context"))
 
 
-@query(r"""WITH a AS (SELECT conv_id, turn, CASE WHEN instr(coalesce(text, ''), ' - ') > 0 THEN trim(split_part(text, ' - ', -1)) END AS employer FROM (SELECT conv_id, turn, substr(coalesce(text, ''), 1, 30) || CASE WHEN turn % 2 = 0 THEN ' - Acme ' || role ELSE '' END AS text FROM conversations))
+@query(r"""WITH a AS (SELECT conv_id, turn, CASE WHEN instr(coalesce(text, ''), ' - ') > 0 THEN trim(split_part(text, ' - ', -1)) END AS employer FROM (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN ' - Acme ' || role ELSE '' END AS text FROM conversations))
 SELECT * FROM a""")
 def x23_title_employer(spark, d):
-    made = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 30), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" - Acme "), F.col("role"))).otherwise(""))
+    made = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" - Acme "), F.col("role"))).otherwise(""))
     return t(spark, d, "conversations").select("conv_id", "turn", P.title_employer(made).alias("employer"))
 
 
@@ -115,12 +115,12 @@ def x14_board_places(spark, d):
     return T.board_places(df, "l")
 
 
-@query(r"""WITH a AS (SELECT unnest(string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ')[2:]) AS w FROM (SELECT substr(text, 1, 80) AS t FROM documents) WHERE t <> '' AND NOT (upper(t) = t AND lower(t) <> t)),
+@query(r"""WITH a AS (SELECT unnest(string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ')[2:]) AS w FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) WHERE t <> '' AND NOT (upper(t) = t AND lower(t) <> t)),
 b AS (SELECT w, lower(regexp_replace(w, '^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$', '', 'g')) AS word FROM a), c AS (SELECT word, count(*) FILTER (WHERE NOT regexp_matches(w, '^\p{Lu}')) AS low, count(*) FILTER (WHERE regexp_matches(w, '^\p{Lu}')) AS cap FROM b
  WHERE regexp_matches(word, '^\p{L}{3,}$') AND word NOT IN ('the', 'a', 'an', 'of', 'and', 'or', 'in', 'to', 'for', 'at', 'with', 'de', 'la', 'le', 'du', 'des', 'der', 'die', 'das', 'och', 'i', 'på', 'för') GROUP BY 1)
 SELECT word FROM c WHERE low + cap >= 5 AND low / (low + cap) >= 0.5""")
 def x14_common_words(spark, d):
-    return T.common_words(T.title_case(docs(spark, d).select(F.substring("text", 1, 80).alias("title")), "title"))
+    return T.common_words(T.title_case(t(spark, d, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")), "title"))
 
 
 @query("""WITH a AS (SELECT lower(p_type) AS ending FROM part WHERE p_partkey % 3 <> 0) SELECT ending, count(*) AS n FROM a GROUP BY 1 HAVING count(*) >= 5""")

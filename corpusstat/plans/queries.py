@@ -34,6 +34,14 @@ def rounded(df: DataFrame) -> DataFrame:
 NORM = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g'))"
 
 
+#: A text's first line, as its title.
+FIRST = NORM.replace("coalesce(text, '')", "split_part(coalesce(text, ''), chr(10), 1)")
+
+
+def first_line():
+    return X.norm_words(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
+
+
 @query(rf"""
 WITH a AS (SELECT doc_id, source, md5({NORM}) AS k FROM documents),
 b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source, doc_id) AS rn FROM a),
@@ -309,16 +317,16 @@ def s4_stratified(spark, d):
     return rounded(C.stratified(df, ["o_orderpriority"], "o_orderkey", 20, "w"))
 
 
-@query(rf"""WITH a AS (SELECT source, lang, substr({NORM}, 1, 6) AS v FROM documents), b AS (SELECT source, v, count(*) AS n FROM a WHERE v IS NOT NULL GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS n, round(1 - count(*) / sum(n), 6) AS repeated FROM b GROUP BY 1""")
+@query(rf"""WITH a AS (SELECT source, lang, {FIRST} AS v FROM documents), b AS (SELECT source, v, count(*) AS n FROM a WHERE v IS NOT NULL GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS n, round(1 - count(*) / sum(n), 6) AS repeated FROM b GROUP BY 1""")
 def dd7_repeated_share(spark, d):
-    return rounded(C.repeated_share(t(spark, d, "documents"), "source", F.substring(X.norm_words(F.coalesce("text", F.lit(""))), 1, 6)))
+    return rounded(C.repeated_share(t(spark, d, "documents"), "source", first_line()))
 
 
-@query(rf"""WITH a AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, CASE WHEN {NORM} <> '' THEN trim(substr({NORM}, 1, 20)) || '|' || source || '|' || lang || '|2024-01-01' END AS fields, CASE WHEN length({NORM}) >= 80 THEN md5(substr({NORM}, 1, 300)) END AS text FROM documents) SELECT doc_id, id, md5(fields) AS fields, text FROM a""")
+@query(rf"""WITH a AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, CASE WHEN {FIRST} <> '' THEN {FIRST} || '|' || source || '|' || lang || '|2024-01-01' END AS fields, CASE WHEN length({NORM}) >= 80 THEN md5(substr({NORM}, 1, 300)) END AS text FROM documents) SELECT doc_id, id, md5(fields) AS fields, text FROM a""")
 def dd2_posting_keys(spark, d):
     """With DD3 and DD4."""
     df = t(spark, d, "documents")
-    title = F.substring(X.norm_words(F.coalesce("text", F.lit(""))), 1, 20)
+    title = first_line()
     keys = C.posting_keys(F.lit(""), F.col("doc_id"), title, F.col("source"), F.col("lang"), F.lit("2024-01-01T10:00:00"), F.col("text"))
     return df.select("doc_id", keys["id"].alias("id"), F.md5(keys["fields"]).alias("fields"), keys["text"].alias("text"))
 

@@ -42,12 +42,12 @@ def t4_expansion(spark, d):
     return rounded(S.expansion(V.nearest(asked, rows, "vec_id", "embedding", 20), seeds, 50))
 
 
-@query(f"""WITH p AS (SELECT s.vec_id % 40 AS unit, k.vec_id AS skill, {COS.format("s.embedding", "k.embedding")} AS sim FROM embeddings s, embeddings k WHERE k.vec_id < 60)
+@query(f"""WITH p AS (SELECT s.vec_id % 40 AS unit, k.vec_id AS skill, {COS.format("s.embedding", "k.embedding")} AS sim FROM embeddings s, embeddings k WHERE k.vec_id % 100 = 0)
 SELECT unit, skill, max(sim) AS sim, count(*) AS sentences, round(floor(max(sim) * 20) / 20, 6) AS band FROM p WHERE sim >= 0.2 GROUP BY 1, 2""")
 def t6_sentence_matches(spark, d):
     rows = t(spark, d, "embeddings")
     sentences = rows.select((F.col("vec_id") % 40).alias("unit"), "embedding")
-    return rounded(S.sentence_matches(sentences, rows.where("vec_id < 60").select(F.col("vec_id").alias("skill"), "embedding"), "unit", "embedding", "skill", 0.2))
+    return rounded(S.sentence_matches(sentences, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("skill"), "embedding"), "unit", "embedding", "skill", 0.2))
 
 
 @query()
