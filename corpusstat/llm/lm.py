@@ -253,6 +253,8 @@ class Trainer:
 
 
 def summed(table: pa.Table) -> pa.Table:
+    """One slice's sum, in an order that doesn't hang on how its parts arrived."""
+    table = table.sort_by([("weight", "ascending"), ("w", "ascending")])
     total = np.zeros(len(table.column("w")[0].as_py()) // 8)
     for w in table.column("w"):
         total += np.frombuffer(w.as_py())
@@ -260,8 +262,13 @@ def summed(table: pa.Table) -> pa.Table:
 
 
 def averaged(m: dict, slices: DataFrame) -> tuple[dict, np.ndarray]:
-    """The model that the tasks' slices average to (m itself where nothing was learnt from), and the sum of slices -1."""
-    rows = {r.slice: r for r in slices.groupBy("slice").applyInArrow(summed, "slice int, weight double, w binary").collect()}
+    """The model that the tasks' slices average to (m itself where nothing was learnt from), and the sum of slices -1.
+
+    Each task gives every slice once, so a slice is summed up in two steps, of about as many parts as each has slices: the square root of the tasks' number."""
+    tasks = slices.groupBy("slice").count().agg(F.max("count")).first()[0] or 1
+    parts = F.pmod(F.xxhash64("w"), F.lit(int(np.ceil(np.sqrt(tasks))))).alias("part")
+    half = slices.select("slice", "weight", "w", parts).groupBy("slice", "part").applyInArrow(lambda t: summed(t.select(["slice", "weight", "w"])), "slice int, weight double, w binary")
+    rows = {r.slice: r for r in half.groupBy("slice").applyInArrow(summed, "slice int, weight double, w binary").collect()}
     ratios = rows.pop(-1, None)
     if not rows:
         return m, np.zeros(BINS)
@@ -350,8 +357,8 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
 
     Tokens are the words without \x20 and \x09-\x0D, A-Z in lower case, and one end of each text. Counts are of all texts
     that aren't held out. base_score: the sum of log10((c + 0.1) / (N + 0.1 * (V + 1))). score: of each token
-    log10(share * attention + (1 - share) * c/N), where the share is fitted on the
-    training texts: attention as each task's model had it before it learnt from the token, c/N without the token itself.
+    log10(share * attention + (1 - share) * (c + 0.1) / (N + 0.1 * (V + 1))), where the share is fitted on the
+    training texts: attention as each task's model had it before it learnt from the token, the base's part without the token itself.
     The model depends on how the rows are dealt out to tasks.
     Frequent words (a fixed share of all tokens, so of bounded number) are looked up in the tasks, the others joined along with their attention's part.
 
@@ -379,6 +386,7 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
         return np.where(keys[at] == hashes, c[at], 0) if len(keys) else np.zeros(len(hashes), np.int64)
 
     frequent = spark.sparkContext.broadcast((keys, c))
+    divisor = total + 0.1 * (distinct + 1)
     model = initial(coded)
     ratios, rare = np.zeros(BINS), None
     kinds = "slice int, weight double, w binary, word array<long>, lp array<float>"
@@ -394,8 +402,8 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
                     lp = word_scores(coder, trainer, data, starts, ends, doc, hashes, block.num_rows)
                     have = unigram(hashes, keys, c)
                     known = have > 0
-                    others = (have[known] - 1) / max(1, total - 1)  # without the token itself
-                    at = (lp[known] - np.log(np.maximum(others, 1e-30)) + LOGS) * (BINS / (2 * LOGS))
+                    others = (have[known] - 0.9) / (divisor - 1)  # without the token itself
+                    at = (lp[known] - np.log(others) + LOGS) * (BINS / (2 * LOGS))
                     seen += np.bincount(np.clip(at, 0, BINS - 1).astype(np.int64), minlength=BINS)
                     if not known.all():
                         whole = np.array([0, int((~known).sum())])
@@ -409,13 +417,12 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
         apart = made.where(F.col("slice").isNull()).select(F.explode(F.arrays_zip("word", "lp")).alias("r")).select("r.*")
         rare = apart if rare is None else rare.unionByName(apart)
         now.unpersist()
-    ratio = F.col("lp").cast("double") - F.log(F.greatest((F.col("c") - 1) / max(1, total - 1), F.lit(1e-30)))
+    ratio = F.col("lp").cast("double") - F.log((F.col("c") - 0.9) / (divisor - 1))
     place = F.least(F.greatest(F.floor((ratio + LOGS) * (BINS / (2 * LOGS))), F.lit(0)), F.lit(BINS - 1))
     for r in rare.join(counts, "word").groupBy(place.alias("at")).count().collect():  # at most BINS rows
         ratios[r["at"]] += r["count"]
     share = share_of(ratios)
     shared = spark.sparkContext.broadcast({"ranks": ranks, "model": model, "keys": keys, "c": c})
-    divisor = total + 0.1 * (distinct + 1)
 
     def run(batches):
         b = shared.value
@@ -427,7 +434,7 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
                 have = unigram(hashes, keys, c)
                 known = have > 0
                 lp = np.log(share) + word_scores(coder, lambda codes, n: code_scores(model, codes, n), data, starts, ends, doc, hashes, n)
-                lp[known] = np.logaddexp(lp[known], np.log((1 - share) * have[known] / total))
+                lp[known] = np.logaddexp(lp[known], np.log((1 - share) * (have[known] + 0.1) / divisor))
                 base = np.where(known, np.log10((have + 0.1) / divisor), 0)
                 rare = np.concatenate([[0], np.cumsum(np.bincount(doc[~known], minlength=n))])
                 yield pa.RecordBatch.from_pydict({
@@ -439,7 +446,7 @@ def score(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", t
     first = rows.mapInArrow(run, f"_id {kind}, held boolean, n long, known long, base double, score double, rare array<long>, rare_lp array<float>")
     first = written(first.withColumn("rid", F.monotonically_increasing_id()), "scores")
     apart = first.select("rid", F.explode(F.arrays_zip("rare", "rare_lp")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.rare_lp").cast("double").alias("lp")).join(counts, "word", "left")
-    mixed = F.when(F.col("c").isNull(), F.col("lp")).otherwise(F.log(F.exp("lp") + F.lit((1 - share) / max(1, total)) * F.col("c"))) / float(np.log(10))
+    mixed = F.log(F.exp("lp") + F.lit((1 - share) / divisor) * (F.coalesce("c", F.lit(0)) + 0.1)) / float(np.log(10))
     apart = apart.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(divisor))).alias("rest"), F.sum(mixed).alias("mixed"))
     out = first.drop("rare", "rare_lp").join(apart, "rid", "left")
     zero = F.lit(0)

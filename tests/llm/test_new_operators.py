@@ -184,3 +184,60 @@ def test_duals_meet_any_target(spark, part):
     d = mixing.balance(Scratch(spark, "test"), bins, aims).first()
     rate = 2 * np.exp(-np.logaddexp(0, -d.v * sizes / d.mean))
     assert (rate * n * sizes).sum() == pytest.approx(part * whole, rel=1e-8, abs=1e-3) and not math.isnan(d.v)
+
+
+def test_attention_against_loops():
+    """Log probabilities of codes by plain loops over the places that each one sees."""
+    from corpusstat.llm import lm
+
+    rng = np.random.default_rng(5)
+    m = lm.initial(rng.integers(0, 50, 6000))
+    m = m | {k: m[k] + (0.3 * rng.standard_normal(m[k].shape)).astype(np.float32) for k in lm.LEARNT}
+    n = np.array([3, 0, lm.SCORED, 2 * lm.SCORED + 5, 1])
+    codes = rng.integers(0, 6000, int(n.sum()))
+    got = lm.code_scores(m, codes, n, windows_at_once=2, inner=1)
+    want, at = [], 0
+    soft = lambda z: z - np.log(np.exp(z).sum())
+    for size in n.tolist():
+        own = m["target"][codes[at : at + size]]
+        before = [lm.CLASSES * lm.MEMBERS, *own[:-1].tolist()]
+        for j in range(size):
+            begin = j // lm.SCORED * lm.SCORED - (lm.WINDOW - lm.SCORED)
+            seen = [i for i in range(max(0, begin), j + 1)]
+            x = np.array([m["E"][before[i]] + m["P"][i - begin] for i in seen], float)
+            q = x[-1] @ m["Q"]
+            weight = np.exp(np.minimum([q @ (row @ m["K"]) for row in x], 60))
+            h = x[-1] + (weight / weight.sum()) @ (x @ m["V"]) @ m["O"]
+            cls, member = divmod(int(own[j]), lm.MEMBERS)
+            want.append(soft(h @ m["C"] + m["c"])[cls] + soft(h @ m["M"][cls] + m["m"][cls])[member] + m["rest"][codes[at + j]])
+        at += size
+    assert np.allclose(got, want, atol=2e-3)
+
+
+def test_slices_average_in_two_steps(spark):
+    """As many tasks as there are rows of a slice, weighted by what each saw."""
+    from corpusstat.llm import lm
+
+    m = lm.initial(np.arange(6000))
+    rng = np.random.default_rng(6)
+    trainers, rows = [], []
+    for i in range(23):
+        t = lm.Trainer(m, 0)
+        t.m = {k: (v + rng.standard_normal(v.shape)).astype(np.float32) if k in lm.LEARNT else v for k, v in t.m.items()}
+        t.seen = int(rng.integers(1, 9))
+        trainers.append(t)
+        rows += t.slices().to_pylist() + [{"slice": -1, "weight": 0.0, "w": np.full(lm.BINS, float(i)).tobytes()}]
+    df = spark.createDataFrame([(r["slice"], r["weight"], bytearray(r["w"])) for r in rows], "slice int, weight double, w binary").repartition(7)
+    out, ratios = lm.averaged(m, df)
+    whole = sum(t.seen for t in trainers)
+    for k in lm.LEARNT:
+        assert np.allclose(out[k], sum(t.m[k].astype(float) * t.seen for t in trainers) / whole, atol=1e-5)
+    assert (ratios == sum(range(23))).all()
+    same, none = lm.averaged(m, df.limit(0))
+    assert same is m and not none.any()
+
+
+def test_lm_beats_the_base_on_small_data(spark):
+    out = queries.op2_lm_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b", "sum(n_tokens) n").first()
+    print(out)
+    assert out.s > out.b + 0.02
