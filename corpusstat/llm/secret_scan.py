@@ -33,6 +33,11 @@ NAMES = ("length", "changes", "digits", "uppers", "distinct", "covered", "hex",
 BREAK = "[\\s\"'`=:,;()<>{}|]+"
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, worked out once: the lambda of an array of one binds it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def words(text: Column) -> Column:
     return F.split(text, BREAK)
 
@@ -40,7 +45,7 @@ def words(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """array of struct<place, run, value, before>: candidates by word and number within it, with the two words before each. They are the
     runs with a digit, and of a word without one, if it stands behind a cue word or a user's name, what may be a password."""
-    return F.get(F.transform(F.array(words(text)), among), 0)  # split once, not for each word
+    return bound(words(text), among)  # split once, not for each word
 
 
 def among(w: Column) -> Column:
@@ -176,16 +181,25 @@ def redact(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "s
     text = F.col(f"`{text_col}`")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     found = F.filter(findings(text, path, trees), lambda c: c["secret"])
-    found = F.array_sort(found, lambda a, b: F.length(b["value"]) - F.length(a["value"]))  # a value within another comes after it
 
-    def masked(of: Column) -> Column:
-        parts = F.array(F.struct(words(text).alias("w"), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0)).alias("s"), of.alias("f")))  # split once
+    def masked(found: Column) -> Column:
+        """The text in pieces, one up to each word with secrets and one for the rest, so it takes time in proportion to words and secrets."""
+        # Findings stand in the order of their words: a word's group begins where the place changes.
+        starts = F.filter(F.transform(found, lambda c, i: F.when((i == 0) | (F.get(found, i - 1)["place"] != c["place"]), i)), lambda i: i.isNotNull())
+        longest = lambda f: F.array_sort(f, lambda a, b: F.length(b["value"]) - F.length(a["value"]))  # noqa: E731  (a value within another comes after it)
+        groups = bound(starts, lambda at: F.transform(at, lambda i, k: longest(F.slice(found, i + 1, F.coalesce(F.get(at, k + 1), F.size(found)) - i))))
+        parts = F.array(F.struct(words(text).alias("w"), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0)).alias("s"), groups.alias("g")))
 
         def rebuilt(p):
-            new = F.transform(p["w"], lambda w, i: F.aggregate(F.filter(p["f"], lambda c: c["place"] == i), w, lambda t, c: F.replace(t, c["value"], F.lit(mask))))
-            return F.array_join(F.zip_with(new, p["s"], lambda w, b: F.concat(w, F.coalesce(b, F.lit("")))), "")
+            end = lambda i: F.coalesce(F.get(p["s"], i), F.lit(""))
+            between = lambda a, b: F.array_join(F.zip_with(F.slice(p["w"], a + 1, b - a), F.slice(p["s"], a + 1, b - a), lambda w, s: F.concat(w, F.coalesce(s, F.lit("")))), "")
+            place = lambda k: F.get(F.get(p["g"], k), 0)["place"]
+            clean = lambda g, i: F.concat(F.aggregate(g, F.get(p["w"], i), lambda t, c: F.replace(t, c["value"], F.lit(mask))), end(i))
+            pieces = F.transform(p["g"], lambda g, k: F.concat(between(F.when(k > 0, place(k - 1) + 1).otherwise(0), place(k)), clean(g, place(k))))
+            last = place(F.size(p["g"]) - 1) + 1
+            return F.concat(F.array_join(pieces, ""), between(last, F.size(p["w"])))
 
         return F.get(F.transform(parts, rebuilt), 0)
 
-    either = F.get(F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, masked(f)).otherwise(text)), 0)
+    either = bound(found, lambda f: F.when(F.size(f) > 0, masked(f)).otherwise(text))
     return docs.withColumn(text_col, F.when(suspect(text), either).otherwise(text))
