@@ -43,9 +43,10 @@ def lower(x):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), x)
 
 
-@pytest.mark.parametrize("shard", [substring.SHARD, 300, 1])
-def test_substring(docs, shard):
-    """With one shard, with several, and with all anchors that have several passages settled by windows."""
+@pytest.mark.parametrize("shard,stream", [(substring.SHARD, substring.STREAM), (300, 100), (1, 60)])
+def test_substring(docs, monkeypatch, shard, stream):
+    """With one shard, with several in several copies, and with passages cut up to their windows."""
+    monkeypatch.setattr(substring, "STREAM", stream)
     got = sorted(map(tuple, substring.deduplicate(docs, shard_words=shard).collect()), key=repr)
     rows = [(math.inf if i is None else i, i, WORDS.findall(t or "")) for i, t in texts()]
     seen, want = {}, []
