@@ -69,3 +69,16 @@ def shortest_wildcards(seen: DataFrame, families: DataFrame, least: int = 3, spi
     rank = F.row_number().over(W.partitionBy("word").orderBy(F.desc("n"), "form"))
     few = caught.withColumn("rank", rank).where(F.col("rank") <= top).groupBy("word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "form", "n"))), lambda f: F.concat_ws(" ", f["form"], f["n"])), ", ").alias("other_forms"))
     return best.join(few, "word", "left").select("word", F.concat("prefix", F.lit("*")).alias("wildcard"), "own_mentions", "others", (F.col("words") - F.col("own_words")).alias("other_words"), F.coalesce("other_forms", F.lit("")).alias("other_forms"))
+
+
+def keyword_months(df: DataFrame, day: Column, source: str, text: Column, words: list[str]) -> DataFrame:
+    """PB14: per month and source all texts and those that have any of the words (in any case, as whole words of letters), with 0 for months between the first and the last in which a source has none. Null days and
+    sources are left out. Months and sources are few; texts are counted once."""
+    low = F.array(*(F.lit(w.lower()) for w in words))
+    hit = F.arrays_overlap(words_of(text), low)
+    counts = df.select(F.trunc(day, "month").alias("month"), F.col(source).alias("source"), hit.alias("hit")).where("month is not null and source is not null")
+    counts = counts.groupBy("month", "source").agg(F.count("*").alias("texts"), F.count_if("hit").alias("with_word"))
+    ends = counts.agg(F.min("month").alias("a"), F.max("month").alias("b"))
+    grid = ends.where("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
+    cells = counts.select("source").distinct().join(F.broadcast(grid))  # a row a month
+    return cells.join(counts, ["month", "source"], "left").select("month", "source", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("with_word", F.lit(0)).alias("with_word"))
