@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusstat.operators.estimate import agreement
+
 from corpusstat.operators.resample import uniform
 
 
@@ -31,16 +33,24 @@ def macro_scores(df: DataFrame, truth: str, said: str, flagged: str, w: str, int
     return out
 
 
-def two_passes(first: DataFrame, second: DataFrame, key: str, label: str) -> DataFrame:
-    """Rows that both passes labelled, agreement, and Cohen's kappa of the two."""
-    both = first.select(key, F.col(label).alias("a")).join(second.select(key, F.col(label).alias("b")), key).where("a <> '' and b <> ''")
-    cells = both.groupBy("a", "b").agg(F.count("*").alias("x"))
+def two_passes(first: DataFrame, second: DataFrame, key: str, label: str, level: str | None = None, levels: tuple = ("low", "medium", "high"), no_level: tuple = ("none", "unclear")) -> DataFrame:
+    """Rows that both passes labelled, agreement, and Cohen's kappa of the two; with `level` (the intensity's column) also, of the rows with one label both times (not one of no_level) and a level both
+    times, their number (n_level) and the quadratic-weighted kappa of their levels, null where chance agreement is complete. Keys are distinct in each pass."""
+    names = [label] + ([level] if level else [])
+    both = first.select(key, *(F.col(c).alias(f"a{i}") for i, c in enumerate(names))).join(second.select(key, *(F.col(c).alias(f"b{i}") for i, c in enumerate(names))), key).where("a0 <> '' and b0 <> ''")
+    cells = both.groupBy(F.col("a0").alias("a"), F.col("b0").alias("b")).agg(F.count("*").alias("x"))
     n = cells.agg(F.sum("x").alias("n"), (F.sum(F.when(F.col("a") == F.col("b"), F.col("x")).otherwise(0)) / F.sum("x")).alias("agreement"))
     rows, cols = cells.groupBy("a").agg(F.sum("x").alias("r")), cells.groupBy(F.col("b").alias("a")).agg(F.sum("x").alias("c"))
     chance = rows.join(cols, "a").agg(F.coalesce(F.sum(F.col("r") * F.col("c")), F.lit(0)).alias("_e"))
     out = n.join(F.broadcast(chance))  # one row
     e = F.col("_e") / (F.col("n") * F.col("n"))
-    return out.select("n", "agreement", F.when(e < 1, (F.col("agreement") - e) / (1 - e)).alias("kappa"))
+    out = out.select("n", "agreement", F.when(e < 1, (F.col("agreement") - e) / (1 - e)).alias("kappa"))
+    if not level:
+        return out
+    place = lambda c: F.array_position(F.array(*map(F.lit, levels)), F.col(c))
+    placed = both.where((F.col("a0") == F.col("b0")) & ~F.col("a0").isin(*no_level)).select(place("a1").alias("p"), place("b1").alias("q"), F.lit(1.0).alias("w")).where("p > 0 and q > 0")
+    weighted = agreement(placed, "p", "q", "w", len(levels)).withColumnRenamed("kappa", "kappa_level")
+    return out.join(F.broadcast(placed.agg(F.count("*").alias("n_level")))).join(F.broadcast(weighted))  # one row each
 
 
 def skill_validation(df: DataFrame, key: str, own: str, inferred: str) -> DataFrame:

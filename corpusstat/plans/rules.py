@@ -177,3 +177,19 @@ def e19_skill_validation(spark, d):
 @query()
 def t23_mutual_information(spark, d):
     return rounded(S.adjusted_mutual_information(t(spark, d, "embeddings").withColumn("other", F.when(F.col("vec_id") % 3 == 0, F.col("vec_id") % 10).otherwise(F.col("label").cast("long"))), "label", "other"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, ['defense', 'none', 'trade', 'unclear', ''][CAST(1 + o_orderkey % 5 AS INT)] AS a, CASE WHEN o_custkey % 3 = 0 THEN 'trade' ELSE ['defense', 'none', 'trade', 'unclear', ''][CAST(1 + o_orderkey % 5 AS INT)] END AS b,
+ ['low', 'medium', 'high', ''][CAST(1 + o_custkey % 4 AS INT)] AS l, ['low', 'medium', 'high', ''][CAST(1 + (o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) % 4 AS INT)] AS m FROM orders), p AS (SELECT * FROM r WHERE a <> '' AND b <> ''),
+ c AS (SELECT a, b, count(*)::DOUBLE AS x FROM p GROUP BY 1, 2), n AS (SELECT sum(x) AS n, sum(x) FILTER (WHERE a = b) / sum(x) AS o FROM c), e AS (SELECT sum(r * s) / any_value(n * n) AS e FROM (SELECT a, sum(x) AS r FROM c GROUP BY 1) JOIN (SELECT b AS a, sum(x) AS s FROM c GROUP BY 1) USING (a), n),
+ q AS (SELECT list_position(['low', 'medium', 'high'], l) AS i, list_position(['low', 'medium', 'high'], m) AS j FROM p WHERE a = b AND a NOT IN ('none', 'unclear') AND l <> '' AND m <> ''),
+ k AS (SELECT count(*) AS n_level, sum((i - j) * (i - j))::DOUBLE AS seen FROM q), w AS (SELECT sum((x.i - y.j) * (x.i - y.j) * x.n * y.n)::DOUBLE AS chance FROM (SELECT i, count(*) AS n FROM q GROUP BY 1) x, (SELECT j, count(*) AS n FROM q GROUP BY 1) y)
+SELECT CAST(n AS BIGINT) AS n, round(o, 6) AS agreement, round((o - e) / (1 - e), 6) AS kappa, n_level, round(1 - seen * n_level / chance, 6) AS kappa_level FROM n, e, k, w""")
+def e24_two_passes_levels(spark, d):
+    """With the weighted kappa of intensity among rows of one channel."""
+    rows, at = t(spark, d, "orders"), lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    label = at(["defense", "none", "trade", "unclear", ""], F.col("o_orderkey") % 5)
+    first = rows.select("o_orderkey", label.alias("label"), at(["low", "medium", "high", ""], F.col("o_custkey") % 4).alias("level"))
+    other = F.when(F.col("o_custkey") % 3 == 0, "trade").otherwise(label)
+    second = rows.select("o_orderkey", other.alias("label"), at(["low", "medium", "high", ""], (F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)) % 4).alias("level"))
+    return rounded(S.two_passes(first, second, "o_orderkey", "label", "level"))
