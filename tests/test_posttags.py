@@ -44,3 +44,21 @@ def test_the_list_around_a_certificate(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").withColumn("text", F.coalesce("text", F.lit("")))
     level = rules.certificate_intensity(F.lit(""), F.col("text"), F.lit("none"), ("secnumcloud", "eucs"))
     assert [r.level for r in df.select("id", level.alias("level")).orderBy("id").collect()] == ["low", "low", "high", "high", "low"]
+
+
+def test_peaks_with_nulls_and_ties(spark):
+    from corpusstat.operators import peaks
+
+    rows = [("2024-12-01", "a", 1.0, True), ("2024-12-02", "b", 1.0, True), ("2024-12-02", None, 5.0, False), ("2024-12-09", "a", 2.0, None), (None, "a", 9.0, True), ("2023-12-01", "c", 1.0, False)]
+    df = spark.createDataFrame(rows, "day string, employer string, w double, hit boolean").withColumn("day", F.to_date("day"))
+    got = {(str(r.begin), str(r.week)): (r.taken, r.population, r.tag) for r in peaks.weekly(df, "day", "w", {"tag": F.col("hit")}, [("2024-12-01", "2024-12-08"), ("2024-12-02", "2024-12-31")]).collect()}
+    assert got == {("2024-12-01", "2024-11-25"): (1, 1.0, 1.0), ("2024-12-01", "2024-12-02"): (2, 6.0, 1 / 6), ("2024-12-02", "2024-12-02"): (2, 6.0, 1 / 6), ("2024-12-02", "2024-12-09"): (1, 2.0, 0.0)}
+    got = [(r.period, r.rank, r.employer, r.taken, r.share_of_hits, r.top1, r.employers) for r in peaks.employers_behind(df, F.year("day"), "employer", "w", F.col("hit"), 1).collect()]
+    assert got == [(2024, 1, "a", 1, 0.5, 0.5, 2)]
+    got = {(r.period, r.left_out): r.share for r in peaks.without_largest(df, F.year("day"), "employer", "w", F.col("hit"), (0, 1, 2)).collect()}
+    assert got == {(2024, 0): 2 / 9, (2024, 1): 1 / 6, (2024, 2): 0.0, (2023, 0): 0.0, (2023, 1): 0.0, (2023, 2): 0.0}
+    flagged = df.withColumn("channel", F.when(F.col("hit"), "x"))
+    got = {(r.what, r.name): (r.n, r.share) for r in peaks.week_inspection(flagged, "day", "2024-12-01", "2024-12-31", "channel", F.col("employer"), F.lit(None).cast("string")).collect()}
+    assert got == {("total", "days"): (3, None), ("total", "rows"): (4, None), ("total", "flagged"): (2, 0.5), ("channel", "x"): (2, 1.0), ("title", "a"): (1, 0.5), ("title", "b"): (1, 0.5), ("opening", ""): (2, 1.0)}
+    empty = peaks.week_inspection(flagged.limit(0), "day", "2024-12-01", "2024-12-31", "channel", F.col("employer"), F.col("employer")).collect()
+    assert {(r.name, r.n) for r in empty} == {("days", 0), ("rows", 0), ("flagged", 0)}
