@@ -49,3 +49,24 @@ def week_inspection(df: DataFrame, day: str, begin: str, end: str, channel: str,
     rank = F.row_number().over(W.partitionBy("what").orderBy(F.desc("n"), "name"))
     best = counts.withColumn("rank", rank).where((F.col("what") == "channel") | (F.col("rank") <= top)).join(F.broadcast(sums))  # one row
     return one.union(best.select("what", "name", "n", F.try_divide("n", "flagged")))
+
+
+def region_table(df: DataFrame, cluster: str, region: str, w: str, clusters: list, top: int = 3) -> DataFrame:
+    """Per chosen cluster its rows, those with a region, the weighted share without one, and for each of its `top` regions by weight (ties by name) the share of what has a region. A cluster without a region has one row with a null rank;
+    one without rows has none."""
+    rows = df.where(F.col(cluster).isin(clusters)).select(F.col(cluster).alias("cluster"), F.nullif(F.col(region), F.lit("")).alias("region"), F.col(w).alias("w"))
+    cells = rows.groupBy("cluster", "region").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    placed = F.col("region").isNotNull()
+    about = cells.groupBy("cluster").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(placed, F.col("n"))), F.lit(0)).alias("placed"), F.try_divide(F.sum(F.when(~placed, F.col("w")).otherwise(0.0)), F.sum("w")).alias("unplaced"), F.sum(F.when(placed, F.col("w"))).alias("_w"))
+    ranked = cells.where(placed).withColumn("rank", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("w"), "region"))).where(F.col("rank") <= top)
+    return about.join(ranked.select("cluster", "rank", "region", F.col("w").alias("_own")), "cluster", "left").select("cluster", "rows", "placed", "unplaced", "rank", "region", F.try_divide("_own", "_w").alias("share"))
+
+
+def weak_clusters(lifts: DataFrame, first: str, percent: float = 10.0) -> DataFrame:
+    """Per input of lifts (input, cluster, size, lift) its clusters, the quartiles of their lift, the cut-off (the percentile of the lifts of the input `first`, one bar for all inputs), the clusters below it and the share of the input's
+    rows in them. Null lifts are left out. No bar where `first` has no clusters: then none is below. Rows are clusters, so there are few."""
+    known = lifts.where(F.col("lift").isNotNull())
+    bar = known.where(F.col("input") == first).agg(F.percentile("lift", percent / 100).alias("cutoff"))
+    weak = F.coalesce(F.col("lift") < F.col("cutoff"), F.lit(False))
+    out = known.join(F.broadcast(bar)).groupBy("input", "cutoff").agg(F.count("*").alias("clusters"), F.percentile("lift", [0.25, 0.5, 0.75]).alias("_q"), F.count_if(weak).alias("weak"), F.try_divide(F.sum(F.when(weak, F.col("size")).otherwise(0)), F.sum("size")).alias("rows_in_weak"))  # one row
+    return out.select("input", "clusters", *(F.get("_q", i).alias(c) for i, c in enumerate(("q1", "median", "q3"))), "cutoff", "weak", "rows_in_weak")

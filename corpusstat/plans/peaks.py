@@ -44,3 +44,23 @@ SELECT 'total' AS what, 'days' AS name, days AS n, NULL::DOUBLE AS share FROM n
 UNION ALL SELECT what, name, r.n, round(r.n::DOUBLE / flagged, 6) FROM r, n WHERE what = 'channel' OR rank <= 12""")
 def pb18_week_wordings(spark, d):
     return rounded(K.week_inspection(postings(spark, d), "day", "1995-12-04", "1995-12-17", "channel", F.col("title"), F.col("region")))
+
+
+@query(f"""WITH {POSTINGS}, c AS (SELECT cluster, region, sum(w) AS w, count(*) AS n FROM posting WHERE cluster IN (0, 2, 4, 77) AND day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY 1, 2),
+a AS (SELECT cluster, sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (WHERE region IS NOT NULL), 0)::BIGINT AS placed, coalesce(sum(w) FILTER (WHERE region IS NULL), 0) / sum(w) AS unplaced, sum(w) FILTER (WHERE region IS NOT NULL) AS pw FROM c GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, region) AS rank FROM c WHERE region IS NOT NULL)
+SELECT a.cluster::BIGINT AS cluster, rows, placed, round(unplaced, 6) AS unplaced, rank, region, round(w / pw, 6) AS share FROM a LEFT JOIN r ON r.cluster = a.cluster AND rank <= 3""")
+def p14_region_table(spark, d):
+    rows = postings(spark, d).where(F.col("day").between("1995-01-01", "1996-12-31"))
+    return rounded(K.region_table(rows, "cluster", "region", "w", [0, 2, 4, 77]))
+
+
+@query(f"""WITH {POSTINGS}, l AS (SELECT 'cluster' AS input, CAST(cluster AS VARCHAR) AS k, count(*) AS size, avg(w) - 2 AS lift FROM posting WHERE cluster >= 0 GROUP BY 2 UNION ALL SELECT 'region', region, count(*), avg(w) - 2 FROM posting WHERE region IS NOT NULL GROUP BY 2),
+b AS (SELECT quantile_cont(lift, 0.3) AS cutoff FROM l WHERE input = 'cluster')
+SELECT input, count(*) AS clusters, round(quantile_cont(lift, 0.25), 6) AS q1, round(quantile_cont(lift, 0.5), 6) AS median, round(quantile_cont(lift, 0.75), 6) AS q3, round(any_value(cutoff), 6) AS cutoff, count(*) FILTER (WHERE lift < cutoff) AS weak, round(coalesce(sum(size) FILTER (WHERE lift < cutoff), 0)::DOUBLE / sum(size), 6) AS rows_in_weak FROM l, b GROUP BY 1""")
+def t17_weak_clusters(spark, d):
+    """Two inputs' clusters under one bar; a mean weight stands for the lift, which coherence_lift() gives for vectors."""
+    rows = postings(spark, d)
+    of = lambda name, c, df: df.groupBy(F.col(c).cast("string").alias("cluster")).agg(F.count("*").alias("size"), (F.avg("w") - 2).alias("lift")).withColumn("input", F.lit(name))
+    lifts = of("cluster", "cluster", rows.where("cluster >= 0")).unionByName(of("region", "region", rows.where("region is not null")))
+    return rounded(K.weak_clusters(lifts, "cluster", 30.0))
