@@ -9,13 +9,13 @@ from corpusstat.plans.queries import query, rounded
 from corpusstat.plans.series import POSTINGS, postings
 
 WINDOWS = [("1995-11-20", "1996-01-20"), ("1995-12-15", "1996-02-10")]
-HIT = F.col("channel") == "BUILDING"
+HIT = "channel = 'BUILDING'"
 
 
 @query(f"""WITH {POSTINGS}, s("begin", "end") AS (VALUES {', '.join(f"(DATE '{a}', DATE '{b}')" for a, b in WINDOWS)})
 SELECT "begin", date_trunc('week', day)::DATE AS week, count(*) AS taken, sum(w) AS population, round(sum(CASE WHEN channel IS NOT NULL THEN w ELSE 0 END) / sum(w), 6) AS flagged, round(sum(CASE WHEN channel = 'BUILDING' THEN w ELSE 0 END) / sum(w), 6) AS tagged FROM posting JOIN s ON day BETWEEN "begin" AND "end" GROUP BY 1, 2""")
 def p9_weeks(spark, d):
-    return rounded(K.weekly(postings(spark, d), "day", "w", {"flagged": F.col("channel").isNotNull(), "tagged": HIT}, WINDOWS))
+    return rounded(K.weekly(postings(spark, d), "day", "w", {"flagged": F.col("channel").isNotNull(), "tagged": F.expr(HIT)}, WINDOWS))
 
 
 CELLS = f"""WITH {POSTINGS}, c AS (SELECT year(day) AS period, coalesce(region, '') AS employer, sum(w) AS a, sum(CASE WHEN channel = 'BUILDING' THEN w ELSE 0 END) AS h, count(*) FILTER (WHERE channel = 'BUILDING') AS taken FROM posting WHERE month(day) = 12 GROUP BY 1, 2)"""
@@ -27,14 +27,14 @@ SELECT period, rank, employer, taken, round(h / th, 6) AS share_of_hits, round(a
 def p9_employers(spark, d):
     """Each December's regions, in the place of employers."""
     rows = postings(spark, d).where(F.month("day") == 12)
-    return rounded(K.employers_behind(rows, F.year("day"), "region", "w", HIT))
+    return rounded(K.employers_behind(rows, F.year("day"), "region", "w", F.expr(HIT)))
 
 
 @query(CELLS + """, r AS (SELECT *, CASE WHEN h > 0 THEN row_number() OVER (PARTITION BY period ORDER BY h DESC, employer) ELSE 99 END AS rank FROM c)
 SELECT period, k AS left_out, round(sum(h) FILTER (WHERE rank > k) / sum(a) FILTER (WHERE rank > k), 6) AS share FROM r, (VALUES (0), (1), (3), (5)) AS v(k) GROUP BY 1, 2""")
 def p9_without_largest(spark, d):
     rows = postings(spark, d).where(F.month("day") == 12)
-    return rounded(K.without_largest(rows, F.year("day"), "region", "w", HIT))
+    return rounded(K.without_largest(rows, F.year("day"), "region", "w", F.expr(HIT)))
 
 
 @query(f"""WITH {POSTINGS}, p AS (SELECT day, channel, title, coalesce(region, '') AS opening FROM posting WHERE day BETWEEN DATE '1995-12-04' AND DATE '1995-12-17'), n AS (SELECT count(DISTINCT day) AS days, count(*) AS rows, count(channel) AS flagged FROM p),
