@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corpusstat.operators import boards as B
 from corpusstat.operators import graph as G
-from corpusstat.operators import mining as M
 from corpusstat.operators import vectors as V
 from corpusstat.operators import resample as R
 from corpusstat.plans.queries import TERMS, query, rounded, terms

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from corpusstat.operators import graph, places, relate, series, titles, vectors
+from corpusstat.operators import graph, places, relate, series, vectors
 from corpusstat.sources import readers, sinks
 
 
