@@ -196,9 +196,9 @@ def deduplicate(docs: DataFrame, *, n: int = 50, id_col: str = "doc_id", text_co
         placed = sizes.where("fits").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         copies = placed.groupBy("shard").agg(F.ceil(F.sum("streamed") / STREAM).cast("int").alias("copies"))
         placed = scratch.write(f"placed-{k}", placed.join(copies, "shard").select("anchor", "shard", "copies"))
-        # An automaton is built in as many tasks as its stream needs; a passage goes to one of them.
+        # An automaton is built in as many tasks as its stream needs; a passage goes to one of them. Both sides' keys are of one type, since 0 and 0L hash to different partitions.
         reference = references.join(placed, "anchor").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "least", "words")
-        streamed = runs.join(placed, "anchor").select("shard", F.pmod(F.xxhash64("passage", "ord", "row", "place"), F.col("copies")).alias("copy"), "ord", "row", "place", "words")
+        streamed = runs.join(placed, "anchor").select("shard", F.pmod(F.xxhash64("passage", "ord", "row", "place"), F.col("copies")).cast("int").alias("copy"), "ord", "row", "place", "words")
         reference, streamed = reference.toDF("shard", "copy", "least", "words"), streamed.toDF("shard", "copy", "ord", "row", "place", "words")
         met = reference.groupBy("shard", "copy").cogroup(streamed.groupBy("shard", "copy")).applyInArrow(lambda a, b: solved(a, b, n), "ord long, row long, places array<int>")
         parts.append(scratch.write(f"found-{k}", met))

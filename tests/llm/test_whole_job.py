@@ -4,7 +4,7 @@ import random
 import time
 import zlib
 
-from corpusstat.llm import lm, minhash, queries, secret_scan, url_filter
+from corpusstat.llm import lm, minhash, queries, secret_scan, substring, url_filter
 from corpusstat.llm.blocks import Scratch
 
 P = queries.public_tokenizers
@@ -123,3 +123,22 @@ def test_pipeline_on_rows_of_all_kinds(spark, tmp_path):
 def test_lm_beats_the_base_on_held_out_texts(spark):
     out = queries.op2_lm_score(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").first()
     assert out.s > out.b + 0.1
+
+
+def test_repeated_passages_meet_in_any_number_of_partitions(spark):
+    """Shards and the passages streamed through them, in partitions that aren't put together afterwards."""
+    r = random.Random(8)
+    same = [[f"s{k}w{r.randrange(500)}" for _ in range(60)] for k in range(30)]
+    own = lambda i: [f"d{i}w{r.randrange(500)}" for _ in range(70)]
+    rows = [(i, " ".join(own(i) + same[i % 30] + own(i))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {x.doc_id: x.n_removed for x in substring.deduplicate(df, shard_words=300).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 60 * (i >= 30) for i in range(60)}
