@@ -126,8 +126,9 @@ def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def picked(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log softmax of the picked entry of each row, and the sums of exp(z), which takes the place of z."""
-    np.minimum(z, np.float32(80), out=z)
+    """Log softmax of the picked entry of each row, and the sums of exp(z), which takes the place of z. The sums cannot vanish, since centred rows have an entry of 0 or more."""
+    if z.max(initial=0) > 80:  # they could overflow
+        z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(at)), at]
     np.exp(z, out=z)
     total = z.sum(axis=1)
@@ -190,6 +191,14 @@ def backward(m: dict, inputs, dh, saved, g: dict) -> None:
 LEARNT = ("E", "P", "Q", "K", "V", "O", "C", "M", "c", "m")
 
 
+def centred(m: dict) -> dict:
+    """m, with each softmax's entries less their mean, in place. No probability changes, but without it long training moves all entries of a row down
+    until exp is 0 for each of them."""
+    for k in ("C", "c", "M", "m"):
+        m[k] -= m[k].mean(axis=-1, keepdims=True)
+    return m
+
+
 def initial(counts: np.ndarray, seed: int = SEED) -> dict:
     """The untrained model for these counts of codes. The CLASSES * MEMBERS - 1 most frequent codes have a target of their own, the others share
     the last one, divided by their counts."""
@@ -205,14 +214,14 @@ def initial(counts: np.ndarray, seed: int = SEED) -> dict:
     seen = np.bincount(target, weights=counts, minlength=CLASSES * MEMBERS).reshape(CLASSES, MEMBERS) + 0.1
     m |= {"c": np.log(seen.sum(1) / seen.sum()).astype(np.float32), "m": np.log(seen / seen.sum(1, keepdims=True)).astype(np.float32)}
     at = np.arange(WINDOW)
-    return m | {"mask": (at[None, :] <= at[WINDOW - SCORED :, None]).astype(np.float32), "target": target, "rest": rest}
+    return centred(m) | {"mask": (at[None, :] <= at[WINDOW - SCORED :, None]).astype(np.float32), "target": target, "rest": rest}
 
 
 class Trainer:
     """Goes on from a model, by Adam, with the learning rate of the round."""
 
     def __init__(self, m: dict, turn: int, seed: int = SEED):
-        self.m = m | {k: m[k].copy() for k in LEARNT}
+        self.m = centred(m | {k: m[k].copy() for k in LEARNT})
         self.first, self.second, self.step = {k: np.zeros_like(m[k]) for k in LEARNT}, {k: np.zeros_like(m[k]) for k in LEARNT}, 0
         self.rate, self.rng, self.seen = RATE * (1 - 0.9 * turn / ROUNDS), np.random.default_rng(seed + turn), 0
 
@@ -242,6 +251,7 @@ class Trainer:
                 second *= np.float32(0.99)
                 second += np.float32(0.01) * grad * grad
                 m[name] -= np.float32(now / (1 - 0.9**self.step)) * first / (np.sqrt(second / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+            centred(m)
         self.seen += len(codes)
         return out + m["rest"][codes]
 

@@ -4,6 +4,8 @@ import random
 import time
 import zlib
 
+import numpy as np
+
 from corpusstat.llm import lm, minhash, queries, secret_scan, substring, url_filter
 from corpusstat.llm.blocks import Scratch
 
@@ -142,3 +144,24 @@ def test_repeated_passages_meet_in_any_number_of_partitions(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {i: 60 * (i >= 30) for i in range(60)}
+
+
+def test_lm_trains_on_where_all_entries_have_moved_far_down_or_up():
+    """A task that trains for long moves all entries of a softmax alike, which changes no probability and must not end in sums of 0 or infinity."""
+    rng = np.random.default_rng(9)
+    m, codes, n = lm.initial(rng.integers(0, 50, 6000)), rng.integers(0, 6000, 3000), np.array([1000, 1990, 10])
+    want = lm.Trainer(m, 0)(codes, n)
+    for by in (-150, 150):
+        moved = lm.Trainer(m | {k: m[k] + np.float32(by) for k in ("c", "m")}, 0)
+        assert np.allclose(moved(codes, n), want, atol=1e-2) and all(np.isfinite(moved.m[k]).all() for k in lm.LEARNT)
+    long = lm.Trainer(m, 0)
+    for _ in range(3):
+        long(codes, n)
+    assert abs(long.m["c"].mean()) < 1e-4 and np.abs(long.m["m"].mean(axis=1)).max() < 1e-4
+    steep = m | {"m": m["m"] * np.float32(60)}  # entries over 80 are told apart as well
+    z = steep["m"].astype(float)
+    _, member = divmod(steep["target"][codes], lm.MEMBERS)
+    cls = steep["target"][codes] // lm.MEMBERS
+    own, _ = lm.picked(steep["m"][cls].copy(), member)
+    peak = z.max(axis=1, keepdims=True)
+    assert np.allclose(own, (z - peak - np.log(np.exp(z - peak).sum(axis=1, keepdims=True)))[cls, member], atol=1e-2)
