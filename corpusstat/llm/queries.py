@@ -22,7 +22,7 @@ def op1_url_filter(spark, sf_dir):
 
 
 def op2_lm_score(spark, sf_dir):
-    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_near_dedup(spark, sf_dir):

@@ -165,3 +165,34 @@ def test_lm_trains_on_where_all_entries_have_moved_far_down_or_up():
     own, _ = lm.picked(steep["m"][cls].copy(), member)
     peak = z.max(axis=1, keepdims=True)
     assert np.allclose(own, (z - peak - np.log(np.exp(z - peak).sum(axis=1, keepdims=True)))[cls, member], atol=1e-2)
+
+
+def test_lm_steps_grow_with_what_a_task_has_to_train_on():
+    """Long training takes few large steps (one for each 64 windows took most of the time), short training as many small ones, and both learn."""
+    cycle = np.tile(np.arange(12), 20_000)
+    m = lm.initial(np.bincount(cycle, minlength=6000))
+    t = lm.Trainer(m, 0)
+    before = lm.code_scores(m, cycle[:4800], np.array([4800])).mean()
+    lp = t(cycle, np.array([len(cycle)]))
+    windows = -(-len(cycle) // lm.SCORED)
+    assert 20 < t.step < windows / 64 and lp[-4800:].mean() > before + 1
+    assert np.allclose(t.flat, np.concatenate([t.m[k].ravel() for k in lm.LEARNT]))
+    short = lm.Trainer(m, 0)
+    short(cycle[:7200], np.array([7200]))
+    assert short.step >= 4
+
+
+def test_lm_words_without_a_target_of_their_own(spark, monkeypatch):
+    """Looked up or joined, they get the same part of the shared target; one that training texts lack gets what a count of 0 gives. No subwords are needed."""
+    r = random.Random(10)
+    rows = [(i, " ".join(f"w{i * 40 + k}" if k % 2 else r.choice("river stone cloud".split()) for k in range(80))) for i in range(300)]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += [(held[0], "river unheard stone"), (held[1], "river w41 stone"), (held[2], "river w41 stone w41 unheard")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {x.doc_id: x for x in lm.score(df).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 8)
+    got = {x.doc_id: x for x in lm.score(df).collect()}
+    assert len(want) == len(rows) and all(abs(want[i].score - x.score) < 1e-3 and abs(want[i].base_score - x.base_score) < 1e-9 and want[i][:5] == x[:5] for i, x in got.items())
+    seen = [want[i] for i in held[:2]]
+    assert [x.n_known for x in seen] == [3, 4]
+    assert abs((seen[1].score - seen[0].score) - (seen[1].base_score - seen[0].base_score)) < 0.3
