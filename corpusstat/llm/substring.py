@@ -93,7 +93,8 @@ def cut_up(block: pa.RecordBatch, n: int, k: int) -> pa.RecordBatch:
 
 def solved(reference: pa.Table, streamed: pa.Table, n: int) -> pa.Table:
     """Where windows of the streamed passages also stand in a document with a smaller id. The automaton of a shard's reference holds with each state the least document of those whose passages reach it; each passage is
-    streamed for its matching statistics, and where n words or more match, the state of the last n says which document is the least to have them. Passages of equal words are streamed once."""
+    streamed for its matching statistics, and where n words or more match, the state of the last n says which document is the least to have them. Passages of equal words are streamed once. A document gets one row,
+    however many of its passages are found, so there are never more rows than documents or passages."""
     kinds = pa.schema([("ord", pa.int64()), ("row", pa.int64()), ("places", pa.list_(pa.int32()))])
     if not reference.num_rows or not streamed.num_rows:
         return kinds.empty_table()
@@ -130,15 +131,15 @@ def solved(reference: pa.Table, streamed: pa.Table, n: int) -> pa.Table:
         return out[n - 1 :]
 
     known: dict[str, list[int]] = {}
-    found = []
+    found: dict[tuple[int, int], list[int]] = {}
     for text, o, row, place in zip(*(streamed.column(c).to_pylist() for c in ("words", "ord", "row", "place"))):
         own = known.get(text)
         if own is None:
             own = known[text] = leasts(text)
         hit = [place + i for i, x in enumerate(own) if x < o]
         if hit:
-            found.append((o, row, hit))
-    return pa.table({c: pa.array([f[i] for f in found], kinds.field(c).type) for i, c in enumerate(kinds.names)}, schema=kinds)
+            found.setdefault((o, row), []).extend(hit)
+    return pa.table([pa.array([o for o, _ in found], pa.int64()), pa.array([row for _, row in found], pa.int64()), pa.array(list(found.values()), kinds.field("places").type)], schema=kinds)
 
 
 def kept(block: pa.RecordBatch, n: int) -> pa.RecordBatch:

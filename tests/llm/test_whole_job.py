@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from corpusstat.llm import lm, minhash, queries, secret_scan, substring, url_filter
 from corpusstat.llm.blocks import Scratch
@@ -196,3 +197,17 @@ def test_lm_words_without_a_target_of_their_own(spark, monkeypatch):
     seen = [want[i] for i in held[:2]]
     assert [x.n_known for x in seen] == [3, 4]
     assert abs((seen[1].score - seen[0].score) - (seen[1].base_score - seen[0].base_score)) < 0.3
+
+
+def test_repeated_passages_make_one_row_a_document():
+    """Not one for each passage, of which a document of a large group has many."""
+    word = [[f"p{k}w{i}" for i in range(8)] for k in range(5)]
+    text = [" ".join(w) for w in word]
+    reference = pa.table({"least": pa.array([1] * 5, pa.int64()), "words": text})
+    streamed = [(o, 100 + o, 10 * k, text[k]) for k in range(5) for o in (1, 2, 3)] + [(4, 104, 0, "none of these words stands anywhere else"), (3, 99, 7, text[0])]
+    streamed = pa.table({"ord": pa.array([x[0] for x in streamed], pa.int64()), "row": pa.array([x[1] for x in streamed], pa.int64()), "place": pa.array([x[2] for x in streamed], pa.int32()), "words": [x[3] for x in streamed]})
+    found = substring.solved(reference, streamed, 6)
+    whole = [10 * k + i for k in range(5) for i in range(3)]
+    assert sorted((r["ord"], r["row"], sorted(r["places"])) for r in found.to_pylist()) == [(2, 102, whole), (3, 99, [7, 8, 9]), (3, 103, whole)]
+    none = substring.solved(reference, streamed.slice(15, 1), 6)
+    assert none.num_rows == 0 and none.schema == found.schema == substring.solved(reference.slice(0, 0), streamed, 6).schema
