@@ -106,11 +106,16 @@ def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     return df.mapInArrow(run, schema)
 
 
+def translated(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data], with a byte or truth value for each byte."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text number of the maximal runs of bytes that aren't breaks; no run crosses texts."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~breaks[data]
+    inside = translated(data, ~breaks)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
@@ -129,7 +134,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Places of a word whose bytes' values are looked up.
+#: Places of a word whose bytes' values are looked up, for all words at once.
 PLACES = 64
 _values: list[np.ndarray] = []
 
@@ -142,14 +147,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not _values:
         _values.append(mix(np.arange(PLACES << 8, dtype=np.uint64) + np.uint64(BASE)))
     size = ends - starts
-    first = np.cumsum(size) - size
-    place = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
-    key = data[place + np.repeat(starts, size)] + (place << 8)
-    if int(size.max()) <= PLACES:
-        values = _values[0][key]
-    else:
-        values = mix(key.astype(np.uint64) + np.uint64(BASE))
-    return mix(np.add.reduceat(values, first) + size.astype(np.uint64))
+    long = np.minimum(size, PLACES + 1)
+    order = np.argsort(-long.astype(np.int8), kind="stable")  # the longest first, so that those with a byte at a place come before all others
+    left = len(size) - np.cumsum(np.bincount(long, minlength=PLACES + 2))
+    at, sums = starts[order], size[order].astype(np.uint64)
+    for place, n in enumerate(left[:PLACES].tolist()):
+        if not n:
+            break
+        at = at[:n]
+        sums[:n] += _values[0][place << 8 : (place + 1) << 8].take(data.take(at))
+        at += 1
+    if n := int(left[PLACES]):
+        more = size[order[:n]] - PLACES
+        first = np.cumsum(more) - more
+        place = np.arange(int(first[-1] + more[-1])) - np.repeat(first, more)
+        key = data[place + np.repeat(at[:n], more)] + (place + PLACES << 8)
+        sums[:n] += np.add.reduceat(mix(key.astype(np.uint64) + np.uint64(BASE)), first)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return mix(out)
 
 
 _powers: dict[int, np.ndarray] = {}

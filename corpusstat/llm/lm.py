@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusstat.llm.blocks import LOWER, buffers, cut, lists, word_hashes, signed, words, written
+from corpusstat.llm.blocks import LOWER, buffers, cut, lists, signed, translated, word_hashes, words, written
 
 SEED = 11
 #: Disjoint parts of the training texts, by hash; after each the tasks' models are averaged. Windows in a task's first step, and the step size.
@@ -28,6 +28,9 @@ BINS, LOGS = 4096, 40.0
 WINDOW, SCORED = 64, 48
 #: Width, classes of the two-level softmax, and members of a class.
 WIDTH, CLASSES, MEMBERS = 16, 64, 64
+#: Windows, targets of one softmax and weights whose arrays fit a core's cache. A product of more than 10**6 multiplications (PLACES * MEMBERS * (WIDTH + 1)
+#: are fewer) is copied into another order first, which takes longer than the product.
+INNER, PLACES, WEIGHTS = 48, 768, 1 << 14
 #: Words with at least 1/FREQUENT of all tokens are broadcast, so at most FREQUENT words besides those with a target of their own.
 FREQUENT = 1 << 20
 #: Bytes of text in a block: large, so that the windows of many texts are dealt into steps.
@@ -39,7 +42,7 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 def tokens(block: pa.RecordBatch):
     """Lower-case bytes, starts, ends, text numbers and hashes of the words, with END after each text (start and end -1)."""
     data, offsets = buffers(block.column("text"))
-    data = LOWER[data]
+    data = translated(data, LOWER)
     starts, ends, doc = words(data, offsets)
     n = block.num_rows
     at = np.searchsorted(doc, np.arange(n), "right")
@@ -59,21 +62,39 @@ def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(good, base[:, None] + at, -1), good
 
 
-def forward(m: dict, inputs: np.ndarray, good: np.ndarray):
-    """Hidden states [windows, SCORED, WIDTH] and what the gradient needs."""
-    x = m["E"][inputs] + m["P"]
+def ready(m: dict) -> dict:
+    """What a model's steps are made of. Q and K stand side by side, as do V and O, so each pair is one matrix; biases are rows for a last input of 1."""
+    r = {"E": widened(m["E"], 1), "P": widened(m["P"], 0), "QK": m["Q"] @ m["K"].T, "VO": m["V"] @ m["O"], "mask": m["mask"]}
+    r |= {"C": np.concatenate([m["C"], m["c"][None]]), "M": np.concatenate([m["M"], m["m"][:, None]], axis=1)}
+    r |= {"CT": m["C"].T.copy(), "MT": m["M"].transpose(0, 2, 1).copy()}
+    r["longest"] = longest(m["E"]) + longest(m["P"])  # no input is longer
+    return r | {"lengths": longest(m["C"].T), "most": m["c"].max(), "members": np.sqrt(np.einsum("cij,cij->cj", m["M"], m["M"])), "own": m["m"]}
+
+
+def widened(x: np.ndarray, by: float) -> np.ndarray:
+    """x with a last column of the one value."""
+    return np.concatenate([x, np.full((*x.shape[:-1], 1), by, x.dtype)], axis=-1)
+
+
+def forward(r: dict, inputs: np.ndarray, good: np.ndarray):
+    """Hidden states [windows, SCORED, WIDTH + 1], the last of them 1, and what the gradient needs."""
+    x = r["E"].take(inputs, axis=0)
+    x += r["P"]
+    across = np.ascontiguousarray(x.transpose(0, 2, 1))
     y = np.ascontiguousarray(x[:, WINDOW - SCORED :])
-    q, k, v = times(y, m["Q"]), times(x, m["K"]), times(x, m["V"])
-    a = q @ k.transpose(0, 2, 1)
-    if longest(q) * longest(k) > 60:
+    q = times(y[..., :WIDTH], r["QK"])
+    a = q @ across[:, :WIDTH]
+    if longest(q) * r["longest"] > 60:
         np.minimum(a, np.float32(60), out=a)
     np.exp(a, out=a)
-    a *= m["mask"]  # what stands later
-    a[~good[:, 0], :, : WINDOW - SCORED] = 0  # before a text's beginning
-    total = (row_sums(a) + np.float32(1e-30))[..., None]
-    c = a @ v
+    a *= r["mask"]  # what stands later
+    a[np.flatnonzero(~good[:, 0]), :, : WINDOW - SCORED] = 0  # before a text's beginning
+    c = a @ x
+    total = c[..., WIDTH:] + np.float32(1e-30)
     c /= total
-    return y + times(c, m["O"]), (x, y, q, k, v, a, total, c)
+    h = y.copy()
+    h[..., :WIDTH] += times(c[..., :WIDTH], r["VO"])
+    return h, (x, across, y, q, a, total, c)
 
 
 def longest(x: np.ndarray) -> float:
@@ -92,7 +113,7 @@ def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Sum over windows and places of the outer products of x and y."""
-    return x.reshape(-1, x.shape[-1]).T @ y.reshape(-1, y.shape[-1])
+    return (x.transpose(0, 2, 1) @ y).sum(0)
 
 
 def picked(z: np.ndarray, at: np.ndarray, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
@@ -105,59 +126,81 @@ def picked(z: np.ndarray, at: np.ndarray, bound: float = np.inf) -> tuple[np.nda
     return own - np.log(total), total
 
 
-def log_probs(m: dict, h: np.ndarray, target: np.ndarray, gradient: bool = False):
-    """Natural log probability of each target (class * MEMBERS + member) given its state, and on demand the gradients."""
-    order = np.argsort(target // MEMBERS, kind="stable")
-    h, cls, member = h[order], (target // MEMBERS)[order], (target % MEMBERS)[order]
-    z = h @ m["C"] + m["c"]
-    most = longest(h)
-    bound = most * longest(m["C"].T) + m["c"].max()
-    bounds = (most * np.sqrt(np.einsum("cij,cij->cj", m["M"], m["M"])) + m["m"]).max(axis=1).tolist()
-    own, total = picked(z, cls, bound)
+def softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray, bound: float, back: np.ndarray, dh: np.ndarray | None, g: np.ndarray | None) -> np.ndarray:
+    """Log softmax of the picked entry of each row of h @ w. Its gradients are added to dh and g, if there are any; back is w's other direction, without biases."""
+    z = h @ w
+    own, total = picked(z, at, bound)
+    if g is not None:
+        z /= total[:, None]
+        z[np.arange(len(at)), at] = np.exp(own) - 1
+        g += h.T @ z
+        dh += z @ back
+    return own
+
+
+def log_probs(r: dict, h: np.ndarray, goals: np.ndarray, gradient: bool = False):
+    """Natural log probability of each target (class * MEMBERS + member; -1: none) given its state, and on demand the gradients.
+    Targets are sorted by class and taken PLACES at a time, which fit a core's cache."""
+    at = np.flatnonzero(goals.ravel() >= 0)
+    target = goals.ravel()[at]
+    order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
+    at = at[order]
+    y, cls, member = h.reshape(-1, WIDTH + 1).take(at, axis=0), (target // MEMBERS)[order], (target % MEMBERS)[order]
+    most = longest(y[:, :WIDTH])
+    bounds = (most * r["members"] + r["own"]).max(axis=1).tolist()
+    own = np.empty(len(y), y.dtype)
+    g = {"C": np.zeros_like(r["C"]), "M": np.zeros_like(r["M"])} if gradient else {}
+    d = np.zeros((len(y), WIDTH), y.dtype) if gradient else None
+    for a in range(0, len(y), PLACES):
+        some = slice(a, a + PLACES)
+        own[some] = softmax(y[some], r["C"], cls[some], most * r["lengths"] + r["most"], r["CT"], d[some] if gradient else None, g.get("C"))
     edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-    g = {"M": np.zeros_like(m["M"]), "m": np.zeros_like(m["m"])} if gradient else {}
-    dh = np.zeros_like(h) if gradient else None
     for c in range(CLASSES):
-        a, b = edges[c], edges[c + 1]
-        if a == b:
-            continue
-        y = h[a:b] @ m["M"][c] + m["m"][c]
-        more, sums = picked(y, member[a:b], bounds[c])
-        own[a:b] += more
-        if gradient:
-            y /= sums[:, None]
-            y[np.arange(b - a), member[a:b]] -= 1
-            g["M"][c], g["m"][c] = h[a:b].T @ y, y.sum(0)
-            dh[a:b] = y @ m["M"][c].T
+        for a in range(edges[c], edges[c + 1], PLACES):
+            some = slice(a, min(a + PLACES, edges[c + 1]))
+            own[some] += softmax(y[some], r["M"][c], member[some], bounds[c], r["MT"][c], d[some] if gradient else None, g["M"][c] if gradient else None)
     out = np.empty_like(own)
     out[order] = own
-    if gradient:
-        z /= total[:, None]
-        z[np.arange(len(cls)), cls] -= 1
-        g["C"], g["c"] = h.T @ z, z.sum(0)
-        dh += z @ m["C"].T
-        back = np.empty_like(dh)
-        back[order] = dh
-        dh = back
-    return out, dh, g
-
-
-def backward(m: dict, inputs, dh, saved, g: dict) -> None:
-    x, y, q, k, v, a, total, c = saved
-    g["O"] = outer(c, dh)
-    dc = times(dh, m["O"].T) / total
-    da = dc @ v.transpose(0, 2, 1)
-    da -= np.einsum("...i,...i->...", dc, c)[..., None]  # the mean of da under a
+    if not gradient:
+        return out, None, g
+    dh = np.zeros((h.size // (WIDTH + 1), WIDTH), h.dtype)
+    dh[at] = d
+    return out, dh.reshape(*h.shape[:-1], WIDTH), g
+
+
+def backward(r: dict, dh: np.ndarray, saved, g: dict) -> np.ndarray:
+    """Adds to the gradients of QK and VO; returns that of the inputs."""
+    x, across, y, q, a, total, c = saved
+    g["VO"] += outer(c[..., :WIDTH], dh)
+    dc = times(dh, widened(r["VO"].T, 0))
+    dc /= total
+    dc[..., WIDTH] = -np.einsum("...i,...i->...", dc, c)  # less the mean of da under a
+    da = dc @ across
     da *= a
-    dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
-    dx = times(dk, m["K"].T) + times(dv, m["V"].T)
-    dx[:, WINDOW - SCORED :] += dh + times(dq, m["Q"].T)
-    g["Q"], g["K"], g["V"] = outer(y, dq), outer(x, dk), outer(x, dv)
-    g["P"], g["E"] = dx.sum(0), np.zeros_like(m["E"])
-    at = inputs.ravel()
+    dq = da @ x[..., :WIDTH]
+    g["QK"] += outer(y[..., :WIDTH], dq)
+    dx = da.transpose(0, 2, 1) @ q
+    dx += a.transpose(0, 2, 1) @ dc[..., :WIDTH]
+    dx[:, WINDOW - SCORED :] += dh + times(dq, r["QK"].T)
+    return dx
+
+
+def gradients(m: dict, r: dict, inputs: np.ndarray, goals: np.ndarray, good: np.ndarray, g: dict) -> np.ndarray:
+    """Log probabilities of the targets; g gets the gradient of their negative sum. A few windows at a time fit a core's cache."""
+    parts = [slice(k, k + INNER) for k in range(0, len(inputs), INNER)]
+    states = [forward(r, inputs[p], good[p]) for p in parts]
+    lp, dh, soft = log_probs(r, np.concatenate([h for h, _ in states]), goals, gradient=True)
+    pairs = {"QK": np.zeros_like(r["QK"]), "VO": np.zeros_like(r["VO"])}
+    dx = np.concatenate([backward(r, dh[p], saved, pairs) for p, (_, saved) in zip(parts, states)])
+    g["Q"][:], g["K"][:] = pairs["QK"] @ m["K"], pairs["QK"].T @ m["Q"]
+    g["V"][:], g["O"][:] = pairs["VO"] @ m["O"].T, m["V"].T @ pairs["VO"]
+    g["C"][:], g["c"][:], g["M"][:], g["m"][:] = soft["C"][:WIDTH], soft["C"][WIDTH], soft["M"][:, :WIDTH], soft["M"][:, WIDTH]
+    g["P"][:], g["E"][:] = dx.sum(0), 0
+    at = inputs.ravel().astype(np.int16)
     order = np.argsort(at, kind="stable")
-    found, begin = np.unique(at[order], return_index=True)
-    g["E"][found] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begin)
+    begin = np.flatnonzero(np.diff(at[order], prepend=np.int16(-1)))
+    g["E"][at[order[begin]]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), begin)
+    return lp
 
 
 #: What a model learns; the rest follows from the counts.
@@ -199,16 +242,19 @@ class Trainer:
     def __init__(self, m: dict, turn: int, seed: int = SEED):
         self.flat = np.concatenate([m[k].ravel() for k in LEARNT]).astype(np.float32)
         ends = np.cumsum([m[k].size for k in LEARNT]).tolist()
-        self.m = centred(m | {k: self.flat[b - m[k].size : b].reshape(m[k].shape) for k, b in zip(LEARNT, ends)})
-        self.first, self.second, self.step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.first, self.second, self.grad, self.other, self.step = *np.zeros((4, len(self.flat)), np.float32), 0
+        self.m, self.parts = m, {}
+        for k, b in zip(LEARNT, ends):
+            self.m, self.parts[k] = self.m | {k: self.flat[b - m[k].size : b].reshape(m[k].shape)}, self.grad[b - m[k].size : b].reshape(m[k].shape)
+        centred(self.m)
         self.rate, self.rng, self.seen = RATE * (1 - 0.9 * turn / ROUNDS), np.random.default_rng(seed + turn), 0
 
     def __call__(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Learns from sequences of n codes; returns the log probability of each code before the step that it was in."""
         m = self.m
         inputs, goals, good = batches(m, codes, n)
-        real = goals >= 0
-        place = np.cumsum(real.ravel()).reshape(real.shape) - 1
+        real = (goals >= 0).sum(1)
+        begin = np.cumsum(real) - real
         out = np.zeros(len(codes))
         order, at = self.rng.permutation(len(inputs)), 0
         while at < len(order):
@@ -217,33 +263,31 @@ class Trainer:
             some = order[at : at + size]
             at += size
             own = real[some]
-            h, saved = forward(m, inputs[some], good[some])
-            lp, d, g = log_probs(m, h[own], goals[some][own], gradient=True)
-            out[place[some][own]] = lp
-            dh = np.zeros_like(h)
-            dh[own] = d
-            backward(m, inputs[some], dh, saved, g)
-            self.learn(np.concatenate([g[k].ravel() for k in LEARNT]), max(1, int(own.sum())))
+            lp = gradients(m, ready(m), inputs[some], goals[some], good[some], self.parts)
+            out[np.repeat(begin[some] - np.cumsum(own) + own, own) + np.arange(len(lp))] = lp
+            self.learn(max(1, len(lp)))
         self.seen += len(codes)
         return out + m["rest"][codes]
 
-    def learn(self, grad: np.ndarray, n: int) -> None:
+    def learn(self, n: int) -> None:
         """A step of Adam by the gradient's sum over n codes."""
         self.step += 1
-        grad *= np.float32(1 / n)
-        other = grad - self.first
-        other *= np.float32(0.1)
-        self.first += other
-        grad *= grad
-        grad -= self.second
-        grad *= np.float32(0.01)
-        self.second += grad
-        np.sqrt(self.second, out=other)
-        other *= np.float32((1 - 0.99**self.step) ** -0.5)
-        other += np.float32(1e-8)
-        np.divide(self.first, other, out=other)
-        other *= np.float32(self.rate * min(1, self.step / 20) / (1 - 0.9**self.step))
-        self.flat -= other
+        for k in range(0, len(self.flat), WEIGHTS):
+            grad, first, second, flat, other = (x[k : k + WEIGHTS] for x in (self.grad, self.first, self.second, self.flat, self.other))
+            grad *= np.float32(1 / n)
+            np.subtract(grad, first, out=other)
+            other *= np.float32(0.1)
+            first += other
+            grad *= grad
+            grad -= second
+            grad *= np.float32(0.01)
+            second += grad
+            np.sqrt(second, out=other)
+            other *= np.float32((1 - 0.99**self.step) ** -0.5)
+            other += np.float32(1e-8)
+            np.divide(first, other, out=other)
+            other *= np.float32(self.rate * min(1, self.step / 20) / (1 - 0.9**self.step))
+            flat -= other
         centred(self.m)
 
     def slices(self) -> pa.RecordBatch:
@@ -292,32 +336,38 @@ def share_of(ratios: np.ndarray) -> float:
 def batches(m: dict, codes: np.ndarray, n: np.ndarray):
     """Inputs (the code before each place; CLASSES * MEMBERS begins a text), targets (-1: none) and good inputs of each window."""
     target = m["target"][codes]
-    before = np.concatenate([[0], target[:-1]])
+    before = np.concatenate([np.zeros(1, np.intp), target[:-1]])
     before[(np.cumsum(n) - n)[n > 0]] = CLASSES * MEMBERS
     at, good = windows(n)
     return np.where(good, before[at], 0), np.where(good, target[at], -1)[:, WINDOW - SCORED :], good
 
 
-def code_scores(m: dict, codes: np.ndarray, n: np.ndarray, windows_at_once: int = 384, inner: int = 48) -> np.ndarray:
+def code_scores(m: dict, codes: np.ndarray, n: np.ndarray, windows_at_once: int = 384, inner: int = INNER) -> np.ndarray:
     """Natural log probability of each code of the sequences."""
     inputs, goals, good = batches(m, codes, n)
-    out = []
+    r, out = ready(m), []
     for k in range(0, len(inputs), windows_at_once):
-        some = slice(k, k + windows_at_once)
-        real = goals[some] >= 0
-        goal = goals[some][real]
-        parts = [slice(j, min(j + inner, k + windows_at_once)) for j in range(k, min(k + windows_at_once, len(inputs)), inner)]  # these fit a core's cache
-        h = np.concatenate([forward(m, inputs[p], good[p])[0] for p in parts])
-        out.append(log_probs(m, h[real], goal)[0])
+        to = min(k + windows_at_once, len(inputs))
+        h = np.concatenate([forward(r, inputs[j : min(j + inner, to)], good[j : min(j + inner, to)])[0] for j in range(k, to, inner)])
+        out.append(log_probs(r, h, goals[k:to])[0])
     return np.concatenate(out) + m["rest"][codes] if out else np.zeros(0)
 
 
-def coded(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of the words in the sorted keys; len(keys) for all others."""
-    if not len(keys):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[at] == hashes, at, len(keys))
+def begins(keys: np.ndarray) -> np.ndarray:
+    """Where the sorted keys with each beginning (a number of bits, for at most as many keys as beginnings) stand."""
+    bits = len(keys).bit_length() + 1
+    return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+
+
+def coded(hashes: np.ndarray, keys: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Places of the words in the sorted keys, which begins() gave begin for; len(keys) for all others."""
+    last = np.append(keys, np.uint64(2**64 - 1))
+    at = begin.take((hashes >> np.uint64(65 - len(begin).bit_length())).view(np.int64))
+    left = np.flatnonzero(last.take(at) < hashes)
+    while len(left):
+        at[left] += 1
+        left = left[last.take(at[left]) < hashes[left]]
+    return np.where(last.take(at) == hashes, at, len(keys))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -384,6 +434,7 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
         def learnt(batches, now=now, turn=turn):
             trainer, (keys, c), seen = Trainer(now.value, turn), frequent.value, np.zeros(BINS)
+            begin = begins(keys)
             m = trainer.m
             base = np.append(np.log(np.maximum(c - 0.9, 0.1) / max(divisor - 1, 0.1)), 0)  # without the token itself
             base[m["target"] == last] = np.log(max(whole - 1, 0.1) / max(divisor - 1, 0.1))  # both parts have the count
@@ -391,7 +442,7 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             for batch in batches:
                 for block in cut(batch, "text", LARGE):
                     *_, doc, hashes = tokens(block)
-                    codes = coded(hashes, keys)
+                    codes = coded(hashes, keys, begin)
                     at = (trainer(codes, np.bincount(doc, minlength=block.num_rows)) - base[codes] + LOGS) * (BINS / (2 * LOGS))
                     seen += np.bincount(np.clip(at, 0, BINS - 1).astype(np.int64), minlength=BINS)
             out = [*trainer.slices().to_pylist(), {"slice": -1, "weight": 0.0, "w": seen.tobytes()}] if trainer.seen else []
@@ -405,6 +456,7 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     def run(batches):
         model, (keys, c) = shared.value, frequent.value
+        begin = begins(keys)
         base = np.append(np.log(c + 0.1) - np.log(divisor), -np.log(divisor))  # the others get their counts later
         attention = np.zeros(len(base))
         attention[-1] = -model["rest"][-1] - np.log(whole)
@@ -413,7 +465,7 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             for block in cut(batch, "text", LARGE):
                 n = block.num_rows
                 *_, doc, hashes = tokens(block)
-                codes, size = coded(hashes, keys), np.bincount(doc, minlength=n)
+                codes, size = coded(hashes, keys, begin), np.bincount(doc, minlength=n)
                 lp, own = code_scores(model, codes, size) + attention[codes], base[codes]
                 known = codes < len(keys)
                 mixed = np.logaddexp(lp, own + np.log(1 - share))

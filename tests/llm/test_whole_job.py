@@ -2,12 +2,13 @@
 
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from corpusstat.llm import lm, minhash, queries, secret_scan, substring, url_filter
+from corpusstat.llm import blocks, lm, minhash, queries, secret_scan, substring, url_filter
 from corpusstat.llm.blocks import Scratch
 
 P = queries.public_tokenizers
@@ -183,6 +184,75 @@ def test_lm_steps_grow_with_what_a_task_has_to_train_on():
     assert short.step >= 4
 
 
+def test_lm_gradients_against_differences():
+    """The gradient of each part of the model, along a random direction, against the change of the sum of log probabilities."""
+    rng = np.random.default_rng(12)
+    m = lm.initial(rng.integers(0, 50, 6000))
+    m = m | {k: (m[k] + 0.2 * rng.standard_normal(m[k].shape)).astype(float) for k in lm.LEARNT} | {"mask": m["mask"].astype(float)}
+    n = np.array([3, 0, lm.SCORED, 60 * lm.SCORED + 5, 1])
+    inputs, goals, good = lm.batches(m, rng.integers(0, 6000, int(n.sum())), n)
+    g = {k: np.zeros(m[k].shape) for k in lm.LEARNT}
+    lp = lm.gradients(m, lm.ready(m), inputs, goals, good, g)
+    assert np.allclose(lp, lm.code_scores(m | {"rest": np.zeros(6000)}, *_sequences(m, goals, n)), atol=1e-5)
+    for k in lm.LEARNT:
+        way = rng.standard_normal(m[k].shape)
+        up, down = (lm.gradients(moved, lm.ready(moved), inputs, goals, good, {j: np.zeros_like(x) for j, x in g.items()}).sum() for moved in (m | {k: m[k] + by * way} for by in (1e-5, -1e-5)))
+        assert np.isclose((down - up) / 2e-5, (g[k] * way).sum(), rtol=2e-3, atol=0.05), k
+
+
+def _sequences(m, goals, n):
+    """Codes with the targets of the windows, and the sequences' lengths."""
+    code = np.zeros(lm.CLASSES * lm.MEMBERS, np.int64)
+    code[m["target"]] = np.arange(len(m["target"]))
+    return code[goals[goals >= 0]], n
+
+
+def test_lm_works_on_arrays_that_fit_a_cache():
+    """Scoring and training took half as long again while the softmax of a whole step stood in one array, and products were copied for their size."""
+    rng = np.random.default_rng(13)
+    m, codes, n = lm.initial(rng.integers(0, 50, 6000)), rng.integers(0, 6000, 384 * lm.SCORED), np.array([384 * lm.SCORED])
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        lm.code_scores(m, codes, n)
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    print(peak)
+    assert peak < 4 * len(codes) * lm.CLASSES * 1.5  # the first softmax's entries alone would take two thirds of it
+    assert lm.PLACES * lm.MEMBERS * (lm.WIDTH + 1) < 10**6
+
+
+def test_word_hashes_of_short_and_long_words():
+    """By plain Python: sums of a value for each byte and place, whether words are short, long, mixed, or in another order."""
+    r = random.Random(14)
+    sizes = [1, 2, 63, 64, 65, 66, 127, 128, 300, 1000, *(r.randrange(1, 90) for _ in range(200))]
+    text = [bytes(r.randrange(97, 123) for _ in range(k)) for k in sizes]
+    data = np.frombuffer(b" ".join(text), np.uint8)
+    ends = np.cumsum(np.array(sizes) + 1) - 1
+    starts = ends - sizes
+    whole = 1 << 64
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % whole
+        return x ^ x >> 31
+
+    want = np.array([mix((sum(mix(((p << 8) + b + blocks.BASE) % whole) for p, b in enumerate(w)) + len(w)) % whole) for w in text], np.uint64)
+    for some in (range(len(text)), range(10), range(2), [5], r.sample(range(len(text)), len(text))):
+        assert (blocks.word_hashes(data, starts[list(some)], ends[list(some)]) == want[list(some)]).all()
+
+
+def test_words_are_looked_up_by_the_beginnings_of_their_hashes():
+    """As a search in all sorted keys finds them, with keys that begin alike, the least and greatest, and none at all."""
+    rng = np.random.default_rng(15)
+    near = (np.uint64(7) << np.uint64(60)) + np.arange(50, dtype=np.uint64)
+    for keys in (np.zeros(0, np.uint64), near, np.array([0, 2**64 - 1], np.uint64), np.unique(np.concatenate([near, rng.integers(0, 2**64, 5000, np.uint64)]))):
+        words = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        want = [{k: i for i, k in enumerate(keys.tolist())}.get(w, len(keys)) for w in words.tolist()]
+        assert lm.coded(words, keys, lm.begins(keys)).tolist() == want
+
+
 def test_lm_words_without_a_target_of_their_own(spark, monkeypatch):
     """Looked up or joined, they get the same part of the shared target; one that training texts lack gets what a count of 0 gives. No subwords are needed."""
     r = random.Random(10)
