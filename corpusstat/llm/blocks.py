@@ -111,10 +111,10 @@ def translated(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text number of the maximal runs of bytes that aren't breaks; no run crosses texts."""
+def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that aren't breaks; no run crosses texts."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = translated(data, ~breaks)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -123,7 +123,12 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) ->
     after = np.empty_like(inside)
     after[-1], after[:-1] = False, inside[1:]
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return starts, np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the spans, and the number of the text that each is in."""
+    starts, ends = spans(data, offsets, breaks)
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 

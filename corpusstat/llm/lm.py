@@ -8,12 +8,14 @@ share one, and their part of it is that of their counts, as in the base score.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusstat.llm.blocks import LOWER, buffers, cut, lists, signed, translated, word_hashes, words, written
+from corpusstat.llm.blocks import LOWER, buffers, cut, lists, signed, spans, translated, word_hashes, written
 
 SEED = 11
 #: Disjoint parts of the training texts, by hash; after each the tasks' models are averaged. Windows in a task's first step, and the step size.
@@ -40,14 +42,12 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
 def tokens(block: pa.RecordBatch):
-    """Lower-case bytes, starts, ends, text numbers and hashes of the words, with END after each text (start and end -1)."""
+    """The number of tokens of each text, and hashes of its words in lower case, with END after each text."""
     data, offsets = buffers(block.column("text"))
     data = translated(data, LOWER)
-    starts, ends, doc = words(data, offsets)
-    n = block.num_rows
-    at = np.searchsorted(doc, np.arange(n), "right")
-    hashes = np.insert(word_hashes(data, starts, ends), at, END)
-    return data, np.insert(starts, at, -1), np.insert(ends, at, -1), np.insert(doc, at, np.arange(n)), hashes
+    starts, ends = spans(data, offsets)
+    at = np.searchsorted(starts, offsets[1:])
+    return np.diff(at, prepend=0) + 1, np.insert(word_hashes(data, starts, ends), at, END)
 
 
 def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +92,8 @@ def forward(r: dict, inputs: np.ndarray, good: np.ndarray):
     c = a @ x
     total = c[..., WIDTH:] + np.float32(1e-30)
     c /= total
-    h = y.copy()
-    h[..., :WIDTH] += times(c[..., :WIDTH], r["VO"])
-    return h, (x, across, y, q, a, total, c)
+    y[..., :WIDTH] += times(c[..., :WIDTH], r["VO"])
+    return y, (x, across, q, a, total, c)
 
 
 def longest(x: np.ndarray) -> float:
@@ -103,7 +102,12 @@ def longest(x: np.ndarray) -> float:
 
 
 def row_sums(x: np.ndarray) -> np.ndarray:
-    return x @ np.ones(x.shape[-1], x.dtype)
+    return x @ ones(x.shape[-1], x.dtype)
+
+
+@cache
+def ones(n: int, kind: np.dtype) -> np.ndarray:
+    return np.ones(n, kind)
 
 
 def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -143,9 +147,10 @@ def log_probs(r: dict, h: np.ndarray, goals: np.ndarray, gradient: bool = False)
     Targets are sorted by class and taken PLACES at a time, which fit a core's cache."""
     at = np.flatnonzero(goals.ravel() >= 0)
     target = goals.ravel()[at]
-    order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
+    cls = target // MEMBERS
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
     at = at[order]
-    y, cls, member = h.reshape(-1, WIDTH + 1).take(at, axis=0), (target // MEMBERS)[order], (target % MEMBERS)[order]
+    y, cls, member = h.reshape(-1, WIDTH + 1).take(at, axis=0), cls[order].astype(np.intp), (target - MEMBERS * cls)[order].astype(np.intp)
     most = longest(y[:, :WIDTH])
     bounds = (most * r["members"] + r["own"]).max(axis=1).tolist()
     own = np.empty(len(y), y.dtype)
@@ -170,7 +175,7 @@ def log_probs(r: dict, h: np.ndarray, goals: np.ndarray, gradient: bool = False)
 
 def backward(r: dict, dh: np.ndarray, saved, g: dict) -> np.ndarray:
     """Adds to the gradients of QK and VO; returns that of the inputs."""
-    x, across, y, q, a, total, c = saved
+    x, across, q, a, total, c = saved
     g["VO"] += outer(c[..., :WIDTH], dh)
     dc = times(dh, widened(r["VO"].T, 0))
     dc /= total
@@ -178,7 +183,7 @@ def backward(r: dict, dh: np.ndarray, saved, g: dict) -> np.ndarray:
     da = dc @ across
     da *= a
     dq = da @ x[..., :WIDTH]
-    g["QK"] += outer(y[..., :WIDTH], dq)
+    g["QK"] += outer(x[:, WINDOW - SCORED :, :WIDTH], dq)
     dx = da.transpose(0, 2, 1) @ q
     dx += a.transpose(0, 2, 1) @ dc[..., :WIDTH]
     dx[:, WINDOW - SCORED :] += dh + times(dq, r["QK"].T)
@@ -272,21 +277,19 @@ class Trainer:
     def learn(self, n: int) -> None:
         """A step of Adam by the gradient's sum over n codes."""
         self.step += 1
+        unbiased = (1 - 0.99**self.step) ** 0.5
         for k in range(0, len(self.flat), WEIGHTS):
             grad, first, second, flat, other = (x[k : k + WEIGHTS] for x in (self.grad, self.first, self.second, self.flat, self.other))
-            grad *= np.float32(1 / n)
-            np.subtract(grad, first, out=other)
-            other *= np.float32(0.1)
-            first += other
+            grad *= np.float32(0.1 / n)
+            first *= np.float32(0.9)
+            first += grad
             grad *= grad
-            grad -= second
-            grad *= np.float32(0.01)
+            second *= np.float32(0.99)
             second += grad
             np.sqrt(second, out=other)
-            other *= np.float32((1 - 0.99**self.step) ** -0.5)
-            other += np.float32(1e-8)
+            other += np.float32(1e-8 * unbiased)
             np.divide(first, other, out=other)
-            other *= np.float32(self.rate * min(1, self.step / 20) / (1 - 0.9**self.step))
+            other *= np.float32(self.rate * min(1, self.step / 20) / (1 - 0.9**self.step) * unbiased)
             flat -= other
         centred(self.m)
 
@@ -441,9 +444,9 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             base += m["rest"]
             for batch in batches:
                 for block in cut(batch, "text", LARGE):
-                    *_, doc, hashes = tokens(block)
+                    size, hashes = tokens(block)
                     codes = coded(hashes, keys, begin)
-                    at = (trainer(codes, np.bincount(doc, minlength=block.num_rows)) - base[codes] + LOGS) * (BINS / (2 * LOGS))
+                    at = (trainer(codes, size) - base[codes] + LOGS) * (BINS / (2 * LOGS))
                     seen += np.bincount(np.clip(at, 0, BINS - 1).astype(np.int64), minlength=BINS)
             out = [*trainer.slices().to_pylist(), {"slice": -1, "weight": 0.0, "w": seen.tobytes()}] if trainer.seen else []
             yield pa.RecordBatch.from_pylist(out, pa.schema([("slice", pa.int32()), ("weight", pa.float64()), ("w", pa.binary())]))
@@ -464,8 +467,8 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         for batch in batches:
             for block in cut(batch, "text", LARGE):
                 n = block.num_rows
-                *_, doc, hashes = tokens(block)
-                codes, size = coded(hashes, keys, begin), np.bincount(doc, minlength=n)
+                size, hashes = tokens(block)
+                codes, doc = coded(hashes, keys, begin), np.repeat(np.arange(n), size)
                 lp, own = code_scores(model, codes, size) + attention[codes], base[codes]
                 known = codes < len(keys)
                 mixed = np.logaddexp(lp, own + np.log(1 - share))
