@@ -175,10 +175,14 @@ def title_languages(title: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def exposed(text: Column, stems: list[str], whole: list[str], sector: Column | None = None, inside: str | None = None) -> Column:
-    """Whether a text, accents folded, has a word that begins with a stem or is one of the whole words, or a sector that holds a string."""
-    low = plain_letters(_text(text))
-    parts = [rf"\b{s}" for s in stems] + [rf"\b{w}\b" for w in whole]
+def exposed(text: Column, stems: list[str], whole: list[str], sector: Column | None = None, inside: str | None = None, folded: bool = True) -> Column:
+    """Whether a text has a word that begins with a stem or is one of the whole words, or a sector that holds a string. Folded (X20), texts lose their accents first; else (X21's screen)
+    words are runs of a to z, digits and underscores, as SQL's \\b has them, so an accented letter ends one."""
+    if folded:
+        low, edge, end = plain_letters(_text(text)), r"\b", r"\b"
+    else:
+        low, edge, end = F.lower(_text(text)), "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+    parts = [rf"{edge}{s}" for s in stems] + [rf"{edge}{w}{end}" for w in whole]
     hit = low.rlike("|".join(parts)) if parts else F.lit(False)
     return hit | F.lower(_text(sector)).contains(inside.lower()) if sector is not None and inside else hit
 

@@ -86,3 +86,10 @@ def test_codes_and_search(one):
     assert tuple(one(P.occupation_code(uris, "http://e/occupation/"))) == ("http://e/occupation/9", "2512")
     assert tuple(one(P.search_hits(F.lit("A hotel"), F.lit("x" * 1000 + " hotels hotel."), "hotel"))) == (True, True, False, True, True)
     assert one(P.named_occupations(F.lit("AI Engineer"), {"ai": r"\bai\b", "nurse": "nurse"})) == ["ai"] and one(P.half_even(F.lit(2.5), 0)) == 2.0
+
+
+def test_exposed_as_written(one):
+    """Without folding, an accented letter is no part of a word, as in SQL's regular expressions."""
+    hit = lambda t, folded: one(P.exposed(F.lit(t), ["ba"], ["die"], folded=folded))
+    assert [hit(t, False) for t in ("Zu und. Dieüauß der", "üBahn", "Bäume", "abba", "die_x", "DIE 4", "")] == [True, True, False, False, False, True, False]
+    assert [hit(t, True) for t in ("Dieüauß", "üBahn", "Bäume")] == [False, False, True]
