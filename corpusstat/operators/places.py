@@ -1,7 +1,8 @@
 """Points in areas as a join of grid cells.
 
 An area's edges are put into the cells that they touch. A cell without edges lies wholly inside or outside of an area, so the cell answers for its points. In a cell with edges it is known whether
-the centre is inside; a point of the cell differs from it if the way from the centre to the point crosses the cell's edges an odd number of times. All of it is Spark's own functions.
+the centre is inside; a point of the cell differs from it if the way from the centre to the point crosses the cell's edges an odd number of times. Where rounding may tell a crossing wrong, because an
+edge runs through the point or through the bend of the way, the edges of the point's whole row of cells are counted instead. All of it is Spark's own functions.
 """
 
 from __future__ import annotations
@@ -10,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Cells along the longer side of the areas' box, at most; and by how much of a cell an edge is taken to touch its neighbours.
-ACROSS, SLACK = 512, 1e-9
+from corpusstat.tables import Scratch
+
+#: Cells along the longer side of the areas' box, at most; by how much of a cell an edge is taken to touch its neighbours; and how near to a point, as a part of the largest coordinate,
+#: an edge is when rounding may put it on the wrong side (some 1e-15 does).
+ACROSS, SLACK, DOUBT = 512, 1e-9, 1e-12
 
 
 def edges_of(areas: DataFrame) -> DataFrame:
@@ -66,10 +70,31 @@ def crosses(e: Column, mx: Column, my: Column, x: Column, y: Column) -> Column:
     return flat + steep
 
 
+def doubtful(e: Column, mx: Column, my: Column, x: Column, y: Column, tol: float) -> Column:
+    """Whether an edge runs within tol of (x, y) or of (x, my), the bend of the way to it."""
+    ax, ay, bx, by = (e[c] for c in ("ax", "ay", "bx", "by"))
+    near = lambda v, w: F.abs(v - w) <= tol
+    up = (by - ay) * (x - ax) / (bx - ax) + ay
+    level = lambda h: F.when((ay > h) != (by > h), near(x, (bx - ax) * (h - ay) / (by - ay) + ax)).otherwise(False)
+    corner = near(x, ax) & (near(y, ay) | near(my, ay)) | near(x, bx) & (near(y, by) | near(my, by))
+    return level(y) | level(my) | F.when((ax > x) != (bx > x), near(y, up) | near(my, up)).otherwise(False) | corner
+
+
+def counted(asked: DataFrame, edges: DataFrame, g: float) -> DataFrame:
+    """(x, y, exact): the least of the areas that are asked about (x, y, cy, area) and hold the point, by all of their edges in its row of cells."""
+    low, high = F.floor(F.least("ay", "by") / g - SLACK), F.floor(F.greatest("ay", "by") / g + SLACK)
+    rows = edges.withColumn("cy", F.explode(F.sequence(low, high)))
+    met = asked.distinct().join(rows, ["area", "cy"])
+    right = F.when((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y")), (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).cast("int")).otherwise(0)
+    return met.groupBy("x", "y", "area").agg((F.sum(right) % 2 == 1).alias("odd")).where("odd").groupBy("x", "y").agg(F.min("area").alias("exact"))
+
+
 def inside_areas(points: DataFrame, areas: DataFrame, key: str, x: str, y: str, near: float = 0.15) -> DataFrame:
     """(key, area, method) of each point: the area that holds it (even-odd rule over its rings; of several the least id), else the nearest within `near`
     of a boundary (ties: the least id), else null and 'unplaced'. Points without a place are unplaced; keys may repeat; areas of any number and detail.
 
+    A point on an edge is told by the sign of x < (bx - ax) * (y - ay) / (by - ay) + ax, in doubles, over the edges with one end above it, as SQL would.
+
     A cell is as wide as `near`, or wider where the areas' box would have more than ACROSS cells a side, so what is near stands in the cells around. Points meet one row a cell: Spark
     broadcasts the cells where they are small, and else splits a cell that many points share."""
     box = edges_of(areas).agg(F.min("ax"), F.max("ax"), F.min("ay"), F.max("ay")).first()
@@ -83,8 +108,12 @@ def inside_areas(points: DataFrame, areas: DataFrame, key: str, x: str, y: str,
     met = placed.join(covered(edges, g), ["cx", "cy"], "left")
     mx, my = (F.col("cx") + 0.5) * g, (F.col("cy") + 0.5) * g
     count = lambda a: F.aggregate(a["edges"], F.lit(0), lambda n, e: n + crosses(e, mx, my, F.col("x"), F.col("y")))
-    holds = F.filter("areas", lambda a: (count(a) % 2 == 1) != a["odd"])
-    found = met.select("key", "x", "y", "cx", "cy", F.get(holds, 0)["area"].alias("inside"))
+    tol = DOUBT * max(g, *map(abs, box))
+    unsure = lambda a: F.exists(a["edges"], lambda e: doubtful(e, mx, my, F.col("x"), F.col("y"), tol))
+    holds = F.filter("areas", lambda a: ((count(a) % 2 == 1) != a["odd"]) & ~unsure(a))
+    asked = met.select("x", "y", "cy", F.explode(F.filter("areas", unsure)["area"]).alias("area"))
+    exact = Scratch(points.sparkSession, "areas").write("exact", counted(asked, edges, g))  # few points lie on edges
+    found = met.select("key", "x", "y", "cx", "cy", F.get(holds, 0)["area"].alias("sure")).join(exact, ["x", "y"], "left").select("key", "x", "y", "cx", "cy", F.least("sure", "exact").alias("inside"))
     step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     around = touched(edges, g).withColumn("cx", F.explode(F.transform(step, lambda i: F.col("cx") + i))).withColumn("cy", F.explode(F.transform(step, lambda i: F.col("cy") + i)))
     around = around.distinct().groupBy("cx", "cy").agg(F.collect_list(F.struct("area", "ax", "ay", "bx", "by")).alias("edges"))
@@ -94,7 +123,8 @@ def inside_areas(points: DataFrame, areas: DataFrame, key: str, x: str, y: str,
     def gap(e: Column) -> Column:
         dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
         part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - e["ax"]) * dx + (F.col("y") - e["ay"]) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-300))))
-        return F.hypot(F.col("x") - e["ax"] - part * dx, F.col("y") - e["ay"] - part * dy)
+        right, up = F.col("x") - e["ax"] - part * dx, F.col("y") - e["ay"] - part * dy
+        return F.sqrt(right * right + up * up)
 
     best = F.array_min(F.transform("edges", lambda e: F.struct(gap(e).alias("d"), e["area"].alias("area"))))
     lost = lost.withColumn("best", best)

@@ -61,6 +61,22 @@ def test_areas_by_cells(spark, near):
     assert {"inside", "nearest", "unplaced"} == {m for _, m in got.values()}
 
 
+def test_points_on_edges(spark):
+    """Points on an edge, or a rounding step beside it, lie where x < (bx - ax) * (y - ay) / (by - ay) + ax puts them."""
+    areas, _ = made(3)
+    r, points = random.Random(4), []
+    edges = [(a, b) for _, rings in areas for ring in rings for a, b in zip(ring, ring[1:] + ring[:1]) if a[1] != b[1]]
+    for i in range(1200):
+        (ax, ay), (bx, by) = r.choice(edges)
+        y = ay + r.random() * (by - ay)
+        x = (bx - ax) * (y - ay) / (by - ay) + ax
+        points.append((i, r.choice([x, np.nextafter(x, -99.0), np.nextafter(x, 99.0)]), y))
+    points = [(i, float(x), float(y)) for i, x, y in points]
+    got = {r.key: r.area if r.method == "inside" else None for r in places.inside_areas(spark.createDataFrame(points, "key int, x double, y double"), spark.createDataFrame(areas, "id string, rings array<array<array<double>>>"), "key", "x", "y").collect()}
+    want = {k: a if m == "inside" else None for k, (a, m) in slow_place(points, areas, 0.15).items()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
 def test_areas_without_limits(spark):
     """A ring of many corners, no areas, repeated keys."""
     n = 40_000
