@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusstat.functions.vectors import let
+
 #: Fixed value: the marks that end a segment.
 SEGMENT_ENDS = r"[.!?;:,\n\r\t•·|()\[\]{}/\"“”]+"
 #: Alphabetic words, with hyphens and apostrophes inside.
@@ -226,24 +228,36 @@ def capital_words(text: Column, within: int = 300) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(F.transform(found, F.lower)), F.array(*map(F.lit, CAPITAL_STOP))))
 
 
+#: Pieces between occurrences that mostly hold a window; where they don't, as many as it has characters are taken.
+FEW = 6
+
+
 def every_occurrence(text: Column, term: str, beside: str, instead: str | None = None, width: int = 60) -> Column:
     """X27: 'none' where a term's pattern doesn't occur, 'all' where each occurrence has `beside` within `width` characters on either side (and not `instead`
     right of it), else 'some'. A term that is meant otherwise everywhere can then be dropped."""
     rx = f"(?i){term}"
     found = F.regexp_extract_all(_text(text), F.lit(rx), F.lit(0))
     between = F.split(_text(text), rx)
-    pieces = F.zip_with(between, found, lambda p, m: F.concat(p, _text(m)))  # each holds a character at least, but for the last
-    n, reach = F.size(found), width + 1
-
-    def fits(i):
-        before = F.concat(F.array_join(F.slice(pieces, F.greatest(i + 1 - reach, F.lit(1)), F.least(i, F.lit(reach))), ""), F.get(between, i))
-        after = F.array_join(F.slice(pieces, i + 2, F.lit(reach)), "")
-        left, right = F.right(before, F.lit(width)), F.substring(after, 1, width)
-        good = left.rlike(f"(?i){beside}") | right.rlike(f"(?i){beside}")
-        return good & ~right.rlike(f"(?i){instead}") if instead else good
-
-    every = F.forall(F.sequence(F.lit(0), n - 1), fits)
-    return F.when(n == 0, "none").when(every, "all").otherwise("some")
+    reach = width + 1
+
+    def told(x):
+        n = F.size(x["found"])
+
+        def fits(i):
+            before = lambda k: F.substring(F.concat(F.array_join(F.slice(x["pieces"], F.greatest(i + 1 - k, F.lit(1)), F.least(i, F.lit(k))), ""), F.get(x["between"], i)), -width, width)
+            after = lambda k: F.substring(F.array_join(F.slice(x["pieces"], i + 2, F.lit(k)), ""), 1, width)
+            enough = lambda side: let(side(FEW), lambda t: F.when(F.length(t) < width, side(reach)).otherwise(t))
+
+            def good(sides):
+                beside_it = sides["left"].rlike(f"(?i){beside}") | sides["right"].rlike(f"(?i){beside}")
+                return beside_it & ~sides["right"].rlike(f"(?i){instead}") if instead else beside_it
+
+            return let(F.struct(enough(before).alias("left"), enough(after).alias("right")), good)
+
+        return F.when(n == 0, "none").when(F.forall(F.sequence(F.lit(0), n - 1), fits), "all").otherwise("some")
+
+    # Worked out once a text, not for each occurrence; a piece holds a character at least, but for the last.
+    return let(let(F.struct(found.alias("found"), between.alias("between")), lambda x: F.struct(x["found"].alias("found"), x["between"].alias("between"), F.zip_with(x["between"], x["found"], lambda p, m: F.concat(p, _text(m))).alias("pieces"))), told)
 
 
 def named_occupations(title: Column, patterns: dict[str, str]) -> Column:
