@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusstat.tables import Scratch
+
 #: A word: letters alone.
 WORD = r"[\p{L}\p{M}]+"
+#: Caught words that are broadcast to the texts, at most; more meet them by a shuffle.
+FORMS_AT_ONCE = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -29,18 +33,25 @@ def patterns_for(word: Column) -> Column:
 def keyword_forms(df: DataFrame, key: str, group: list[str], text: Column, cases: DataFrame, word: str, top: int = 6) -> DataFrame:
     """PB12: per case (group, word) and pattern the texts of the group that have a word that it catches, and its `top` word forms with the texts that have them (most first, then by name).
 
-    Texts are cut into distinct words once. A pattern meets words by its fixed part: words are joined by their first (or last) letters, of only those lengths that patterns have, so no word is
-    held against all patterns. A pattern without a wildcard catches the word itself. Null words and texts catch and have nothing; a pattern that catches nothing has 0."""
+    The group's distinct words, with the texts that have them, are what patterns meet: by their fixed part, words being joined by their first (or last) letters, of only those lengths that patterns have, so
+    no word is held against all patterns. Texts then meet the words that were caught alone. A pattern without a wildcard catches the word itself. Null words and texts catch and have nothing; a pattern that
+    catches nothing has 0."""
+    tables = Scratch(df.sparkSession, "forms")
     tried = cases.select(*group, F.lower(word).alias("word")).where("word <> ''").distinct().withColumn("pattern", F.explode(patterns_for(F.col("word"))))
-    tried = tried.withColumns({"ahead": F.col("pattern").startswith("*"), "open": F.contains("pattern", F.lit("*")), "fixed": F.replace("pattern", F.lit("*"), F.lit(""))})
+    tried = tables.write("tried", tried.withColumns({"ahead": F.col("pattern").startswith("*"), "open": F.contains("pattern", F.lit("*")), "fixed": F.replace("pattern", F.lit("*"), F.lit(""))}))
     lengths = [r.n for r in tried.where("open").select(F.length("fixed").alias("n")).distinct().orderBy("n").collect()]  # as many as words have lengths
-    said = df.select(*group, F.col(key).alias("_key"), F.explode(words_of(text)).alias("form"))
+    groups = tried.select(*group).distinct()
+    said = df.join(groups, group, "left_semi").select(*group, F.col(key).alias("_key"), F.explode(words_of(text)).alias("form"))
+    seen = tables.write("seen", said.groupBy(*group, "form").agg(F.count("*").alias("n")))
     ends = F.array(*(F.when(F.length("form") >= n, F.struct(F.lit(True).alias("open"), F.lit(side).alias("ahead"), (F.right("form", F.lit(n)) if side else F.left("form", F.lit(n))).alias("fixed"))) for n in lengths for side in (False, True)),
                    F.struct(F.lit(False).alias("open"), F.lit(False).alias("ahead"), F.col("form").alias("fixed")))
-    parts = said.select(*group, "_key", "form", F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("e")).select(*group, "_key", "form", "e.*")
-    met = parts.join(tried, [*group, "open", "ahead", "fixed"])
-    texts = met.groupBy(*group, "word", "pattern").agg(F.countDistinct("_key").alias("texts"))
-    forms = met.groupBy(*group, "word", "pattern", "form").agg(F.count("*").alias("n"))
+    parts = seen.select(*group, "form", "n", F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("e")).select(*group, "form", "n", "e.*")
+    forms = tables.write("caught", parts.join(tried, [*group, "open", "ahead", "fixed"]).select(*group, "word", "pattern", "form", "n"))
+    caught = tables.write("by_form", forms.groupBy(*group, "form").agg(F.collect_list(F.struct("word", "pattern")).alias("_p")))
+    small = F.broadcast if caught.count() <= FORMS_AT_ONCE else lambda x: x
+    # the patterns of a text's words, each once a text; what is left are as many rows as texts have patterns
+    met = said.join(small(caught), [*group, "form"]).select(*group, "_key", F.explode("_p").alias("_p")).select(*group, "_p.word", "_p.pattern", "_key").distinct()
+    texts = met.groupBy(*group, "word", "pattern").agg(F.count("_key").alias("texts"))
     rank = F.row_number().over(W.partitionBy(*group, "word", "pattern").orderBy(F.desc("n"), "form"))
     best = forms.withColumn("rank", rank).where(F.col("rank") <= top).groupBy(*group, "word", "pattern").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "form", "n"))), lambda f: F.concat_ws(" ", f["form"], f["n"])), ", ").alias("forms"))
     names = [*group, "word", "pattern"]

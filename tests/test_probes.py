@@ -57,3 +57,23 @@ def test_shortest_wildcards(spark):
     assert got == {"nurse": ("nur*", 75, 4, 1, "nursery 4"), "run": ("run*", 12, 1, 1, "rune 1"), "nut": ("nut*", 100, 0, 0, "")}
     strict = {r.word: r.wildcard for r in wildcards.shortest_wildcards(seen, families).collect()}
     assert strict == {"nurse": "nurs*", "run": "run*", "nut": "nut*"}
+
+
+def test_keyword_forms_by_distinct_words(spark, monkeypatch):
+    """Patterns meet the group's distinct words, not each text's; the same where caught words aren't broadcast."""
+    rows = [(i, "x" if i % 2 else "y", "nurse nurses nursing other words nu") for i in range(300)]
+    df, cases = spark.createDataFrame(rows, "id long, g string, t string"), spark.createDataFrame([("x", "nurse"), ("z", "nurse")], "g string, word string")
+    made, write = {}, wildcards.Scratch.write
+
+    def counted(self, name, table):
+        out = write(self, name, table)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(wildcards.Scratch, "write", counted)
+    forms = lambda: sorted(map(tuple, wildcards.keyword_forms(df, "id", ["g"], F.col("t"), cases, "word").collect()))
+    first = forms()
+    assert made["seen"] == 6 and made["caught"] <= 6 * 8
+    assert ("x", "nurse", "nurs*", 150, "nurse 150, nurses 150, nursing 150") in first and ("z", "nurse", "nurse", 0, "") in first
+    monkeypatch.setattr(wildcards, "FORMS_AT_ONCE", 0)
+    assert forms() == first
