@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusstat.functions.vectors import unit as unit_vector
+from corpusstat.tables import Scratch
+
+#: Hashes of n-grams that are broadcast at once, at most.
+HASHES_AT_ONCE = 4_000_000
 
 
 def term_counts(df: DataFrame, unit: str, terms: Column) -> DataFrame:
@@ -83,19 +92,127 @@ def ngrams(segments: Column, n: int) -> Column:
     return F.array_distinct(F.flatten(F.filter(F.transform(segments, grams), lambda g: g.isNotNull())))
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit words, each bit of which depends on all of the given ones'."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Runs:
+    """A batch's words, segment by segment: each one's hash, its document, and how many words its segment still has from it on."""
+
+    def __init__(self, segments: pa.ListArray):
+        inner = segments.flatten()
+        size = inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = inner.flatten()
+        coded = self.words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        own = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in names], np.uint64)
+        self.hash = own[coded.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.uint64)
+        doc = np.repeat(np.arange(len(segments)), segments.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.doc = np.repeat(doc, size)
+        self.left = np.repeat(np.cumsum(size), size) - np.arange(len(self.hash))
+
+    def starts(self, n: int) -> np.ndarray:
+        return np.flatnonzero(self.left >= n)
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        h = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + self.hash[at + i])
+        return h.view(np.int64)
+
+    def grams(self, at: np.ndarray, n: int) -> pa.Array:
+        words = [self.words.take(pa.array(at + i)) for i in range(n)]
+        return pc.binary_join_element_wise(*words, " ") if n > 1 else words[0]
+
+
+def once_each(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values, and in how many documents each is."""
+    order = np.lexsort((doc, value))
+    doc, value = doc[order], value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    return np.unique(value[new], return_counts=True)
+
+
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
 def frequent_ngrams(df: DataFrame, segments: Column, longest: int, least: int, stop: list[str] = ()) -> DataFrame:
     """N-grams of 1 to `longest` words found in at least `least` documents, with that count. Only n-grams whose first and last n - 1
-    words are frequent are counted. Those with a stop word at an edge are left out of the result, not of the search."""
-    docs, out, before = df.select(segments.alias("_segments")), None, None
+    words are frequent are counted. Those with a stop word at an edge are left out of the result, not of the search.
+
+    Texts are cut up once. From two words on, n-grams are first counted by their 64-bit hashes, summed up in each batch; only those whose hash is frequent are written out as words, and counted as
+    such, so equal hashes change no count. Frequent hashes are broadcast in blocks of HASHES_AT_ONCE, one pass each; where one level has more than that, the next isn't held against it
+    before it is counted, which changes what is counted but not what is found. Each level is made once."""
+    spark = df.sparkSession
+    tables, levels, before = Scratch(spark, "ngrams"), [], None
+    docs = tables.write("docs", df.select(segments.cast("array<array<string>>").alias("_segments")))
+
+    def sorted_hashes(t: DataFrame) -> np.ndarray:
+        return np.sort(t.toArrow().column(0).to_numpy())
+
+    def written(n: int, hashes: np.ndarray | None) -> DataFrame:
+        """(gram, df) of each batch, of the n-grams with one of the hashes."""
+        shared = spark.sparkContext.broadcast(hashes)
+
+        def f(batches):
+            for batch in batches:
+                runs = Runs(batch.column(0))
+                at = runs.starts(n)
+                if shared.value is not None:
+                    at = at[among(runs.hashes(at, n), shared.value)]
+                coded = runs.grams(at, n).dictionary_encode()
+                code, docs_ = once_each(runs.doc[at], coded.indices.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(docs_, pa.int64())], names=["gram", "df"])
+
+        return docs.mapInArrow(f, "gram string, df long")
+
+    def counted(n: int, known: np.ndarray | None) -> DataFrame:
+        """(h, df) of each batch's n-grams, without those whose first or last n - 1 words aren't known."""
+        shared = spark.sparkContext.broadcast(known)
+
+        def f(batches):
+            for batch in batches:
+                runs = Runs(batch.column(0))
+                at = runs.starts(n)
+                if shared.value is not None:
+                    at = at[among(runs.hashes(at, n - 1), shared.value)]
+                    at = at[among(runs.hashes(at + 1, n - 1), shared.value)]
+                h, docs_ = once_each(runs.doc[at], runs.hashes(at, n))
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(docs_, pa.int64())], names=["h", "df"])
+
+        return docs.mapInArrow(f, "h long, df long")
+
+    def of_words(batches):
+        for batch in batches:
+            each = np.arange(batch.num_rows + 1, dtype=np.int32)
+            runs = Runs(pa.ListArray.from_arrays(pa.array(each), pa.ListArray.from_arrays(pa.array(each), batch.column(0))))
+            yield pa.RecordBatch.from_arrays([pa.array(runs.hashes(runs.starts(1), 1), pa.int64())], names=["h"])
+
+    total = lambda rows, by: rows.groupBy(by).agg(F.sum("df").alias("df")).where(F.col("df") >= least)
     for n in range(1, longest + 1):
-        rows = docs.select(F.explode(ngrams(F.col("_segments"), n)).alias("gram"))
-        if before is not None:
-            known = before.select(F.col("gram").alias("_known"))
-            rows = rows.withColumns({"_head": F.regexp_replace("gram", r" [^ ]*$", ""), "_tail": F.regexp_replace("gram", r"^[^ ]* ", "")})
-            rows = rows.join(known, F.col("_head") == F.col("_known"), "left_semi").join(known, F.col("_tail") == F.col("_known"), "left_semi")
-        before = rows.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-        level = before.withColumn("n", F.lit(n))
-        out = level if out is None else out.unionByName(level)
+        if n == 1:
+            words = tables.write("level-1", total(written(1, None), "gram"))
+            levels.append(words.withColumn("n", F.lit(1)))
+            often = words.select("gram").mapInArrow(of_words, "h long")
+            many = words.count()
+        else:
+            often = tables.write("often", total(counted(n, before), "h").select("h"))
+            many = often.count()
+            blocks, found = max(1, -(-many // HASHES_AT_ONCE)), None
+            for b in range(blocks):
+                part = written(n, sorted_hashes(often.where(F.pmod("h", F.lit(blocks)) == b)))
+                found = part if found is None else found.union(part)
+            levels.append(tables.write(f"level-{n}", total(found, "gram")).withColumn("n", F.lit(n)))
+        before = sorted_hashes(often) if many <= HASHES_AT_ONCE else None
+    tables.drop("docs", "often")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
     words = F.split("gram", " ")
     return out.where(~F.get(words, F.lit(0)).isin(list(stop)) & ~F.element_at(words, -1).isin(list(stop))) if stop else out
 

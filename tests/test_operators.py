@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from corpusstat.operators import ordered, profiles, stretches
+from corpusstat.operators import mining, ordered, profiles, stretches
 from corpusstat.streaming import days
 
 PROFILE = "id int, skills array<string>, occupation_uris array<string>, occupation string, sectors array<string>, degree string"
@@ -61,3 +61,22 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("complete" if name == "day_counts" else "append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert {tuple(r) for r in spark.table(name).collect()} == want
+
+
+def test_frequent_ngrams(spark, monkeypatch):
+    """Against plain loops, with hashes broadcast at once and in blocks; texts are cut up once, and what is shuffled from two words on are counts of hashes."""
+    import random
+
+    r = random.Random(5)
+    docs = [[[r.choice(["a", "b", "c", "né", "the"]) for _ in range(r.randint(0, 9))] for _ in range(r.randint(0, 4))] for _ in range(200)] + [None, [], [[]]]
+    want = {}
+    for d in docs:
+        for g in {(" ".join(s[i : i + n]), n) for s in d or [] for n in (1, 2, 3, 4) for i in range(len(s) - n + 1)}:
+            want[g] = want.get(g, 0) + 1
+    want = {g: k for g, k in want.items() if k >= 5 and g[0].split()[0] != "the" and g[0].split()[-1] != "the"}
+    df, made, write = spark.createDataFrame([(d,) for d in docs], "s array<array<string>>"), [], mining.Scratch.write
+    monkeypatch.setattr(mining.Scratch, "write", lambda self, name, t: made.append((name, t.columns)) or write(self, name, t))
+    for most in (4_000_000, 3):
+        monkeypatch.setattr(mining, "HASHES_AT_ONCE", most)
+        assert {(x.gram, x.n): x.df for x in mining.frequent_ngrams(df, F.col("s"), 4, 5, ["the"]).collect()} == want
+    assert [m for m in made if m[0] == "docs"] == [("docs", ["_segments"])] * 2 and ("often", ["h"]) in made
