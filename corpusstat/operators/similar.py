@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from corpusstat.functions.vectors import length
 from corpusstat.functions.vectors import unit as unit_vector
 from corpusstat.operators.vectors import matrix
+from corpusstat.tables import Scratch
 
 
 def candidate_sheet(scored: DataFrame, found: DataFrame, seeds: Column, least_titles: int = 2, part: float = 0.8, most: int = 200) -> DataFrame:
     """Terms (term, a, z, ...) with positive z that a seed filter (true: too near a seed) lets through and that stand in at least so many distinct titles of
     `found` (term, title); a term that a longer kept one holds as a run of words, with at least `part` of its count, goes. The best `most` by z.
 
-    Terms are settled by their number of words, the longest first, and meet through the runs of words of those kept, not as pairs of all terms."""
+    Terms are settled by their number of words, the longest first, and meet through the runs of words of those kept, not as pairs of all terms. The terms let through are made once."""
     titles = found.select("term", F.lower(F.trim("title")).alias("t")).distinct().groupBy("term").agg(F.count("*").alias("titles"))
     rows = scored.where((F.col("z") > 0) & ~seeds).join(titles.where(F.col("titles") >= least_titles), "term").withColumn("n", F.size(F.split("term", " ")))
+    rows = Scratch(scored.sparkSession, "sheet").write("rows", rows)
     kept = None
     for n in range(rows.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0], 0, -1):
         level = rows.where(F.col("n") == n)

@@ -123,3 +123,12 @@ def test_svd_vectors(spark):
     mine = np.array([got[i] for i in range(60)])
     assert mine.shape == (60, 5) and np.abs(mine @ mine.T - want @ want.T).max() < 0.02
     assert reduce.svd_vectors(df.limit(0), "id", "term", "w", 5).count() == 0
+
+
+def test_candidate_sheet_makes_its_terms_once(spark, monkeypatch):
+    made, write = [], similar.Scratch.write
+    monkeypatch.setattr(similar.Scratch, "write", lambda self, name, t: made.append(name) or write(self, name, t))
+    scored = spark.createDataFrame([("a", 10, 3.0), ("a b", 9, 2.0), ("b", 20, 1.0), ("a b c", 2, 4.0), ("d", 5, -1.0)], "term string, a long, z double")
+    found = spark.createDataFrame([(x, t) for x in ("a", "a b", "b", "a b c", "d") for t in ("One", "two ")], "term string, title string")
+    got = [r.term for r in similar.candidate_sheet(scored, found, F.lit(False), 2, 0.8, 10).collect()]
+    assert got == ["a b c", "a b", "b"] and made == ["rows"]
